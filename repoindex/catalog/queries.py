@@ -394,8 +394,9 @@ def query_clauses_simple(spark, sf_dir):
 
 def _matches(spark, sf_dir, question):
     """Matches of the two words of each question, put together by ``question``."""
-    first, second = F.split_part("question", F.lit(" "), F.lit(1)), F.split_part("question", F.lit(" "), F.lit(2))
-    asked = _questions(spark, sf_dir).select("query_id", question(first, second).alias("question"))
+    words = F.split("question", " ")
+    asked = _questions(spark, sf_dir).select(
+        "query_id", question(F.get(words, F.lit(0)), F.get(words, F.lit(1))).alias("question"))
     return fts_match(build_postings(_chunks(spark, sf_dir), "simple"), query_clauses(asked, "simple"))
 
 
@@ -407,7 +408,7 @@ def fts_match_all(spark, sf_dir):
 
 @query
 def fts_match_phrase(spark, sf_dir):
-    rows = _matches(spark, sf_dir, lambda a, b: F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('"')))
+    rows = _matches(spark, sf_dir, lambda a, b: F.concat(F.lit('"'), F.concat_ws(" ", a, b), F.lit('"')))
     return rows.select("query_id", *CHUNK_KEYS)
 
 
@@ -419,7 +420,7 @@ def fts_match_any(spark, sf_dir):
 
 @query
 def fts_match_not(spark, sf_dir):
-    rows = _matches(spark, sf_dir, lambda a, b: F.concat(a, F.lit(" -"), b))
+    rows = _matches(spark, sf_dir, lambda a, b: F.concat_ws(" -", a, b))
     return rows.select("query_id", *CHUNK_KEYS)
 
 

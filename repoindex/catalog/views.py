@@ -57,18 +57,18 @@ VIEWS = {
                CASE lang WHEN 'de' THEN md5(concat(lang, '-1')) ELSE md5(concat(lang, '-2')) END AS sha
         FROM (SELECT DISTINCT lang FROM {documents}) t""",
     "v_queries": """
-        SELECT item_id AS query_id, text AS passage,
-               concat_ws(' ', split_part(lower(text), ' ', 1), split_part(lower(text), ' ', 2)) AS question
-        FROM {benchmark}""",
+        SELECT item_id AS query_id, text AS passage, {two_words} AS question FROM {benchmark}""",
 }
 
 SPARK_WORDS = {
     "sha256": "sha2", "sha256_bits": ", 256",
     "slices": "explode(sequence(0, CAST(floor((length(text) - 1) / 1000) AS INT)))",
+    "two_words": r"array_join(slice(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+', 0), 1, 2), ' ')",
 }
 CHECK_WORDS = {
     "sha256": "sha256", "sha256_bits": "",
     "slices": "unnest(range(0, CAST(floor((length(text) - 1) / 1000) AS INT) + 1))::INT",
+    "two_words": r"array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:2], ' ')",
 }
 
 
