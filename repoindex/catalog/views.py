@@ -13,6 +13,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repoindex.functions.sizing import spread
+
 VIEWS = {
     "v_files": """
         SELECT concat('ns_', lang) AS namespace,
@@ -73,7 +75,8 @@ CHECK_WORDS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,3 +17,12 @@ def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int =
 def small_side(df: DataFrame, **bounds: int) -> DataFrame:
     """Mark a join side for broadcast if its measured size allows, else leave the choice to AQE."""
     return F.broadcast(df) if is_small(df, **bounds) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even rows out when a scan has fewer splits than there are cores, as a small single file has.
+
+    For scans only. A scan of many splits, the case that matters, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

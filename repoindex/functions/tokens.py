@@ -1,5 +1,6 @@
 """Text to tokens and lexemes."""
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -23,15 +24,64 @@ def rebuild_list(like: pa.Array, flat: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, flat)
 
 
+def english_of(flat: pa.Array) -> pa.Array:
+    """Stems of many words, NULL for stop words; each distinct word of the batch is stemmed once."""
+    coded = flat.dictionary_encode()
+    stems = pa.array([lexeme(w) for w in coded.dictionary.to_pylist()], pa.string())
+    return stems.take(coded.indices)
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def english_lexemes(words: pa.Array) -> pa.Array:
-    """Stems of token lists; stop words become NULL elements, so that positions still count them.
+    """Stems of token lists; stop words become NULL elements, so that positions still count them."""
+    return rebuild_list(words, english_of(words.flatten()))
+
+
+POSITIONS_TYPE = T.ArrayType(T.StructType([
+    T.StructField("lexeme", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
+
+
+def positions_column(words: Column, config: str, max_position: int, max_positions: int) -> Column:
+    """ARRAY<STRUCT<lexeme, positions>> of a token list: its distinct lexemes with their ascending positions.
 
-    Each Arrow batch is dictionary-encoded first: a word is stemmed once per batch.
+    The grouping is within one row, so it needs no shuffle; it runs as one sort of integers per Arrow batch.
     """
-    coded = words.flatten().dictionary_encode()
-    stems = pa.array([lexeme(w) for w in coded.dictionary.to_pylist()], pa.string())
-    return rebuild_list(words, stems.take(coded.indices))
+
+    @F.arrow_udf(POSITIONS_TYPE)
+    def grouped(lists: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        starts = np.cumsum(lengths) - lengths
+        row = np.repeat(np.arange(len(lists)), lengths)
+        position = np.minimum(np.arange(len(row)) - np.repeat(starts, lengths) + 1, max_position)
+        flat = lists.flatten()
+        coded = (english_of(flat) if config == "english" else flat).dictionary_encode()
+        kept = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+        code = coded.indices.fill_null(0).to_numpy(zero_copy_only=False)[kept].astype(np.int64)
+        row, position = row[kept], position[kept]
+        order = np.argsort(row * max(len(coded.dictionary), 1) + code, kind="stable")
+        row, code, position = row[order], code[order], position[order]
+
+        opens = np.ones(len(row), dtype=bool)
+        opens[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
+        group = np.cumsum(opens) - 1
+        group_start = np.flatnonzero(opens)
+        nth = np.arange(len(row)) - group_start[group] if len(row) else row
+        again = np.zeros(len(row), dtype=bool)
+        again[1:] = (position[1:] == position[:-1]) & ~opens[1:]
+        wanted = (nth < max_positions) & ~again
+
+        per_group = np.bincount(group[wanted], minlength=len(group_start))
+        positions = pa.ListArray.from_arrays(_offsets(per_group), pa.array(position[wanted].astype(np.int32)))
+        lexemes = coded.dictionary.take(pa.array(code[group_start]))
+        entries = pa.StructArray.from_arrays([lexemes, positions], names=["lexeme", "positions"])
+        per_row = np.bincount(row[group_start], minlength=len(lists))
+        return pa.ListArray.from_arrays(_offsets(per_row), entries)
+
+    return grouped(words)
+
+
+def _offsets(counts: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
 
 
 def lexeme_array(text: Column, config: str) -> Column:

@@ -48,26 +48,23 @@ def split_column(text: Column, language: Column, kind: Column, rules: dict[str,
 
 
 def routed_files(files: DataFrame) -> DataFrame:
-    """Files worth chunking, with ``kind``: not skipped, of a known suffix, with text other than white space."""
+    """Files whose path is indexed, with ``kind``. Looks at paths only."""
     path = F.col("file_path")
-    return (
-        files.where(C.keep_path(path))
-        .withColumn("kind", C.route_kind(path))
-        .where("kind IS NOT NULL")
-        .where(C.has_text(F.col("text")))
-    )
+    return files.where(C.keep_path(path)).withColumn("kind", C.route_kind(path)).where("kind IS NOT NULL")
 
 
 def chunk_files(files: DataFrame, rules: dict[str, ChunkRule] | None = None) -> DataFrame:
     """Chunk rows (namespace, kind, id, file_path, package, chunk_index, text) of a table of files.
 
-    A map-side operation: no shuffle, and the rows of a file come from one text that is already one cell.
+    Files are routed here unless they come with a ``kind``. A map-side operation: no shuffle, and the rows of a file come from one text that is already one cell.
     """
     rules = rules or DEFAULT_RULES
     if "package" not in files.columns:
         files = files.withColumn("package", F.lit(""))
+    if "kind" not in files.columns:
+        files = routed_files(files)
     pieces = split_column(F.col("text"), splitter_language(F.col("file_path")), F.col("kind"), rules)
-    rows = routed_files(files).select(
+    rows = files.where(C.has_text(F.col("text"))).select(
         "namespace", "kind", "file_path", "package", F.posexplode(pieces).alias("chunk_index", "text"))
     return rows.select(
         "namespace", "kind",

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repoindex.functions.sizing import small_side
+from repoindex.functions.sizing import is_small
 from repoindex.functions.tokens import lexeme_array
 
 # The rank formula.
@@ -98,25 +98,24 @@ def fts_match(postings: DataFrame, clauses: DataFrame, universe: DataFrame | Non
     need no joins of their own. A question with an alternative made of negations only matches chunks that
     have none of its lexemes: those come from ``universe`` (namespace, kind, id).
     """
-    wanted = clauses.select("query_id", "lexeme").distinct()
-    forms = _query_forms(clauses)
-    touched = (
-        postings.join(small_side(wanted), "lexeme")
-        .select(*HIT_KEYS, "lexeme", "positions")
-    )
+    # Both of these have at most as many rows as there are clauses, and the same words in them.
+    mark = F.broadcast if is_small(clauses) else (lambda df: df)
+    wanted = mark(clauses.select("query_id", "lexeme").distinct())
+    forms = mark(_query_forms(clauses))
+    touched = postings.join(wanted, "lexeme").select(*HIT_KEYS, "lexeme", "positions")
     if universe is not None:
         salt = F.pmod(F.xxhash64("id"), F.lit(64)).cast("int")
         open_ended = forms.where("open_ended").select(
             "query_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("part"))
         everything = (
-            universe.select("namespace", "kind", "id", salt.alias("part")).join(small_side(open_ended), "part")
+            universe.select("namespace", "kind", "id", salt.alias("part")).join(open_ended, "part")
             .select(*HIT_KEYS, F.lit(None).cast("string").alias("lexeme"),
                     F.lit(None).cast("array<int>").alias("positions"))
         )
         touched = touched.unionByName(everything)
     entries = F.collect_list(F.when(F.col("lexeme").isNotNull(), F.struct("lexeme", "positions")))
     rows = touched.groupBy(*HIT_KEYS).agg(F.map_from_entries(entries).alias("found"))
-    judged = rows.join(small_side(forms), "query_id")
+    judged = rows.join(forms, "query_id")
     holds = F.exists("groups", lambda g: F.forall(
         g, lambda c: c["negated"] != _clause_holds(c["words"], F.col("found"))))
     return judged.where(holds).select(*HIT_KEYS, "found", "terms", "ranked_by_distance")

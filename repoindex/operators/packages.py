@@ -22,7 +22,7 @@ def package_of_dirs(files: DataFrame, manifests: DataFrame) -> DataFrame:
     )
     named = manifests.where("dir != '' AND name != ''").select("namespace", F.col("dir").alias("above"), "name")
     return (
-        ancestors.join(small_side(named), ["namespace", "above"])
+        ancestors.join(named, ["namespace", "above"])
         .groupBy("namespace", "dir").agg(F.max_by("name", "depth").alias("package"))
     )
 

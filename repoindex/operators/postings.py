@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repoindex.functions.tokens import lexeme_array
+from repoindex.functions.tokens import lexeme_array, positions_column, tokens
 
 # Limits of a full-text vector.
 MAX_POSITION = 16383
@@ -23,16 +23,12 @@ def lexemes(df: DataFrame, config: str = "english", text_col: str = "text") -> D
     )
 
 
-def build_postings(chunks: DataFrame, config: str = "english", layout: tuple[str, ...] = ("id",)) -> DataFrame:
-    """(namespace, kind, lexeme, id, positions), one row per lexeme and chunk.
+def build_postings(chunks: DataFrame, config: str = "english") -> DataFrame:
+    """(namespace, kind, id, lexeme, positions), one row per lexeme and chunk, and ``bucket`` if chunks have it.
 
-    The text is shuffled once, before it is exploded: rows of one chunk are then in one task, the
-    aggregation needs no exchange of its own, and a frequent lexeme is spread over all tasks. ``layout``
-    names the columns that decide the task; it must hold whatever else the table is to be written by.
+    A map-side operation: all tokens of a chunk are in one row, so they are grouped there. Whoever writes the
+    table decides its layout.
     """
-    keys = [c for c in ("namespace", "kind", *layout) if c != "id"]
-    keys = list(dict.fromkeys(keys))
-    placed = chunks.select(*keys, "id", "text").repartition(*[F.col(c) for c in layout])
-    occurrences = lexemes(placed, config).withColumn("pos", F.least("pos", F.lit(MAX_POSITION)))
-    positions = F.slice(F.array_sort(F.array_distinct(F.collect_list("pos"))), 1, MAX_POSITIONS_PER_LEXEME)
-    return occurrences.groupBy(*keys, "id", "lexeme").agg(positions.alias("positions"))
+    words = positions_column(tokens(F.col("text")), config, MAX_POSITION, MAX_POSITIONS_PER_LEXEME)
+    keys = ["namespace", "kind", "id"] + (["bucket"] if "bucket" in chunks.columns else [])
+    return chunks.select(*keys, F.explode(words).alias("entry")).select(*keys, "entry.lexeme", "entry.positions")

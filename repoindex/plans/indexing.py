@@ -39,7 +39,7 @@ def chunk_rows(files: DataFrame, manifests: DataFrame | None = None,
     """Files (namespace, file_path, text) to chunk rows without embeddings."""
     files = files.select(sanitise(F.col("namespace")).alias("namespace"), "file_path", "text")
     if manifests is not None:
-        files = nearest_package(routed_files(files).drop("kind"), manifests)
+        files = nearest_package(routed_files(files), manifests)
     return chunk_files(files, rules)
 
 

@@ -22,7 +22,6 @@ from repoindex.schemas import CHUNK_SCHEMA, POSTING_SCHEMA, REGISTRY_SCHEMA
 
 BUCKETS = 16
 ROWS_PER_BUCKET_BLOCK = 4096
-POSTING_SALTS = 8
 BUCKET_KEYS = ["namespace", "kind", "bucket"]
 
 _LIVE_SCHEMA = "namespace string, kind string, bucket int, v int, at int"
@@ -178,11 +177,9 @@ def _write_buckets(spark, store, new, live, incoming, deletes, cleared, config,
         *BUCKET_KEYS).parquet(f"{store}/chunks/v={new}")
 
     stored = spark.read.schema(_with_layout(CHUNK_SCHEMA)).parquet(f"{store}/chunks").where(F.col("v") == new)
-    salted = stored.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(POSTING_SALTS)))
-    postings = build_postings(salted, config, layout=(*BUCKET_KEYS, "salt"))
-    postings.select(*POSTING_SCHEMA.names, "bucket").sortWithinPartitions(
-        *BUCKET_KEYS, "lexeme", "id").write.mode("overwrite").partitionBy(*BUCKET_KEYS).parquet(
-        f"{store}/postings/v={new}")
+    postings = build_postings(stored, config).select(*POSTING_SCHEMA.names, "bucket")
+    postings.hint("rebalance", *BUCKET_KEYS).sortWithinPartitions(*BUCKET_KEYS, "lexeme", "id").write.mode(
+        "overwrite").partitionBy(*BUCKET_KEYS).parquet(f"{store}/postings/v={new}")
     return written
 
 

@@ -39,34 +39,35 @@ def _children(filesystem: pafs.FileSystem, directory: str) -> tuple[list, list[s
     return files, dirs
 
 
-class Subtree(InputPartition):
-    """One directory to list, with or without what lies below it."""
+class Subtrees(InputPartition):
+    """Directories to list in one task, each with or without what lies below it."""
 
-    def __init__(self, directory: str, deep: bool):
-        super().__init__(directory)
-        self.directory, self.deep = directory, deep
+    def __init__(self, directories: list[tuple[str, bool]]):
+        super().__init__(directories)
+        self.directories = directories
 
 
 class RepoTreeReader(DataSourceReader):
     def __init__(self, path: str, fan_out: int):
         self.path, self.fan_out = path, fan_out
 
-    def partitions(self) -> list[Subtree]:
+    def partitions(self) -> list[Subtrees]:
         """Open directories level by level until there are enough subtrees; tasks walk the rest."""
         filesystem, root = _open_root(self.path)
         opened, pending = [], [root]
         while pending and len(pending) < self.fan_out:
-            below = [d for directory in pending for d in _children(filesystem, directory)[1]]
-            opened += [Subtree(d, False) for d in pending]
-            pending = below
-        return opened + [Subtree(d, True) for d in pending]
+            opened += pending
+            pending = [d for directory in pending for d in _children(filesystem, directory)[1]]
+        jobs = [(d, False) for d in opened] + [(d, True) for d in pending]
+        return [Subtrees(jobs[n::self.fan_out]) for n in range(min(self.fan_out, len(jobs)))]
 
-    def read(self, partition: Subtree) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Subtrees) -> Iterator[pa.RecordBatch]:
         filesystem, root = _open_root(self.path)
-        pending, paths, sizes = [partition.directory], [], []
+        pending, paths, sizes = list(partition.directories), [], []
         while pending:
-            files, dirs = _children(filesystem, pending.pop())
-            pending += dirs if partition.deep else []
+            directory, deep = pending.pop()
+            files, dirs = _children(filesystem, directory)
+            pending += [(d, True) for d in dirs] if deep else []
             for entry in files:
                 paths.append(entry.path[len(root) + 1:].replace("\\", "/"))
                 sizes.append(entry.size)
@@ -89,9 +90,10 @@ class RepoTree(DataSource):
         return RepoTreeReader(self.options["path"], int(self.options.get("fan_out", "64")))
 
 
-def list_repo(spark: SparkSession, path: str, namespace: str, fan_out: int = 64) -> DataFrame:
+def list_repo(spark: SparkSession, path: str, namespace: str, fan_out: int | None = None) -> DataFrame:
     """(namespace, file_path, size) of every regular file below ``path``."""
     spark.dataSource.register(RepoTree)
+    fan_out = fan_out or spark.sparkContext.defaultParallelism
     listing = spark.read.format("repo_tree").option("path", path).option("fan_out", str(fan_out)).load()
     return listing.select(C.sanitise(F.lit(namespace)).alias("namespace"), "file_path", "size")
 
