@@ -3,15 +3,19 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_ROWS = 100_000
 MAX_BROADCAST_BYTES = 64 << 20
 
 
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    """Count at most ``max_rows + 1`` rows and their JSON bytes; the scan stops at the bound."""
-    width = F.coalesce(F.octet_length(F.to_json(F.struct("*"))), F.lit(0)) if df.columns else F.lit(0)
-    rows, size = df.select(width.alias("w")).limit(max_rows + 1).agg(F.count("*"), F.sum("w")).first()
-    return rows <= max_rows and (size or 0) <= max_bytes
+    """Whether a table stays within both bounds.
+
+    Takes the widths of at most ``max_rows + 1`` rows, partition by partition, so a large table is given up
+    after its first partitions and nothing but numbers comes to the driver.
+    """
+    width = F.coalesce(F.octet_length(F.to_json(F.struct("*"))), F.lit(0))
+    widths = df.select(width.alias("w")).take(max_rows + 1)
+    return len(widths) <= max_rows and sum(row[0] for row in widths) <= max_bytes
 
 
 def small_side(df: DataFrame, **bounds: int) -> DataFrame:

@@ -7,13 +7,16 @@ from repoindex.functions.sizing import small_side
 
 
 def unique_rows(df: DataFrame, key: list[str]) -> DataFrame:
-    """The same rows; the job fails when a key occurs twice. Duplicates meet after a map-side count."""
+    """The same rows; the job fails when a key occurs twice.
+
+    Only the keys are shuffled, after a map-side count. One repeated key is enough to fail, so the side that
+    is joined back is one row at most, and rows do not move.
+    """
+    repeated = df.groupBy(*key).agg(F.count("*").alias("_copies")).where("_copies > 1").limit(1)
     message = F.concat(F.lit("duplicate key in batch: "), F.concat_ws(":", *[F.col(k).cast("string") for k in key]))
-    row = F.struct(*df.columns)
-    grouped = df.groupBy(*key).agg(F.count("*").alias("copies"), F.first(row).alias("row"))
-    checked = grouped.where(
-        F.when(F.col("copies") > 1, F.raise_error(message).cast("boolean")).otherwise(True))
-    return checked.select("row.*")
+    marked = df.join(F.broadcast(repeated), key, "left_outer")
+    once = F.when(F.col("_copies") > 1, F.raise_error(message).cast("boolean")).otherwise(True)
+    return marked.where(once).select(*df.columns)
 
 
 def upsert(base: DataFrame, updates: DataFrame, key: list[str], checked: bool = False) -> DataFrame:

@@ -66,8 +66,8 @@ def ingest(spark: SparkSession, store: str, files: DataFrame, manifests: DataFra
     namespaces of the files first."""
     if mode not in ("upsert", "replace"):
         raise ValueError(f"unknown ingest mode: {mode}")
-    rows = check_chunks(ingest_rows(files, manifests, options), options.dim)
-    incoming = stage(unique_rows(rows, ["namespace", "id"]), store)
+    rows = stage(check_chunks(ingest_rows(files, manifests, options), options.dim), store)
+    incoming = unique_rows(rows, ["namespace", "id"])
     cleared = files.select(sanitise(F.col("namespace")).alias("namespace")).distinct() if mode == "replace" else None
     return commit(spark, store, incoming=incoming, cleared=cleared, config=options.config,
                   buckets=options.buckets)

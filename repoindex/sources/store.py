@@ -67,23 +67,21 @@ def _live(spark: SparkSession, store: str, version: int) -> DataFrame:
 
 def _read_table(spark, store, table, schema, namespaces, kinds) -> DataFrame:
     version = current_version(spark, store)
-    layout = _with_layout(schema)
     live = None if version is None else _live(spark, store, version).where("bucket >= 0")
-    try:
-        rows = spark.read.schema(layout).parquet(f"{store}/{table}") if live is not None else None
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows = None
-    if rows is None:
+    layout = _with_layout(schema)
+    if live is None or live.isEmpty():
         rows = spark.createDataFrame([], layout)
     else:
-        rows = rows.join(small_side(live), [*BUCKET_KEYS, "v"], "left_semi")
+        rows = _live_rows(spark.read.schema(layout).parquet(f"{store}/{table}"), live)
     if namespaces is not None:
         rows = rows.where(F.col("namespace").isin(namespaces))
     if kinds is not None:
         rows = rows.where(F.col("kind").isin(kinds))
-    return rows.select(*[f.name for f in schema.fields], "bucket")
+    return rows.select(*schema.names, "bucket")
+
+
+def _live_rows(rows: DataFrame, live: DataFrame) -> DataFrame:
+    return rows.join(small_side(live), [*BUCKET_KEYS, "v"], "left_semi")
 
 
 def read_chunks(spark: SparkSession, store: str, namespaces: list[str] | None = None,
@@ -133,53 +131,66 @@ def commit(
         written = _write_buckets(spark, store, new, live, incoming, deletes, cleared, config, buckets)
         live = live.join(small_side(written), BUCKET_KEYS, "left_anti").unionByName(
             written.withColumn("v", F.lit(new)))
-    current = read_registry(spark, store) if registry is None else registry
-    current.select(*REGISTRY_SCHEMA.names).write.mode("overwrite").parquet(f"{store}/registry/v={new}")
+    if registry is None:
+        registry = spark.read.schema(REGISTRY_SCHEMA).parquet(f"{store}/registry/v={version}")
+    registry.select(*REGISTRY_SCHEMA.names).write.mode("overwrite").parquet(f"{store}/registry/v={new}")
     live.coalesce(1).write.mode("overwrite").parquet(f"{store}/live/at={new}")
     return new
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def _write_buckets(spark, store, new, live, incoming, deletes, cleared, config, buckets) -> DataFrame:
-    base = read_chunks(spark, store)
+    """Write the new state of every touched bucket; returns the touched (namespace, kind, bucket)."""
     columns = [*CHUNK_SCHEMA.names, "bucket"]
-    touched = []
+    layout = _with_layout(CHUNK_SCHEMA)
+    live = live.where("bucket >= 0")
     if incoming is not None:
         incoming = incoming.withColumn(
             "bucket", bucket_of(F.col("file_path"), F.col("chunk_index"), buckets)).select(*columns)
-        touched.append(incoming.select(*BUCKET_KEYS))
-    paths = [df.select("namespace", "file_path") for df in (incoming, deletes) if df is not None]
-    if paths:
-        listed = paths[0] if len(paths) == 1 else paths[0].unionByName(paths[1])
-        touched.append(base.join(small_side(listed.distinct()), ["namespace", "file_path"], "left_semi")
-                       .select(*BUCKET_KEYS))
-    if cleared is not None:
-        touched.append(live.where("bucket >= 0").join(small_side(cleared), "namespace", "left_semi")
-                       .select(*BUCKET_KEYS))
-    every = touched[0]
-    for more in touched[1:]:
-        every = every.unionByName(more)
+    listed = None if deletes is None else small_side(deletes.select("namespace", "file_path").distinct())
+
+    touched = [] if incoming is None else [incoming.select(*BUCKET_KEYS)]
+    base = None
+    if not live.isEmpty():
+        base = _live_rows(spark.read.schema(layout).parquet(f"{store}/chunks"), live).select(*columns)
+        paths = base.select(*BUCKET_KEYS, "file_path")
+        if incoming is not None:
+            renewed = small_side(incoming.select("namespace", "file_path").distinct())
+            touched.append(paths.join(renewed, ["namespace", "file_path"], "left_semi").select(*BUCKET_KEYS))
+        if listed is not None:
+            touched.append(paths.join(listed, ["namespace", "file_path"], "left_semi").select(*BUCKET_KEYS))
+        if cleared is not None:
+            touched.append(live.join(small_side(cleared), "namespace", "left_semi").select(*BUCKET_KEYS))
+    if not touched:
+        touched = [live.select(*BUCKET_KEYS)]
     # The filter is always true; with it the optimizer takes the side for selective and prunes partitions by it.
-    written = stage(every.distinct(), store).where("bucket >= 0")
-
-    kept = base.join(small_side(written), BUCKET_KEYS, "left_semi")
-    if deletes is not None:
-        kept = kept.join(small_side(deletes.select("namespace", "file_path").distinct()),
-                         ["namespace", "file_path"], "left_anti")
-    if cleared is not None:
-        kept = kept.join(small_side(cleared.select("namespace")), "namespace", "left_anti")
-    rows = kept
-    if incoming is not None:
-        rows = kept.join(small_side(incoming.select("namespace", "id")), ["namespace", "id"], "left_anti")
-        rows = rows.select(*columns).unionByName(incoming)
-    # AQE cuts oversized buckets into several tasks and merges small ones.
-    placed = rows.select(*columns).hint("rebalance", *BUCKET_KEYS)
-    placed.sortWithinPartitions(*BUCKET_KEYS, "file_path", "chunk_index").write.mode("overwrite").partitionBy(
-        *BUCKET_KEYS).parquet(f"{store}/chunks/v={new}")
-
-    stored = spark.read.schema(_with_layout(CHUNK_SCHEMA)).parquet(f"{store}/chunks").where(F.col("v") == new)
-    postings = build_postings(stored, config).select(*POSTING_SCHEMA.names, "bucket")
-    postings.hint("rebalance", *BUCKET_KEYS).sortWithinPartitions(*BUCKET_KEYS, "lexeme", "id").write.mode(
-        "overwrite").partitionBy(*BUCKET_KEYS).parquet(f"{store}/postings/v={new}")
+    written = stage(_union(touched).distinct(), store).where("bucket >= 0")
+
+    rows = [] if incoming is None else [incoming]
+    if base is not None:
+        kept = base.join(small_side(written), BUCKET_KEYS, "left_semi")
+        if listed is not None:
+            kept = kept.join(listed, ["namespace", "file_path"], "left_anti")
+        if cleared is not None:
+            kept = kept.join(small_side(cleared.select("namespace")), "namespace", "left_anti")
+        if incoming is not None:
+            kept = kept.join(small_side(incoming.select("namespace", "id")), ["namespace", "id"], "left_anti")
+        rows.append(kept.select(*columns))
+    if rows:
+        # AQE cuts oversized buckets into several tasks and merges small ones.
+        placed = _union(rows).hint("rebalance", *BUCKET_KEYS)
+        placed.sortWithinPartitions(*BUCKET_KEYS, "file_path", "chunk_index").write.mode("overwrite").partitionBy(
+            *BUCKET_KEYS).parquet(f"{store}/chunks/v={new}")
+        stored = spark.read.schema(layout).parquet(f"{store}/chunks").where(F.col("v") == new)
+        postings = build_postings(stored, config).select(*POSTING_SCHEMA.names, "bucket")
+        postings.hint("rebalance", *BUCKET_KEYS).sortWithinPartitions(*BUCKET_KEYS, "lexeme", "id").write.mode(
+            "overwrite").partitionBy(*BUCKET_KEYS).parquet(f"{store}/postings/v={new}")
     return written
 
 
