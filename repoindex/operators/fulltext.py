@@ -103,7 +103,7 @@ def fts_match(postings: DataFrame, clauses: DataFrame, universe: DataFrame | Non
     wanted = mark(clauses.select("query_id", "lexeme").distinct())
     forms = mark(_query_forms(clauses))
     touched = postings.join(wanted, "lexeme").select(*HIT_KEYS, "lexeme", "positions")
-    if universe is not None:
+    if universe is not None and not forms.where("open_ended").isEmpty():
         salt = F.pmod(F.xxhash64("id"), F.lit(64)).cast("int")
         open_ended = forms.where("open_ended").select(
             "query_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("part"))
