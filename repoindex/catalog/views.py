@@ -9,11 +9,11 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoindex.functions.sizing import spread
+from repoindex.sources.tree import open_root
 
 VIEWS = {
     "v_files": """
@@ -100,8 +100,7 @@ def check_ctes() -> dict[str, str]:
 def write_tree(files: DataFrame, path: str) -> int:
     """Lay files (namespace, file_path, text) out as a tree, one file each, written by the tasks."""
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remote = "://" in path or path.startswith("file:")
-        filesystem, root = pafs.FileSystem.from_uri(path) if remote else (pafs.LocalFileSystem(), path)
+        filesystem, root = open_root(path)
         for batch in batches:
             for name, space, text in zip(*(batch[c].to_pylist() for c in ("file_path", "namespace", "text"))):
                 target = f"{root}/{space}/{name}"

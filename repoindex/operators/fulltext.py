@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repoindex.functions.sizing import is_small
+from repoindex.functions.sizing import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS
 from repoindex.functions.tokens import lexeme_array
 
 # The rank formula.
@@ -14,6 +14,8 @@ FAR_WEIGHT = 1e-30
 CANDIDATES = 20
 RANK_DIGITS = 9
 
+PUSHED_LEXEMES = 1000
+
 HIT_KEYS = ["query_id", "namespace", "kind", "id"]
 
 # A question item: an optionally negated quoted phrase (the last quote may be missing), or a run of non-spaces.
@@ -90,16 +92,28 @@ def _clause_holds(words: Column, found: Column) -> Column:
     )
 
 
+def _few_lexemes(clauses: DataFrame) -> list[str] | None:
+    """The distinct lexemes of the questions if the clause table is small enough to be broadcast, else None."""
+    words = [row[0] for row in clauses.select("lexeme").take(MAX_BROADCAST_ROWS + 1)]
+    if len(words) > MAX_BROADCAST_ROWS or sum(map(len, words)) > MAX_BROADCAST_BYTES // 4:
+        return None
+    return sorted(set(words))
+
+
 def fts_match(postings: DataFrame, clauses: DataFrame, universe: DataFrame | None = None) -> DataFrame:
     """Matching chunks of every question: hit keys, ``found`` (lexeme → positions), terms and rank formula.
 
     Postings meet the questions on the lexeme; what a chunk has of a question's lexemes is gathered in one
     row (no longer than the question) and the boolean form is evaluated there, so phrases and negations
-    need no joins of their own. A question with an alternative made of negations only matches chunks that
+    need no joins of their own. The lexemes of few questions also go to the scan as a filter: stored postings
+    are sorted by lexeme, so it skips all but their row groups and pages. A question with an alternative made of negations only matches chunks that
     have none of its lexemes: those come from ``universe`` (namespace, kind, id).
     """
-    # Both of these have at most as many rows as there are clauses, and the same words in them.
-    mark = F.broadcast if is_small(clauses) else (lambda df: df)
+    words = _few_lexemes(clauses)
+    # Both sides marked here have at most as many rows as there are clauses, and the same words in them.
+    mark = (lambda df: df) if words is None else F.broadcast
+    if words is not None and len(words) <= PUSHED_LEXEMES:
+        postings = postings.where(F.col("lexeme").isin(words))
     wanted = mark(clauses.select("query_id", "lexeme").distinct())
     forms = mark(_query_forms(clauses))
     touched = postings.join(wanted, "lexeme").select(*HIT_KEYS, "lexeme", "positions")

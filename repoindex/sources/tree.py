@@ -21,9 +21,10 @@ _ROWS_PER_BATCH = 4096
 _BYTES_PER_BATCH = 16 << 20
 
 
-def _open_root(path: str) -> tuple[pafs.FileSystem, str]:
+def open_root(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path within it, for a local path or a URI."""
     if "://" in path or path.startswith("file:"):
-        filesystem, root = pafs.FileSystem.from_uri(path)
+        filesystem, root = pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
     else:
         filesystem, root = pafs.LocalFileSystem(), os.path.abspath(path)
     return filesystem, root.rstrip("/")
@@ -53,7 +54,7 @@ class RepoTreeReader(DataSourceReader):
 
     def partitions(self) -> list[Subtrees]:
         """Open directories level by level until there are enough subtrees; tasks walk the rest."""
-        filesystem, root = _open_root(self.path)
+        filesystem, root = open_root(self.path)
         opened, pending = [], [root]
         while pending and len(pending) < self.fan_out:
             opened += pending
@@ -62,7 +63,7 @@ class RepoTreeReader(DataSourceReader):
         return [Subtrees(jobs[n::self.fan_out]) for n in range(min(self.fan_out, len(jobs)))]
 
     def read(self, partition: Subtrees) -> Iterator[pa.RecordBatch]:
-        filesystem, root = _open_root(self.path)
+        filesystem, root = open_root(self.path)
         pending, paths, sizes = list(partition.directories), [], []
         while pending:
             directory, deep = pending.pop()
@@ -103,7 +104,7 @@ def read_contents(listing: DataFrame, path: str, tasks: int | None = None) -> Da
     tasks = tasks or 4 * listing.sparkSession.sparkContext.defaultParallelism
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, root = _open_root(path)
+        filesystem, root = open_root(path)
         for batch in batches:
             start, held, bodies = 0, 0, []
             for at, name in enumerate(batch["file_path"].to_pylist()):

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from repoindex.operators.chunking import ChunkRule
-from repoindex.operators.changes import sync_plan  # noqa: F401
 from repoindex.plans.indexing import IndexOptions, failed_namespaces, ingest, reindex, sync
 from repoindex.plans.search import hybrid_topk
 from repoindex.functions.embedding import embed
@@ -48,7 +47,7 @@ def test_ingest_modes(spark, tmp_path):
     assert [r[:3] for r in state(spark, store)] == [("data_lake", "a.py", 0), ("data_lake", "a.py", 1), ("data_lake", "b.md", 0)]
     again = files_of(spark, ("data-lake", "a.py", "short"))
     ingest(spark, store, again, options=OPTIONS)
-    assert [r[1:] for r in state(spark, store)] == [("a.py", 0, "short"), ("a.py", 1, "four five"), ("b.md", 0, "x")]
+    assert [r[1:] for r in state(spark, store)] == [("a.py", 0, "short"), ("a.py", 1, "five"), ("b.md", 0, "x")]
     ingest(spark, store, again, options=OPTIONS)
     assert len(state(spark, store)) == 3
     ingest(spark, store, again, mode="replace", options=OPTIONS)
@@ -95,13 +94,12 @@ def test_an_unfinished_version_is_not_seen(spark, tmp_path):
     assert [r[3] for r in state(spark, store)] == ["b"]
 
 
-def refusing(texts, mode):
-    if any("refuse" in t for t in texts):
-        raise RuntimeError("refused")
-    return [[1.0] * 8 for _ in texts]
-
-
 def test_sync_isolates_failures(spark, tmp_path):
+    def refusing(texts, mode):
+        if any("refuse" in t for t in texts):
+            raise RuntimeError("refused")
+        return [[1.0] * 8 for _ in texts]
+
     store = str(tmp_path / "s")
     names = ["base", "inc", "bad", "same", "lost"]
     ingest(spark, store, files_of(spark, *[(n, f, "old") for n in names[1:] for f in ("a.py", "b.py")]), options=OPTIONS)
