@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repoindex.functions.columns import sanitise
 from repoindex.functions.sizing import small_side
 from repoindex.operators.postings import build_postings
 from repoindex.schemas import CHUNK_SCHEMA, POSTING_SCHEMA, REGISTRY_SCHEMA
@@ -74,7 +75,7 @@ def _read_table(spark, store, table, schema, namespaces, kinds) -> DataFrame:
     else:
         rows = _live_rows(spark.read.schema(layout).parquet(f"{store}/{table}"), live)
     if namespaces is not None:
-        rows = rows.where(F.col("namespace").isin(namespaces))
+        rows = rows.where(F.col("namespace").isin(*[sanitise(F.lit(n)) for n in namespaces]))
     if kinds is not None:
         rows = rows.where(F.col("kind").isin(kinds))
     return rows.select(*schema.names, "bucket")
