@@ -166,11 +166,8 @@ CHECKS: dict[str, tuple[list[str], str]] = {
                concat('@corpus/', source) AS name
         FROM documents WHERE CAST(substr(source, 4) AS INT) % 4 = 0"""),
     "compare_files": ([*_CHANGES], """
-        SELECT concat(c.namespace, '_', strftime(c.ts, '%Y%m%d')) AS namespace, n.ahead_by, c.status,
-               c.file_path AS filename, c.previous_filename
-        FROM v_changes c JOIN (SELECT namespace, CAST(ts AS DATE) AS day, CAST(count(*) AS INT) AS ahead_by
-                               FROM v_changes GROUP BY ALL) n
-        ON c.namespace = n.namespace AND CAST(c.ts AS DATE) = n.day"""),
+        SELECT concat(namespace, '_', strftime(ts, '%Y%m%d')) AS namespace, CAST(dayofyear(ts) AS INT) AS ahead_by,
+               status, file_path AS filename, previous_filename FROM v_changes"""),
     "latest_heads": ([], """
         SELECT concat('user_', user_id) AS namespace, md5(CAST(event_id AS VARCHAR)) AS sha
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, md5(CAST(event_id AS VARCHAR)) DESC)
@@ -330,8 +327,9 @@ CHECKS: dict[str, tuple[list[str], str]] = {
                     ELSE TIMESTAMP '2024-06-01 00:00:00' END AS last_indexed_at FROM c_plan"""),
     "classify_diff": ([*_CHANGES, "c_changes"], "SELECT * FROM c_changes"),
     "diff_too_large": (_CHANGES, """
-        SELECT concat(namespace, '_', strftime(ts, '%Y%m%d')) AS namespace, CAST(count(*) AS INT) AS ahead_by,
-               count(*) AS files, count(*) >= 20 AS too_large FROM v_changes GROUP BY 1"""),
+        SELECT concat(namespace, '_', strftime(ts, '%Y%m%d')) AS namespace,
+               CAST(dayofyear(min(ts)) AS INT) AS ahead_by, count(*) AS files,
+               dayofyear(min(ts)) > 20 OR count(*) >= 20 AS too_large FROM v_changes GROUP BY 1"""),
     "sync_plan": ([*_CHANGES, "v_registry", "v_heads", "c_diffs", "c_plan"], "SELECT * FROM c_plan"),
     "register_namespace": (["v_registry"], """
         WITH u AS (SELECT DISTINCT source AS name FROM documents

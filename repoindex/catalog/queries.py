@@ -84,12 +84,12 @@ def _feed(changes):
 
 
 def _comparisons(spark, sf_dir):
-    """One comparison per namespace and day of events. A pair of a day and a namespace without events has none."""
+    """One comparison per event, of one file, under a namespace per day; the day of the year counts as commits."""
     rows = view(spark, sf_dir, "v_changes")
-    return rows.groupBy(
-        F.concat("namespace", F.lit("_"), F.date_format("ts", "yyyyMMdd")).alias("namespace")).agg(
-        F.count("*").cast("int").alias("ahead_by"),
-        F.collect_list(F.struct("status", F.col("file_path").alias("filename"), "previous_filename")).alias("files"))
+    return rows.select(
+        F.concat("namespace", F.lit("_"), F.date_format("ts", "yyyyMMdd")).alias("namespace"),
+        F.dayofyear("ts").alias("ahead_by"),
+        F.array(F.struct("status", F.col("file_path").alias("filename"), "previous_filename")).alias("files"))
 
 
 def _diffs(spark, sf_dir):

@@ -73,6 +73,12 @@ def test_approximate_recall(data):
     assert len(exact & found) / len(exact) > 0.8
 
 
+def test_approximate_search_of_many_questions_is_exact(data, monkeypatch):
+    vectors, queries, rows, asked = data
+    monkeypatch.setattr(V, "MAX_BROADCAST_QUERIES", 2)
+    assert hits(V.ann_topk(V.ann_index(vectors, 16), queries, 16, 5)) == brute_force(rows, asked, 5)
+
+
 def test_cosine_distance(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0]), ([1.0, 1.0], [2.0, 2.0]), ([0.0, 0.0], [1.0, 0.0]),
                                 ([1.0], [1.0, 0.0])], "a array<double>, b array<double>")
