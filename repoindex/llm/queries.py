@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoindex.llm import bpe, decontaminate, language_id, pu_quality, quality_llr, sharding, simhash_vp
+from repoindex.llm import bpe, decontaminate, language_id, pii_bootstrap, pu_quality, quality_llr, sharding, simhash_vp
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,3 +88,14 @@ def op9_string_kernel_language(spark, sf_dir):
     model = language_id.fit_languages(docs.where(~held_out))
     found = language_id.predict_language(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_bootstrapped_pii(spark, sf_dir):
+    found = pii_bootstrap.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("base", lambda span: span["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{kind}")
+              for n, kind in enumerate(pii_bootstrap.KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii_bootstrap.span_string(F.col("base")), 256).alias("base_sha256"),
+        pii_bootstrap.span_string(F.array_sort(F.concat("base", "added"))).alias("spans"))
