@@ -6,7 +6,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoindex.llm import bpe, decontaminate, language_id, pii_bootstrap, pu_quality, quality_llr, sharding, simhash_vp
+from repoindex.llm import (
+    bpe, decontaminate, language_id, pii_bootstrap, pu_quality, quality_llr, sharding, simhash_vp, token_shards,
+    warc_fixity,
+)
+from repoindex.llm.batches import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,3 +103,29 @@ def op7_bootstrapped_pii(spark, sf_dir):
     return found.select(
         "doc_id", *counts, F.sha2(pii_bootstrap.span_string(F.col("base")), 256).alias("base_sha256"),
         pii_bootstrap.span_string(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
+@query
+def op4_warc_merkle_fixity(spark, sf_dir):
+    """Two replicas of the archive of all pages; the second has bytes changed, records lost and records too many."""
+    rows = warc_fixity.records(table(spark, sf_dir, "pages"))
+    turn = F.pmod(F.crc32(F.encode(F.coalesce(F.col("page_id").cast("string"), F.lit("")), "UTF-8")), F.lit(50))
+    changed = F.sha2(F.concat(F.expr("left(content, length(content) - 5)"), F.lit("#\r\n\r\n")), 256)
+    rows = rows.withColumn("replica_digest", F.when(turn == 7, changed).when(turn != 8, F.col("digest")))
+    placed = staged(warc_fixity.manifest(rows, ["page_id", "length", "digest", "replica_digest"]), "warc-manifest")
+    original = placed.select("file", "record", "start", "end", "digest")
+    replica = placed.where("replica_digest IS NOT NULL").select(
+        "file", "record", "start", "end", F.col("replica_digest").alias("digest"))
+    extra = placed.where(F.col("page_id") % 500 == 0).select(
+        "file", (F.col("record") + warc_fixity.RECORDS_PER_FILE).alias("record"), "start", "end", "digest")
+    found = warc_fixity.audit(original, replica.unionByName(extra))
+    ids = placed.select("file", "record", "page_id")
+    return found.join(ids, ["file", "record"], "left").select(
+        "file", "record", "start", "end", "fault", "digest", "replica_digest", "page_id")
+
+
+@query
+def op3_training_order_shards(spark, sf_dir):
+    model = byte_bpe()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_shards.materialise(docs, model, SHUFFLE_KEY, model.specials[b"<|endoftext|>"])
