@@ -307,10 +307,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     plain = docs.where("doc_id IS NOT NULL").join(small_side(dropped), "doc_id", "left_anti").select(*docs.columns)
     if odd.isEmpty():
         return plain
-    of_value = groups.groupBy("simhash").agg(F.first("root").alias("_root"), F.first("component_id").alias("_least"))
+    of_value = groups.groupBy(F.col("simhash").alias("_value")).agg(F.first("root").alias("_root"), F.first("component_id").alias("_least"))
     rest = docs.join(small_side(odd), docs["doc_id"].eqNullSafe(odd["doc_id"]), "left_semi")
     marked = add_fingerprint(rest, into="_simhash")
-    marked = marked.join(of_value, marked["_simhash"] == of_value["simhash"]).where(
+    marked = marked.join(of_value, marked["_simhash"] == of_value["_value"]).where(
         F.col("_least").eqNullSafe(F.col("doc_id")))
     chosen = marked.groupBy("_root").agg(F.min_by(
         F.struct(*[marked[c] for c in docs.columns]), F.xxhash64("text")).alias("_row"))

@@ -1,0 +1,434 @@
+"""Operators against brute force, and the cases every operator must survive."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from repoindex.llm import (
+    bpe, decontaminate, language_id, pii_bootstrap, pu_quality, quality_llr, sharding, simhash_vp, token_shards,
+    warc_fixity,
+)
+from repoindex.llm.components import connected
+from repoindex.llm.text_stats import Block
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [None, "", " \n\t", "a", "A b", "x" * 30_000, "é ß 日本 😀", "a@b.c_d@e.f 1.2.3.4", "same same", "same same"]
+
+
+def docs_of(spark, texts):
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids, repeated rows, odd texts, and columns that have the names the operators add."""
+    docs = docs_of(spark, ODD).union(docs_of(spark, ODD[-2:])).union(
+        docs_of(spark, ["no id", "no id"]).withColumn("doc_id", F.lit(None).cast("long")))
+    return docs.withColumns({c: F.lit(1) for c in ("n_words", "SCORE", "spans_ip", "simhash", "slot", "token_ids", "kept")})
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def model():
+    return bpe.ByteBpe.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def ascii_lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def space_words(text):
+    return re.findall("[^\x20\x09-\x0D]+", text or "")
+
+
+# ---- tokens ----
+
+def test_bpe_is_the_library(model):
+    rng = random.Random(1)
+    alphabet = "ab'stmdrevl \n\t\r .!,12éß日 \xa0́<|>😀İ\x1c\x85　"
+    texts = ["", "it's 'sabc ''s ?'s 'S", "a" * 300, " " * 200 + "y", "<|endoftext|>", "a<|endoftext|> b", "<|endof", "text|>"]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(50))) for _ in range(3000)]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids, bounds = model.encode(pa.array(texts))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[b:e].tolist() for b, e in zip(bounds[:-1], bounds[1:])] == want
+    assert model.decode(ids, bounds).to_pylist() == [library.decode(w, skip_special_tokens=False) for w in want]
+    # Words remembered from an earlier block, and a memory that is full.
+    again, _ = model.encode(pa.array(texts))
+    assert (again == ids).all()
+
+
+def test_bpe_tables(odd, empty, model):
+    rows = bpe.decode_tokens(bpe.encode_texts(odd, model), model).collect()
+    assert len(rows) == odd.count() and all(r.decoded == (r.text or "") for r in rows)
+    assert bpe.decode_tokens(bpe.encode_texts(empty, model), model).count() == 0
+
+
+def test_bad_bytes_decode_as_replacement(model):
+    assert model.decode(model.byte_ids[np.array([0xC3, 0x41])], np.array([0, 2])).to_pylist() == ["�A"]
+
+
+def test_token_shards_round_trip(spark, model, tmp_path):
+    docs = docs_of(spark, ["word " * n for n in range(0, 60, 7)] + [None, "b" * 3000])
+    rows = token_shards.materialise(docs, model, 5, 50256, str(tmp_path), length=16, per_shard=8, turns=3).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    files = {}
+    for file in tmp_path.glob("shards/*/*/part-*"):
+        shard = int(file.parent.name.removeprefix("shard="))
+        assert shard not in files
+        files[shard] = token_shards.read_records(file.read_bytes(), model, 16)
+    assert sum(map(len, files.values())) == len(rows) and all(len(files[s]) == 8 for s in sorted(files)[:-1])
+    for r in rows:
+        ids, _ = model.encode(pa.array([texts[r.doc_id]], pa.string()))
+        want = np.append(ids, 50256)[16 * r.sequence:16 * (r.sequence + 1)]
+        shard, offset = token_shards.place_of(r.slot, model, 8, 16)
+        record = files[shard][offset // token_shards.stride(model, 16)]
+        assert (shard, offset) == (r.shard, r.offset) and len(want) == r.n_tokens
+        assert record[:len(want)].tolist() == want.tolist() and set(record[len(want):].tolist()) <= {50256}
+        assert zlib.crc32(record.tobytes()) == r.ids_crc32
+
+
+def test_token_shards_of_nothing(empty, model, tmp_path):
+    assert token_shards.materialise(empty, model, 5, 50256, str(tmp_path)).count() == 0
+
+
+# ---- sharding ----
+
+@pytest.mark.parametrize("total", [1, 2, 3, 7, 10, 1000])
+def test_permutation_is_a_bijection(spark, total):
+    numbers = spark.range(total).withColumn("n", F.lit(total).cast("long"))
+    places = [r.p for r in sharding.permute(numbers, "id", "n", 7, "p").orderBy("id").collect()]
+    assert sorted(places) == list(range(total))
+    other = [r.p for r in sharding.permute(numbers, "id", "n", 8, "p").orderBy("id").collect()]
+    assert total < 10 or places != other
+
+
+def test_shards_do_not_depend_on_the_layout(spark):
+    docs = docs_of(spark, [f"text {i % 7}" for i in range(200)]).select("doc_id", "text")
+    docs = docs.union(docs.limit(30))
+    one = sorted(map(tuple, sharding.shard_rows(docs, 8, 3).collect()))
+    two = sorted(map(tuple, sharding.shard_rows(docs.repartition(5).orderBy(F.desc("doc_id")), 8, 3).collect()))
+    assert one == two and len(one) == 230
+    sizes = {}
+    for *_, shard, slot in one:
+        sizes.setdefault(shard, []).append(slot)
+    assert max(map(len, sizes.values())) - min(map(len, sizes.values())) <= 1
+    assert all(sorted(slots) == list(range(len(slots))) for slots in sizes.values())
+
+
+def test_many_copies_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES_PER_BLOCK", 10)
+    rows = sharding.shard_rows(spark.range(100).select(F.lit("x").alias("text")), 4, 1).collect()
+    assert sorted(r.row_number for r in rows) == list(range(100))
+
+
+def test_shards_of_odd_rows(odd, empty):
+    keys = sharding.document_keys(odd)
+    rows = sharding.shard_rows(keys, 8, 3).collect()
+    assert len(rows) == odd.count()
+    assert sorted((r["size"], r.text_crc32) for r in rows) == sorted(
+        (len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in odd.collect())
+    assert sharding.shard_rows(odd, 8, 3).count() == odd.count()
+    assert sharding.shard_rows(sharding.document_keys(empty), 8, 3).count() == 0
+
+
+# ---- near duplicates ----
+
+def brute_fingerprint(text, size=3):
+    words = space_words(ascii_lower(text))
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i:i + size]).encode(), seed=42)
+              for i in range(max(1, len(words) - size + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints():
+    rng = random.Random(5)
+    texts = [*ODD[:5], "a b c d a b c d"] + ["".join(rng.choice("abÀ \n\t") for _ in range(rng.randrange(60)))
+                                             for _ in range(200)]
+    assert simhash_vp.fingerprints(pa.array(texts)).tolist() == [brute_fingerprint(t) for t in texts]
+
+
+def brute_groups(values, bits=3):
+    root = {v: v for v in values}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a in values:
+        for b in values:
+            if a < b and (a ^ b).bit_count() <= bits:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    groups = {}
+    for v in values:
+        groups.setdefault(find(v), set()).add(v)
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+@pytest.mark.parametrize("bands", [1, 2, 4, 5])
+def test_trees_find_all_links(spark, bands, monkeypatch):
+    monkeypatch.setattr(simhash_vp, "OUTRIGHT", 16)
+    monkeypatch.setattr(simhash_vp, "SAMPLE_PER_LEAF", 16)
+    rng = random.Random(bands)
+    values = {rng.getrandbits(64) for _ in range(150)}
+    for v in list(values)[:60]:
+        for _ in range(rng.randrange(8)):
+            for _ in range(rng.randrange(1, 5)):
+                v ^= 1 << rng.randrange(64)
+            values.add(v)
+    signed = np.array(sorted(values), np.uint64).view(np.int64).tolist()
+    found = {}
+    for r in connected(simhash_vp.near_links(spark.createDataFrame([(v,) for v in signed], "simhash long"), bands=bands)
+                       ).collect():
+        found.setdefault(r.root, {r.root}).add(r.node)
+    mask = (1 << 64) - 1
+    assert {frozenset(v & mask for v in g) for g in found.values()} == brute_groups(sorted(values))
+
+
+def test_components_of_a_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (3, 2)], "a long, b long")
+    assert {(r.node, r.root) for r in connected(links).collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100)}
+    assert connected(links.limit(0)).count() == 0
+
+
+def test_near_duplicates_of_odd_rows(odd, empty):
+    rows = simhash_vp.near_duplicates(odd).collect()
+    assert len(rows) == odd.count()
+    ids = {(r.doc_id, r.component_id) for r in rows}
+    # Ids 0 and 1 are there twice, with no words and with "same same": two groups whose smallest id is 0.
+    assert ids == {(0, 0), (1, 0), (2, 0), (8, 0), (9, 0), (None, None), *[(i, i) for i in range(3, 8)]}
+    assert simhash_vp.near_duplicates(empty).count() == 0
+    kept = simhash_vp.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [
+        (False, i) for i in (0, 0, 3, 4, 5, 6, 7)] + [(True, None)]
+    assert simhash_vp.keep_one(empty).count() == 0
+
+
+# ---- decontamination ----
+
+def brute_contamination(texts, items):
+    def words(text):
+        return re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
+
+    windows = [(str(i) if i is not None else "", w[k:k + 10]) for i, t in items for w in [words(t)] if w
+               for k in range(max(1, len(w) - 9))]
+    out = []
+    for text in texts:
+        mine, hit, found = words(text), set(), set()
+        for item, window in windows:
+            for p in range(len(mine) - len(window) + 1):
+                if mine[p:p + len(window)] == window:
+                    hit |= set(range(p, p + len(window)))
+                    found.add(item)
+        out.append((len(mine), len(hit), sorted(found)))
+    return out
+
+
+@pytest.mark.parametrize("pass_words", [10**6, 15])
+def test_contamination(spark, pass_words):
+    rng = random.Random(3)
+    alphabet = ["a", "B", "é", "cc", "dd1", "e"]
+    items = [(i, " ".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 2, 3, 5, 9, 10, 11, 14]))))
+             for i in range(12)] + [(None, "q r"), (3, None)]
+    passages = [t.upper().replace("É", "é") for _, t in items if t is not None]
+    texts = [*ODD, "Q-r"]
+    for _ in range(100):
+        noise = "".join(rng.choice(alphabet) + rng.choice([" ", ". ", "\n"]) for _ in range(rng.randrange(40)))
+        texts.append(noise + rng.choice(passages))
+    docs = docs_of(spark, texts).withColumn("N_HIT", F.lit("clash"))
+    found = decontaminate.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"),
+                                             pass_words=pass_words)
+    rows = sorted(found.collect(), key=lambda r: r.doc_id)
+    assert [(r.n_words, r.n_hit, r.item_ids) for r in rows] == brute_contamination(texts, items)
+    assert all(sum(r.hit_ranges[1::2]) - sum(r.hit_ranges[0::2]) == r.n_hit for r in rows)
+
+
+def test_no_benchmark_and_no_documents(spark, odd, empty):
+    nothing = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.find_contamination(odd, nothing).where("n_hit > 0").count() == 0
+    assert decontaminate.drop_contaminated(empty, nothing).columns == empty.columns
+
+
+# ---- personal data ----
+
+def luhn(digits):
+    doubled = [int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))]
+    return sum(doubled) % 10 == 0
+
+
+def brute_spans(text):
+    rules = [(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v, d: True),
+             (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v, d: all(int(p) <= 255 for p in v.split("."))),
+             (r"[0-9]([\x20-]?[0-9])+", lambda v, d: 14 <= len(d) <= 19 and luhn(d)),
+             (r"\+[0-9][\x20().0-9-]+[0-9]", lambda v, d: 10 <= len(d) <= 15)]
+    return sorted((m.start(), n, m.end()) for n, (rule, ok) in enumerate(rules) for m in re.finditer(rule, text or "")
+                  if ok(m.group(), re.sub("[^0-9]", "", m.group())))
+
+
+def test_base_spans(spark):
+    rng = random.Random(1)
+    alphabet = ["a", "b.", "@", "1", "22", "255", "300", ".", "-", " ", "+", "(", ")", "é", "😀", "\n", "4111111111111111",
+                "4111 1111 1111 1111", "a@b.c", "_", "x@y", "%", "..", "1.2.3.4"]
+    texts = [*ODD, "a@b.c@d.e.f", "1.2.3.4.5.6.7.8", "+1 (375) 555-4393", "a" * 5000 + "@", "x@" + "a." * 2000 + "b",
+             "1.1.1.1 " * 1500]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(1500)]
+    rows = pii_bootstrap.find_personal_data(docs_of(spark, texts)).collect()
+    assert {r.doc_id: [tuple(s) for s in r.base] for r in rows} == {i: brute_spans(t) for i, t in enumerate(texts)}
+
+
+def test_contexts_discover_identifiers(spark):
+    texts = [f"Hello world Kontakt: u{i}@x{i}.org today" for i in range(10)] + [
+        "please Kontakt: hans12345(at)web now", "the year 20241 is", "again hans12345(at)web é.", None]
+    docs = docs_of(spark, texts).withColumn("candidates", F.lit("clash"))
+    added = {r.doc_id: [tuple(s) for s in r.added] for r in pii_bootstrap.find_personal_data(docs).collect()}
+    assert {i: s for i, s in added.items() if s} == {10: [(16, 0, 32)], 12: [(6, 0, 22)]}
+    clean = {r.doc_id: r for r in pii_bootstrap.redact(docs).collect()}
+    assert clean[0].text == "Hello world Kontakt: <email> today" and clean[0].candidates == "clash"
+    assert clean[10].text == "please Kontakt: <email> now" and clean[11].text == texts[11] and clean[13].text is None
+
+
+def test_personal_data_of_odd_rows(odd, empty):
+    assert pii_bootstrap.find_personal_data(odd).count() == odd.count()
+    assert pii_bootstrap.redact(odd).columns == odd.columns
+    assert pii_bootstrap.find_personal_data(empty).count() == 0 and pii_bootstrap.redact(empty).count() == 0
+
+
+# ---- quality ----
+
+def brute_base(text):
+    text = text or ""
+    words = space_words(text)
+    windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    lines = [line for line in text.split("\n") if space_words(line)]
+    return [len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)]
+
+
+def test_base_counts():
+    rng = random.Random(2)
+    texts = [*ODD] + ["".join(rng.choice(["a", "b", " ", "\n", "é", "#", "|x ", "a b a\n"]) for _ in range(rng.randrange(80)))
+                      for _ in range(300)]
+    counts = quality_llr.base_counts(Block.of(pa.array(texts)))
+    assert np.stack(counts, axis=1).tolist() == [brute_base(t) for t in texts]
+
+
+def test_likelihood_ratio_tells_target_from_rest(spark, odd, empty):
+    good = [" ".join(random.Random(i).choices(["the", "of", "and", "river", "house"], k=80)) for i in range(40)]
+    bad = [" ".join(random.Random(i).choices(["!!X", "%%%", "ZZ$", "Q#Q"], k=80)) for i in range(40)]
+    docs = docs_of(spark, good + bad)
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(50, 0), (None, 1), (3, None), (3, 1)],
+                                   "doc_id long, quality int")
+    rows = quality_llr.score_quality(docs, labels).collect()
+    assert all(r.kept == (r.doc_id < 40 and not r.base_failed) for r in rows)
+    assert {r.llr > 0 for r in rows if r.doc_id < 40} == {True}
+    scored = quality_llr.score_quality(odd, labels.limit(0)).collect()
+    assert len(scored) == odd.count() and {r.llr for r in scored} == {0.0}
+    assert quality_llr.score_quality(empty, labels).count() == 0
+
+
+def test_positive_unlabelled(spark, odd, empty):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(300)]
+    good = [". ".join(" ".join(rng.choices(words, k=rng.randrange(4, 20))).capitalize() for _ in range(rng.randrange(2, 12)))
+            for _ in range(900)]
+    bad = ["BUY!! NOW!! " * rng.randrange(10, 90) if i % 2 else " ".join(
+        w + rng.choice(["###", "$$$"]) for w in rng.choices(words, k=rng.randrange(10, 90))) for i in range(300)]
+    docs = docs_of(spark, good + bad)
+    labels = spark.createDataFrame([(i, 1) for i in range(400)] + [(None, 1), (5, 0)], "doc_id long, quality int")
+    fitted = pu_quality.learn_quality(docs, labels)
+    rows = pu_quality.score_documents(docs, fitted).where("doc_id >= 400").collect()
+    right = sum(r.predicted == (r.doc_id < 900) for r in rows) / len(rows)
+    assert right >= 0.95 and 0.6 < fitted.prior < 0.9
+    scored = pu_quality.score_documents(odd, fitted).collect()
+    assert len(scored) == odd.count() and all(0 <= r.score <= 1 for r in scored)
+    nothing = pu_quality.learn_quality(empty, labels)
+    assert {r.score for r in pu_quality.score_documents(docs, nothing).collect()} == {0.5}
+
+
+# ---- languages ----
+
+def test_languages(spark, odd, empty):
+    spoken = {"xx": "the of and river house under stone walks".split(), "yy": "el río casa bajo piedra que camina".split()}
+    rows = [(i, " ".join(random.Random(i).choices(spoken[lang], k=20)), lang, None, None)
+            for i, lang in enumerate(["xx", "yy"] * 60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    fitted = language_id.fit_languages(docs.where("doc_id < 80").union(odd.select(*docs.columns)))
+    found = language_id.predict_language(docs, fitted).where("doc_id >= 80").collect()
+    assert all(r.lang_pred == r.lang and 0 <= r.score <= 1 for r in found)
+    strange = {r.text: r.lang_pred for r in language_id.predict_language(odd, fitted).collect()}
+    assert strange[None] == strange[""] == strange[" \n\t"] == "und" and strange["a"] in spoken
+    nothing = language_id.fit_languages(empty)
+    assert {r.lang_pred for r in language_id.predict_language(odd, nothing).collect()} == {"und"}
+    assert language_id.predict_language(empty, fitted).count() == 0
+
+
+def test_presence_rows_are_kernels():
+    """Scores are those of the kernel between the text and the landmarks, by the definition over sets."""
+    texts = pa.array(["the river", "el río", "the house under", "la casa"])
+    sets = language_id.bucket_sets(texts)
+    fitted = language_id.LanguageModel.fit(sets, ["a", "b", "a", "b"])
+    kernel = np.array([[len(set(x) & set(y)) / np.sqrt(len(x) * len(y)) for y in sets] for x in sets])
+    target = np.array([[1, 0], [0, 1]] * 2)
+    values, vectors = np.linalg.eigh(kernel)
+    space = kernel @ vectors / np.sqrt(values)
+    centred = space - space.mean(axis=0)
+    solution = np.linalg.solve(centred.T @ centred + language_id.RIDGE * 4 * np.eye(4), centred.T @ (target - 0.5))
+    assert np.allclose(fitted.score(texts), centred @ solution + 0.5, atol=1e-4)
+
+
+# ---- fixity ----
+
+def test_audit_finds_the_damage(spark):
+    rng = random.Random(4)
+    one = [(f, r, 10 * r, 10 * r + 10, hashlib.md5(f"{f}{r}".encode()).hexdigest()) for f in range(3) for r in range(70)]
+    two, want = [], set()
+    for file, record, start, end, digest in one:
+        turn = rng.randrange(20)
+        if turn == 0:
+            want.add((file, record, "missing"))
+        elif turn == 1:
+            want.add((file, record, "changed"))
+            two.append((file, record, start, end, "bad" + digest))
+        else:
+            two.append((file, record, start, end, digest))
+    two += [(1, 300, 0, 10, "x"), (9, 0, 0, 10, "y")]
+    want |= {(1, 300, "extra"), (9, 0, "extra")}
+    schema = "file long, record long, start long, end long, digest string"
+    a, b = spark.createDataFrame(one, schema), spark.createDataFrame(two, schema)
+    assert {(r.file, r.record, r.fault) for r in warc_fixity.audit(a, b).collect()} == want
+    assert warc_fixity.audit(a, a.union(a.limit(5))).count() == 0
+    assert warc_fixity.audit(a.limit(0), a.limit(0)).count() == 0 and warc_fixity.audit(a.limit(0), b).count() == len(two)
+
+
+def test_manifest_is_gapless(spark):
+    pages = spark.createDataFrame([(i % 20, f"u{i % 20}", "é" * (i % 20)) for i in range(60)] + [(None, None, None)],
+                                  "page_id long, url string, html string")
+    rows = warc_fixity.records(pages)
+    placed = warc_fixity.manifest(rows, ["page_id", "length", "digest"], per_file=16).collect()
+    contents = {hashlib.sha256(r.content.encode()).hexdigest(): r.content for r in rows.collect()}
+    assert len(placed) == 61 and all(contents[r.digest].startswith("WARC/1.1\r\n") for r in placed)
+    for file in range(4):
+        mine = sorted((r for r in placed if r.file == file), key=lambda r: r.record)
+        assert [r.record for r in mine] == list(range(16 if file < 3 else 13))
+        assert [r.start for r in mine] == [0, *[r.end for r in mine][:-1]]
+        assert all(r.end - r.start == len(contents[r.digest].encode()) for r in mine)
