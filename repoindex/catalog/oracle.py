@@ -49,14 +49,17 @@ STEPS = {
               FROM occurring) GROUP BY ALL""",
     "pair_logs": """
         SELECT a.query_id, a.id,
-               sum(ln(1.0 - 0.1 * sqrt(CASE WHEN abs(a.pos - b.pos) > 100 THEN 1e-30::DOUBLE
-                   ELSE 1.0 / (1.005 + 0.05 * exp(abs(a.pos - b.pos) / 1.5 - 2.0)) END))) AS logs
+               -- ln(1 - y), by its series where y is small
+               sum(CASE WHEN y < 1e-6 THEN -y * (1.0 + y / 2.0) ELSE ln(1.0 - y) END) AS logs
         FROM occurring a JOIN occurring b
-        ON a.query_id = b.query_id AND a.id = b.id AND a.lexeme < b.lexeme
+        ON a.query_id = b.query_id AND a.id = b.id AND a.lexeme < b.lexeme,
+        LATERAL (SELECT 0.1 * sqrt(CASE WHEN abs(a.pos - b.pos) > 100 THEN 1e-30::DOUBLE
+                     ELSE 1.0 / (1.005 + 0.05 * exp(abs(a.pos - b.pos) / 1.5 - 2.0)) END) AS y)
         GROUP BY ALL""",
     "ranked": """
         SELECT m.query_id, m.namespace, m.kind, m.id,
-               round(CASE WHEN n.n > 1 THEN 1.0 - exp(p.logs) ELSE s.share END, 9) AS rank
+               CAST(CAST(CASE WHEN n.n = 1 THEN s.share WHEN p.logs > -1e-6 THEN -p.logs * (1.0 + p.logs / 2.0)
+                              ELSE 1.0 - exp(p.logs) END AS FLOAT) AS DOUBLE) AS rank
         FROM matched m JOIN n_questions n ON m.query_id = n.query_id
         LEFT JOIN pair_logs p ON m.query_id = p.query_id AND m.id = p.id
         LEFT JOIN (SELECT query_id, id, sum(share) AS share FROM term_shares GROUP BY ALL) s
@@ -253,7 +256,7 @@ CHECKS: dict[str, tuple[list[str], str]] = {
         WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM ({_hits('t_chunks', 't_second')}))"""),
     "fts_ranks": (_RANK, "SELECT * FROM ranked"),
     "fts_ranks_any": ([*_RANK], """
-        SELECT h.query_id, h.namespace, h.kind, h.id, round(s.share / n.n, 9) AS rank
+        SELECT h.query_id, h.namespace, h.kind, h.id, CAST(CAST(s.share / n.n AS FLOAT) AS DOUBLE) AS rank
         FROM held h JOIN n_questions n USING (query_id)
         JOIN (SELECT query_id, id, sum(share) AS share FROM term_shares GROUP BY ALL) s USING (query_id, id)"""),
     "fts_topk_hits": ([*_RANK, "text_hits"], "SELECT * FROM text_hits"),
@@ -306,6 +309,8 @@ CHECKS: dict[str, tuple[list[str], str]] = {
             SELECT (namespace, file_path) FROM c_changes WHERE op = 'deleted')"""),
     "ingest_store": (_WHOLE, f"SELECT {_ROWS.replace('chunk_index', '0 AS chunk_index')} FROM w_files"),
     "reindex_store": ([*_WHOLE, "v_changes", "c_latest", "w_reindexed"], "SELECT * FROM w_reindexed"),
+    "reindex_raw_namespace": ([*_WHOLE, "v_changes", "c_latest", "w_reindexed"], "SELECT * FROM w_reindexed"),
+    "stream_late_events": ([*_WHOLE, "v_changes", "c_latest", "w_reindexed"], "SELECT * FROM w_reindexed"),
     "stream_reindexed": ([*_WHOLE, "v_changes", "c_latest", "w_reindexed"], "SELECT * FROM w_reindexed"),
     "sync_apply": ([*_WHOLE, "v_changes", "c_latest", "v_registry", "v_heads", "c_diffs", "c_plan"], """
         SELECT w.namespace, w.kind, w.id, w.file_path, '' AS package, 0 AS chunk_index,
@@ -359,7 +364,9 @@ CHECKS: dict[str, tuple[list[str], str]] = {
         LEFT JOIN v_chunks c USING (namespace, file_path) GROUP BY a.namespace, a.file_path"""),
     "namespace_info": ([*_CHUNKS, "v_registry"], """
         SELECT r.namespace, r.repo_url, r.last_commit_sha,
-               concat(strftime(r.last_indexed_at, '%Y-%m-%dT%H:%M:%S'), 'Z') AS last_indexed_at,
+               concat(strftime(r.last_indexed_at, '%Y-%m-%dT%H:%M:%S'),
+                      CASE WHEN microsecond(r.last_indexed_at) % 1000000 = 0 THEN ''
+                           ELSE strftime(r.last_indexed_at, '.%f') END, '+00:00') AS last_indexed_at,
                count(DISTINCT CASE kind WHEN 'code' THEN file_path END) AS code_files,
                count(CASE kind WHEN 'code' THEN 1 END) AS code_chunks,
                count(DISTINCT CASE kind WHEN 'docs' THEN file_path END) AS doc_files,

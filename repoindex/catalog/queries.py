@@ -588,6 +588,29 @@ def stream_reindexed(spark, sf_dir):
     return read_chunks(spark, store).select(*ROW_COLUMNS)
 
 
+@query
+def reindex_raw_namespace(spark, sf_dir):
+    """The reindex with every namespace spelled as its owner would: the store's own spelling decides."""
+    def raw(df):
+        return df.withColumn("namespace", F.upper(F.replace("namespace", F.lit("_"), F.lit("-"))))
+
+    store = _old_store(spark, sf_dir, "reindex-raw")
+    reindex(spark, store, raw(_files(spark, sf_dir)), raw(_latest_changes(spark, sf_dir)), options=WHOLE)
+    return read_chunks(spark, store).select(*ROW_COLUMNS)
+
+
+@query
+def stream_late_events(spark, sf_dir):
+    """The streamed feed out of order, in several batches: the last event of a path decides, not the last batch."""
+    store = _old_store(spark, sf_dir, "late")
+    feed_path = scratch_path(spark, "late-feed")
+    feed = _feed(view(spark, sf_dir, "v_changes"))
+    feed.repartition(3, F.xxhash64("event_id")).write.parquet(feed_path)
+    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(feed_path)
+    stream_reindex(stream, _files(spark, sf_dir), store, f"{store}/progress", options=WHOLE).awaitTermination()
+    return read_chunks(spark, store).select(*ROW_COLUMNS)
+
+
 def _synced(spark, sf_dir):
     store = _old_store(spark, sf_dir, "sync")
     commit(spark, store, registry=view(spark, sf_dir, "v_registry"), config="simple")

@@ -81,7 +81,10 @@ def short_sha(sha: Column) -> Column:
 
 
 def iso_timestamp(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    """Seconds, a six-digit fraction unless it is zero, and the offset as ``+00:00``."""
+    fraction = F.date_format(ts, ".SSSSSS")
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction != ".000000", fraction).otherwise(""),
+                    F.date_format(ts, "xxx"))
 
 
 def normalise_newlines(text: Column) -> Column:

@@ -41,7 +41,7 @@ POSITIONS_TYPE = T.ArrayType(T.StructType([
     T.StructField("lexeme", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
 
 
-def positions_column(words: Column, config: str, max_position: int, max_positions: int) -> Column:
+def positions_column(words: Column, config: str) -> Column:
     """ARRAY<STRUCT<lexeme, positions>> of a token list: its distinct lexemes with their ascending positions.
 
     The grouping is within one row, so it needs no shuffle; it runs as one sort of integers per Arrow batch.
@@ -52,7 +52,7 @@ def positions_column(words: Column, config: str, max_position: int, max_position
         lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         starts = np.cumsum(lengths) - lengths
         row = np.repeat(np.arange(len(lists)), lengths)
-        position = np.minimum(np.arange(len(row)) - np.repeat(starts, lengths) + 1, max_position)
+        position = np.arange(len(row)) - np.repeat(starts, lengths) + 1
         flat = lists.flatten()
         coded = (english_of(flat) if config == "english" else flat).dictionary_encode()
         kept = coded.indices.is_valid().to_numpy(zero_copy_only=False)
@@ -65,13 +65,8 @@ def positions_column(words: Column, config: str, max_position: int, max_position
         opens[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
         group = np.cumsum(opens) - 1
         group_start = np.flatnonzero(opens)
-        nth = np.arange(len(row)) - group_start[group] if len(row) else row
-        again = np.zeros(len(row), dtype=bool)
-        again[1:] = (position[1:] == position[:-1]) & ~opens[1:]
-        wanted = (nth < max_positions) & ~again
-
-        per_group = np.bincount(group[wanted], minlength=len(group_start))
-        positions = pa.ListArray.from_arrays(_offsets(per_group), pa.array(position[wanted].astype(np.int32)))
+        per_group = np.bincount(group, minlength=len(group_start))
+        positions = pa.ListArray.from_arrays(_offsets(per_group), pa.array(position.astype(np.int32)))
         lexemes = coded.dictionary.take(pa.array(code[group_start]))
         entries = pa.StructArray.from_arrays([lexemes, positions], names=["lexeme", "positions"])
         per_row = np.bincount(row[group_start], minlength=len(lists))

@@ -31,12 +31,13 @@ def classify_diff(files: DataFrame) -> DataFrame:
               F.array(change("previous_filename", "deleted"), change("filename", "changed")))
         .otherwise(F.array(change("filename", "changed")))
     )
-    return files.select("namespace", F.explode(ops).alias("c")).select("namespace", "c.file_path", "c.op")
+    namespace = sanitise(F.col("namespace")).alias("namespace")
+    return files.select(namespace, F.explode(ops).alias("c")).select("namespace", "c.file_path", "c.op")
 
 
 def effective_changes(changes: DataFrame) -> DataFrame:
     """One row per path. A path both deleted and changed (a rename swap) exists, so it counts as changed."""
-    return changes.groupBy("namespace", "file_path").agg(F.min("op").alias("op"))
+    return changes.groupBy(sanitise(F.col("namespace")).alias("namespace"), "file_path").agg(F.min("op").alias("op"))
 
 
 def diff_too_large(diffs: DataFrame, max_commits: int = MAX_COMMITS, max_files: int = MAX_FILES) -> DataFrame:
@@ -59,11 +60,11 @@ def sync_plan(registry: DataFrame, heads: DataFrame, diffs: DataFrame, max_commi
     Actions, in this order: failed (no head known), up_to_date, full_baseline (no commit recorded),
     full_too_large, noop_advance (nothing changed), incremental; failed also when the comparison is missing.
     """
-    sized = diff_too_large(diffs, max_commits, max_files)
+    sized, namespace = diff_too_large(diffs, max_commits, max_files), sanitise(F.col("namespace")).alias("namespace")
     joined = (
-        registry.select("namespace", "repo_url", "last_commit_sha")
-        .join(heads.select("namespace", F.col("sha").alias("head")), "namespace", "left_outer")
-        .join(sized.select("namespace", "files", "too_large"), "namespace", "left_outer")
+        registry.select(namespace, "repo_url", "last_commit_sha")
+        .join(heads.select(namespace, F.col("sha").alias("head")), "namespace", "left_outer")
+        .join(sized.select(namespace, "files", "too_large"), "namespace", "left_outer")
     )
     action = (
         F.when(F.col("head").isNull(), "failed")

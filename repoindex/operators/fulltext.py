@@ -12,7 +12,6 @@ INVERSE_SQUARES_LIMIT = 1.64493406685
 FAR_DISTANCE = 100
 FAR_WEIGHT = 1e-30
 CANDIDATES = 20
-RANK_DIGITS = 9
 
 PUSHED_LEXEMES = 1000
 
@@ -106,7 +105,7 @@ def fts_match(postings: DataFrame, clauses: DataFrame, universe: DataFrame | Non
     Postings meet the questions on the lexeme; what a chunk has of a question's lexemes is gathered in one
     row (no longer than the question) and the boolean form is evaluated there, so phrases and negations
     need no joins of their own. The lexemes of few questions also go to the scan as a filter: stored postings
-    are sorted by lexeme, so it skips all but their row groups and pages. A question with an alternative made of negations only matches chunks that
+    are sorted by lexeme, so it can skip row groups. A question with an alternative made of negations only matches chunks that
     have none of its lexemes: those come from ``universe`` (namespace, kind, id).
     """
     words = _few_lexemes(clauses)
@@ -151,7 +150,7 @@ def _distance_rank(found: Column, terms: Column) -> Column:
     def pair_log(distance: Column) -> Column:
         near = 1.0 / (1.005 + 0.05 * F.exp(distance / 1.5 - 2.0))
         strength = F.when(distance > FAR_DISTANCE, FAR_WEIGHT).otherwise(near)
-        return F.when(distance == 0, 0.0).otherwise(F.ln(1.0 - WEIGHT * F.sqrt(strength)))
+        return F.when(distance == 0, 0.0).otherwise(F.log1p(-WEIGHT * F.sqrt(strength)))
 
     def positions(term: Column) -> Column:
         return F.coalesce(F.try_element_at(found, term), F.array().cast("array<int>"))
@@ -165,15 +164,15 @@ def _distance_rank(found: Column, terms: Column) -> Column:
                            lambda acc, earlier: acc + of_pair(term, earlier))
 
     logs = F.aggregate(F.transform(terms, with_earlier), F.lit(0.0), lambda acc, x: acc + x)
-    return 1.0 - F.exp(logs)
+    return -F.expm1(logs)
 
 
-def fts_rank(matches: DataFrame, digits: int = RANK_DIGITS) -> DataFrame:
-    """Hit keys and ``rank``, rounded so that equal formulas tie."""
+def fts_rank(matches: DataFrame) -> DataFrame:
+    """Hit keys and ``rank``, of single precision so that equal formulas tie; words far apart still rank above zero."""
     found, terms = F.col("found"), F.col("terms")
     rank = F.when(F.col("ranked_by_distance"), _distance_rank(found, terms)).otherwise(
         _frequency_rank(found, terms))
-    return matches.select(*HIT_KEYS, F.round(rank, digits).alias("rank"))
+    return matches.select(*HIT_KEYS, rank.cast("float").cast("double").alias("rank"))
 
 
 def fts_topk(ranked: DataFrame, k: int = CANDIDATES) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repoindex.functions.columns import parent_dir
+from repoindex.functions.columns import parent_dir, sanitise
 from repoindex.functions.sizing import small_side
 
 
@@ -13,14 +13,15 @@ def package_of_dirs(files: DataFrame, manifests: DataFrame) -> DataFrame:
     Works on distinct directories, so a directory that holds a third of all files is one row here.
     The repository root is not looked at.
     """
-    dirs = files.select("namespace", parent_dir(F.col("file_path")).alias("dir")).distinct().where("dir != ''")
+    dirs = files.select(sanitise(F.col("namespace")).alias("namespace"), parent_dir(F.col("file_path")).alias("dir")).distinct().where("dir != ''")
     parts = F.split("dir", "/")
     ancestors = dirs.select(
         "namespace", "dir",
         F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)),
                                  lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("depth", "above"),
     )
-    named = manifests.where("dir != '' AND name != ''").select("namespace", F.col("dir").alias("above"), "name")
+    named = manifests.where("dir != '' AND name != ''").select(
+        sanitise(F.col("namespace")).alias("namespace"), F.col("dir").alias("above"), "name")
     return (
         ancestors.join(named, ["namespace", "above"])
         .groupBy("namespace", "dir").agg(F.max_by("name", "depth").alias("package"))
@@ -31,8 +32,7 @@ def nearest_package(files: DataFrame, manifests: DataFrame) -> DataFrame:
     """Add ``package``: the name in the closest named manifest above each file, '' when there is none."""
     named_dirs = package_of_dirs(files, manifests)
     return (
-        files.withColumn("dir", parent_dir(F.col("file_path")))
-        .join(small_side(named_dirs), ["namespace", "dir"], "left_outer")
-        .withColumn("package", F.coalesce("package", F.lit("")))
-        .drop("dir")
+        files.withColumns({"dir": parent_dir(F.col("file_path")), "_namespace": sanitise(F.col("namespace"))})
+        .join(small_side(named_dirs.withColumnRenamed("namespace", "_namespace")), ["_namespace", "dir"], "left_outer")
+        .select(*files.columns, F.coalesce("package", F.lit("")).alias("package"))
     )

@@ -5,10 +5,6 @@ from pyspark.sql import functions as F
 
 from repoindex.functions.tokens import lexeme_array, positions_column, tokens
 
-# Limits of a full-text vector.
-MAX_POSITION = 16383
-MAX_POSITIONS_PER_LEXEME = 256
-
 
 def lexemes(df: DataFrame, config: str = "english", text_col: str = "text") -> DataFrame:
     """One row per lexeme occurrence, with its 1-based position; stop words are counted, then left out.
@@ -26,9 +22,9 @@ def lexemes(df: DataFrame, config: str = "english", text_col: str = "text") -> D
 def build_postings(chunks: DataFrame, config: str = "english") -> DataFrame:
     """(namespace, kind, id, lexeme, positions), one row per lexeme and chunk, and ``bucket`` if chunks have it.
 
-    A map-side operation: all tokens of a chunk are in one row, so they are grouped there. Whoever writes the
+    All positions are kept. A map-side operation: all tokens of a chunk are in one row, so they are grouped there. Whoever writes the
     table decides its layout.
     """
-    words = positions_column(tokens(F.col("text")), config, MAX_POSITION, MAX_POSITIONS_PER_LEXEME)
+    words = positions_column(tokens(F.col("text")), config)
     keys = ["namespace", "kind", "id"] + (["bucket"] if "bucket" in chunks.columns else [])
     return chunks.select(*keys, F.explode(words).alias("entry")).select(*keys, "entry.lexeme", "entry.positions")

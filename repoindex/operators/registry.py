@@ -18,7 +18,7 @@ def register(registry: DataFrame, updates: DataFrame, now: Column | None = None)
 
 def advance_sha(registry: DataFrame, shas: DataFrame, now: Column | None = None) -> DataFrame:
     """Set (namespace, sha) on namespaces that are registered; others are not added."""
-    fresh = shas.select("namespace", F.col("sha").alias("new_sha"), F.lit(True).alias("hit"))
+    fresh = shas.select(sanitise(F.col("namespace")).alias("namespace"), F.col("sha").alias("new_sha"), F.lit(True).alias("hit"))
     stamp = F.current_timestamp() if now is None else now
     return registry.join(fresh, "namespace", "left_outer").select(
         "namespace", "repo_url",

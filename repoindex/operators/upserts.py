@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repoindex.functions.columns import sanitise
 from repoindex.functions.sizing import small_side
 
 
@@ -19,6 +20,13 @@ def unique_rows(df: DataFrame, key: list[str]) -> DataFrame:
     return marked.where(once).select(*df.columns)
 
 
+def refuse_duplicates(df: DataFrame, key: list[str]) -> None:
+    """Raise if a key occurs twice: one job over the keys, counted map-side first."""
+    repeated = df.groupBy(*key).agg(F.count("*").alias("_copies")).where("_copies > 1").first()
+    if repeated is not None:
+        raise ValueError("duplicate key in batch: " + ":".join(str(repeated[k]) for k in key))
+
+
 def upsert(base: DataFrame, updates: DataFrame, key: list[str], checked: bool = False) -> DataFrame:
     """Base rows whose key is not updated, and the updates. ``checked`` says the keys are known to be unique."""
     incoming = updates if checked else unique_rows(updates, key)
@@ -28,7 +36,7 @@ def upsert(base: DataFrame, updates: DataFrame, key: list[str], checked: bool =
 
 def touched_paths(changes: DataFrame) -> DataFrame:
     """Changed and deleted paths alike, once each."""
-    return changes.select("namespace", "file_path").distinct()
+    return changes.select(sanitise(F.col("namespace")).alias("namespace"), "file_path").distinct()
 
 
 def delete_paths(base: DataFrame, paths: DataFrame) -> DataFrame:

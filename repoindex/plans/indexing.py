@@ -13,7 +13,7 @@ from repoindex.operators.chunk_checks import check_chunks, violations
 from repoindex.operators.chunking import ChunkRule, DEFAULT_RULES, chunk_files, routed_files
 from repoindex.operators.packages import nearest_package
 from repoindex.operators.registry import advance_sha, register
-from repoindex.operators.upserts import delete_paths, deleted_counts, unique_rows
+from repoindex.operators.upserts import delete_paths, deleted_counts
 from repoindex.schemas import CHUNK_SCHEMA, EMBEDDING_DIM
 from repoindex.sources.readers import restrict_to
 from repoindex.sources.store import (
@@ -61,15 +61,16 @@ def reindex_rows(base: DataFrame, files: DataFrame, changes: DataFrame, manifest
 
 
 def ingest(spark: SparkSession, store: str, files: DataFrame, manifests: DataFrame | None = None,
-           mode: str = "upsert", options: IndexOptions = IndexOptions()) -> int:
+           mode: str = "upsert", options: IndexOptions = IndexOptions(), registration: DataFrame | None = None,
+           now: Column | None = None) -> int:
     """Index files into a store. ``upsert`` leaves the rows of files that are gone; ``replace`` clears the
-    namespaces of the files first."""
+    namespaces of the files first. ``registration`` (namespace, repo_url, sha) is recorded in the same version."""
     if mode not in ("upsert", "replace"):
         raise ValueError(f"unknown ingest mode: {mode}")
     rows = stage(check_chunks(ingest_rows(files, manifests, options), options.dim), store)
-    incoming = unique_rows(rows, ["namespace", "id"])
     cleared = files.select(sanitise(F.col("namespace")).alias("namespace")).distinct() if mode == "replace" else None
-    return commit(spark, store, incoming=incoming, cleared=cleared, config=options.config,
+    registry = None if registration is None else register(read_registry(spark, store), registration, now)
+    return commit(spark, store, incoming=rows, cleared=cleared, registry=registry, config=options.config,
                   buckets=options.buckets)
 
 
@@ -85,8 +86,9 @@ def reindex(spark: SparkSession, store: str, files: DataFrame, changes: DataFram
 
 def sync(spark: SparkSession, store: str, heads: DataFrame, diffs: DataFrame, changes: DataFrame,
          files: DataFrame, manifests: DataFrame | None = None, full_mode: str = "upsert",
-         now: Column | None = None, options: IndexOptions = IndexOptions()) -> DataFrame:
-    """Bring every registered namespace to its head in one job, and return a report per namespace.
+         now: Column | None = None, options: IndexOptions = IndexOptions(),
+         names: list[str] | None = None) -> DataFrame:
+    """Bring every registered namespace, or those in ``names``, to its head in one job; a report row per namespace.
 
     ``heads`` (namespace, sha), ``diffs`` (namespace, ahead_by, files), ``changes`` (namespace, file_path, op)
     and ``files`` describe one snapshot. Namespaces that fail (no head, no comparison, a text without a valid
@@ -94,7 +96,9 @@ def sync(spark: SparkSession, store: str, heads: DataFrame, diffs: DataFrame, ch
     """
     ensure_store(spark, store)
     registry = read_registry(spark, store)
-    plan = stage(sync_plan(registry, heads, diffs), store)
+    files = files.withColumn("namespace", sanitise(F.col("namespace")))
+    due = registry if names is None else registry.where(F.col("namespace").isin(*[sanitise(F.lit(n)) for n in names]))
+    plan = stage(sync_plan(due, heads, diffs), store)
     full = plan.where("action IN ('full_baseline', 'full_too_large')").select("namespace")
     partial = plan.where("action = 'incremental'").select("namespace")
 

@@ -14,9 +14,10 @@ def decode_text(files: DataFrame) -> DataFrame:
 
 
 def restrict_to(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """Files whose path is listed; listed paths without a file are ignored."""
-    keys = changes.select("namespace", "file_path").distinct()
-    return files.join(small_side(keys), ["namespace", "file_path"], "left_semi")
+    """Files whose path is listed, under whatever spelling of the namespace; listed paths without a file are ignored."""
+    keys = changes.select(C.sanitise(F.col("namespace")).alias("_namespace"), "file_path").distinct()
+    named = files.withColumn("_namespace", C.sanitise(F.col("namespace")))
+    return named.join(small_side(keys), ["_namespace", "file_path"], "left_semi").select(*files.columns)
 
 
 def read_manifests(files: DataFrame) -> DataFrame:

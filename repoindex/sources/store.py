@@ -1,12 +1,14 @@
 """The index on disk: chunks, postings and registry as Parquet, in versions.
 
-    chunks/v=N/namespace=…/kind=…/bucket=…      rows written by commit N
-    postings/v=N/namespace=…/kind=…/bucket=…    the same buckets, by lexeme
-    registry/v=N                                whole registry at commit N
-    live/at=N                                   which commit holds each (namespace, kind, bucket); written last
+    chunks/v=M/namespace=…/kind=…/bucket=…      rows written by one commit
+    postings/v=M/namespace=…/kind=…/bucket=…    the same buckets, by lexeme
+    registry/v=M                                whole registry as of that commit
+    claims/v=M                                  who writes M
+    live/at=N                                   which M holds each (namespace, kind, bucket) at version N; written last
 
 A commit rewrites only the buckets it touches. Readers join the live table, which prunes partitions, so they
-see the old version until the new live table is there; a lost job leaves no half-written state behind.
+see the old version until the new live table is there; a lost job leaves no half-written state behind. M is N, or
+a number of its own if N is claimed, so two writers never write to one place; the one that comes second fails.
 """
 
 import uuid
@@ -19,13 +21,14 @@ from pyspark.sql import types as T
 from repoindex.functions.columns import sanitise
 from repoindex.functions.sizing import small_side
 from repoindex.operators.postings import build_postings
+from repoindex.operators.upserts import refuse_duplicates
 from repoindex.schemas import CHUNK_SCHEMA, POSTING_SCHEMA, REGISTRY_SCHEMA
 
 BUCKETS = 16
 ROWS_PER_BUCKET_BLOCK = 4096
 BUCKET_KEYS = ["namespace", "kind", "bucket"]
 
-_LIVE_SCHEMA = "namespace string, kind string, bucket int, v int, at int"
+_LIVE_SCHEMA = "namespace string, kind string, bucket int, v bigint, at int"
 
 
 def bucket_of(path: Column, index: Column, buckets: int) -> Column:
@@ -37,7 +40,7 @@ def bucket_of(path: Column, index: Column, buckets: int) -> Column:
 def _with_layout(schema: T.StructType) -> T.StructType:
     """A table schema as it lies on disk: bucket and version are partition columns too."""
     return T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()),
-                         T.StructField("v", T.IntegerType())])
+                         T.StructField("v", T.LongType())])
 
 
 def current_version(spark: SparkSession, store: str) -> int | None:
@@ -57,13 +60,26 @@ def ensure_store(spark: SparkSession, store: str) -> int:
         return version
     spark.createDataFrame([], REGISTRY_SCHEMA).write.mode("overwrite").parquet(f"{store}/registry/v=0")
     # One row of no namespace: a version with no buckets at all must still be found.
-    spark.sql("SELECT CAST(NULL AS STRING) namespace, CAST(NULL AS STRING) kind, -1 bucket, 0 v").write.mode(
+    spark.sql("SELECT CAST(NULL AS STRING) namespace, CAST(NULL AS STRING) kind, -1 bucket, 0L v").write.mode(
         "overwrite").parquet(f"{store}/live/at=0")
     return 0
 
 
 def _live(spark: SparkSession, store: str, version: int) -> DataFrame:
-    return spark.read.schema(_LIVE_SCHEMA).parquet(f"{store}/live").where(F.col("at") == version).drop("at")
+    rows = spark.read.schema(_LIVE_SCHEMA).option("basePath", f"{store}/live").parquet(f"{store}/live/at={version}")
+    return rows.drop("at")
+
+
+def _live_files(spark: SparkSession, store: str, table: str, layout: T.StructType, live: DataFrame) -> DataFrame:
+    """Rows of the versions that are live; only their folders are listed."""
+    versions = [row["v"] for row in live.select("v").distinct().collect()]
+    rows = spark.read.schema(layout).option("basePath", f"{store}/{table}")
+    return _live_rows(rows.parquet(*[f"{store}/{table}/v={v}" for v in sorted(versions)]), live)
+
+
+def _registry_rows(spark: SparkSession, store: str, version: int) -> DataFrame:
+    place = _live(spark, store, version).where("bucket = -1").first()["v"]
+    return spark.read.schema(REGISTRY_SCHEMA).parquet(f"{store}/registry/v={place}")
 
 
 def _read_table(spark, store, table, schema, namespaces, kinds) -> DataFrame:
@@ -73,7 +89,7 @@ def _read_table(spark, store, table, schema, namespaces, kinds) -> DataFrame:
     if live is None or live.isEmpty():
         rows = spark.createDataFrame([], layout)
     else:
-        rows = _live_rows(spark.read.schema(layout).parquet(f"{store}/{table}"), live)
+        rows = _live_files(spark, store, table, layout, live)
     if namespaces is not None:
         rows = rows.where(F.col("namespace").isin(*[sanitise(F.lit(n)) for n in namespaces]))
     if kinds is not None:
@@ -100,7 +116,7 @@ def read_registry(spark: SparkSession, store: str) -> DataFrame:
     version = current_version(spark, store)
     if version is None:
         return spark.createDataFrame([], REGISTRY_SCHEMA)
-    return spark.read.schema(REGISTRY_SCHEMA).parquet(f"{store}/registry/v={version}")
+    return _registry_rows(spark, store, version)
 
 
 def stage(df: DataFrame, store: str) -> DataFrame:
@@ -121,24 +137,47 @@ def commit(
     buckets: int = BUCKETS,
 ) -> int:
     """One new version: drop ``deletes`` (namespace, file_path) and the namespaces in ``cleared``, upsert
-    ``incoming`` chunk rows (unique ids, read more than once: pass a staged table), replace the registry.
+    ``incoming`` chunk rows (read more than once: pass a staged table), replace the registry. Namespaces may be spelled
+    in any way. An id that occurs twice in ``incoming`` fails the commit, and so does a version that another writer
+    has made in the meantime.
 
     Rows of buckets that none of these touch are not read, but for the paths of the namespaces concerned.
     """
     version = ensure_store(spark, store)
     new = version + 1
+    place = _claim(spark, store, new)
     live = _live(spark, store, version)
+    incoming, deletes, cleared, registry = (
+        None if df is None else df.withColumn("namespace", sanitise(F.col("namespace")))
+        for df in (incoming, deletes, cleared, registry))
+    if incoming is not None:
+        refuse_duplicates(incoming, ["namespace", "id"])
     if incoming is not None or deletes is not None or cleared is not None:
-        written = _write_buckets(spark, store, new, live, incoming, deletes, cleared, config, buckets)
+        written = _write_buckets(spark, store, place, live, incoming, deletes, cleared, config, buckets)
         live = live.join(small_side(written), BUCKET_KEYS, "left_anti").unionByName(
-            written.withColumn("v", F.lit(new)))
+            written.withColumn("v", F.lit(place).cast("long")))
     if registry is None:
-        registry = spark.read.schema(REGISTRY_SCHEMA).parquet(f"{store}/registry/v={version}")
-    registry.select(*REGISTRY_SCHEMA.names).write.mode("overwrite").parquet(f"{store}/registry/v={new}")
+        registry = _registry_rows(spark, store, version)
+    registry.select(*REGISTRY_SCHEMA.names).write.mode("overwrite").parquet(f"{store}/registry/v={place}")
+    live = live.withColumn("v", F.when(F.col("bucket") == -1, F.lit(place).cast("long")).otherwise(F.col("v")))
+    if current_version(spark, store) != version:
+        raise RuntimeError(f"version {new} of {store} was made by another writer; nothing of this commit is seen")
     live.coalesce(1).write.mode("overwrite").parquet(f"{store}/live/at={new}")
     return new
 
 
+def _claim(spark: SparkSession, store: str, new: int) -> int:
+    """Where to write version ``new``: under its number, or under one of its own if that is claimed already."""
+    for place in (new, uuid.uuid4().int >> 88):
+        try:
+            spark.range(1).write.mode("error").parquet(f"{store}/claims/v={place}")
+            return place
+        except AnalysisException as taken:
+            if taken.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+    raise RuntimeError(f"no free place for version {new} of {store}")
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for more in frames[1:]:
@@ -159,7 +198,7 @@ def _write_buckets(spark, store, new, live, incoming, deletes, cleared, config,
     touched = [] if incoming is None else [incoming.select(*BUCKET_KEYS)]
     base = None
     if not live.isEmpty():
-        base = _live_rows(spark.read.schema(layout).parquet(f"{store}/chunks"), live).select(*columns)
+        base = _live_files(spark, store, "chunks", layout, live).select(*columns)
         paths = base.select(*BUCKET_KEYS, "file_path")
         if incoming is not None:
             renewed = small_side(incoming.select("namespace", "file_path").distinct())
@@ -188,7 +227,7 @@ def _write_buckets(spark, store, new, live, incoming, deletes, cleared, config,
         placed = _union(rows).hint("rebalance", *BUCKET_KEYS)
         placed.sortWithinPartitions(*BUCKET_KEYS, "file_path", "chunk_index").write.mode("overwrite").partitionBy(
             *BUCKET_KEYS).parquet(f"{store}/chunks/v={new}")
-        stored = spark.read.schema(layout).parquet(f"{store}/chunks").where(F.col("v") == new)
+        stored = spark.read.schema(layout).option("basePath", f"{store}/chunks").parquet(f"{store}/chunks/v={new}")
         postings = build_postings(stored, config).select(*POSTING_SCHEMA.names, "bucket")
         postings.hint("rebalance", *BUCKET_KEYS).sortWithinPartitions(*BUCKET_KEYS, "lexeme", "id").write.mode(
             "overwrite").partitionBy(*BUCKET_KEYS).parquet(f"{store}/postings/v={new}")
@@ -197,4 +236,4 @@ def _write_buckets(spark, store, new, live, incoming, deletes, cleared, config,
 
 def write_chunks(df: DataFrame, store: str, config: str = "english", buckets: int = BUCKETS) -> int:
     """Upsert a batch of embedded chunk rows into a store, as one version."""
-    return commit(df.sparkSession, store, incoming=df, config=config, buckets=buckets)
+    return commit(df.sparkSession, store, incoming=stage(df, store), config=config, buckets=buckets)

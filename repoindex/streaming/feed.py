@@ -1,27 +1,62 @@
 """Continuous reindex from a feed of path changes."""
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from repoindex.functions.columns import sanitise
+from repoindex.functions.sizing import small_side
 from repoindex.plans.indexing import IndexOptions, reindex
 
 
+
 def latest_change(feed: DataFrame) -> DataFrame:
     """The last operation per path of a feed (namespace, file_path, op, ts, event_id)."""
     return feed.groupBy("namespace", "file_path").agg(
         F.max_by("op", F.struct("ts", "event_id")).alias("op"))
 
 
+def newer_changes(feed: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """The last operation per path with its (ts, event_id), unless ``seen`` has a later one or the same."""
+    order = F.struct("ts", "event_id")
+    last = feed.groupBy(sanitise(F.col("namespace")).alias("namespace"), "file_path").agg(
+        F.max_by(F.struct("op", "ts", "event_id"), order).alias("c")).select(
+        "namespace", "file_path", "c.op", "c.ts", "c.event_id")
+    if seen is None:
+        return last
+    known = seen.join(small_side(last.select("namespace", "file_path")), ["namespace", "file_path"], "left_semi").groupBy(
+        "namespace", "file_path").agg(F.max(order).alias("known"))
+    return last.join(small_side(known), ["namespace", "file_path"], "left").where(
+        F.col("known").isNull() | (order > F.col("known"))).drop("known")
+
+
+def _seen_before(spark: SparkSession, store: str, batch: int) -> DataFrame | None:
+    """What batches before this one applied; a replayed batch does not see itself."""
+    try:
+        return spark.read.parquet(f"{store}/feed").where(F.col("batch") < batch)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def stream_reindex(feed: DataFrame, files: DataFrame, store: str, checkpoint: str,
                    manifests: DataFrame | None = None, options: IndexOptions = IndexOptions()) -> StreamingQuery:
     """Start applying a streamed feed to a store, everything that is there now, batch by batch.
 
-    The store is the only state. A batch that is replayed after a failure gives the same rows again, since
-    every listed path is deleted and, if it still exists, rebuilt from ``files``.
+    The last event of each path decides, in whatever batch it comes: each batch leaves the (ts, event_id) it applied
+    beside the store, and older operations are passed over. A batch that is replayed after a failure gives the same
+    rows again, since every listed path is deleted and, if it still exists, rebuilt from ``files``.
     """
-    def apply(batch: DataFrame, _batch_id: int) -> None:
-        reindex(batch.sparkSession, store, files, latest_change(batch), manifests, options)
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        place = f"{store}/feed/batch={batch_id}"
+        # A batch of its own folder: with the batch's number it is not seen by its own replay.
+        newer = newer_changes(batch, _seen_before(spark, store, batch_id))
+        newer.write.mode("overwrite").parquet(place)
+        due = spark.read.schema(newer.schema).parquet(place)
+        reindex(spark, store, files, due.select("namespace", "file_path", "op"), manifests, options)
 
     return (
         feed.writeStream.foreachBatch(apply)

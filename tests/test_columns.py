@@ -48,3 +48,9 @@ def test_label_and_dirs(spark):
     df = spark.createDataFrame([("p", "a/b.py"), ("", "a/b.py"), (None, "b.py")], "p string, f string")
     got = df.select(C.chunk_label(F.col("p"), F.col("f")), C.parent_dir(F.col("f"))).collect()
     assert [tuple(r) for r in got] == [("p/a/b.py", "a"), ("a/b.py", "a"), ("b.py", "")]
+
+
+def test_iso_time_keeps_fraction_and_offset(spark):
+    rows = spark.sql("SELECT timestamp '2024-05-01 10:20:30.123456' AS a, timestamp '2024-05-01 10:20:30' AS b").select(
+        C.iso_timestamp(F.col("a")), C.iso_timestamp(F.col("b"))).first()
+    assert list(rows) == ["2024-05-01T10:20:30.123456+00:00", "2024-05-01T10:20:30+00:00"]

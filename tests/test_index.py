@@ -184,3 +184,76 @@ def test_search_over_a_store(spark, tmp_path):
     assert [r.file_path for r in got] == ["cat.py", "dog.py"]
     everything = hybrid_topk(chunks, postings, asked, 2, across_all=True, config="simple").collect()
     assert {r.file_path for r in everything} == {"cat.py", "cat.md"}
+
+
+def test_duplicates_are_refused_everywhere(spark, tmp_path):
+    store = str(tmp_path / "s")
+    one = files_of(spark, ("n", "a.py", "a"))
+    ingest(spark, store, one, options=OPTIONS, registration=spark.createDataFrame(
+        [("N", "u", "s0")], "namespace string, repo_url string, sha string"))
+    assert [(r.namespace, r.last_commit_sha) for r in S.read_registry(spark, store).collect()] == [("n", "s0")]
+    twice = files_of(spark, ("n", "a.py", "b"), ("N", "a.py", "b"))
+    listed = spark.createDataFrame([("N", "a.py", "changed")], "namespace string, file_path string, op string")
+    heads = spark.createDataFrame([("N", "s1")], "namespace string, sha string")
+    diffs = spark.createDataFrame([("N", 1, 1)], "namespace string, ahead_by int, files int")
+    rows = S.read_chunks(spark, store)
+    for write in (
+        lambda: ingest(spark, store, twice, options=OPTIONS),
+        lambda: reindex(spark, store, twice, listed, options=OPTIONS),
+        lambda: sync(spark, store, heads, diffs, listed, twice, options=OPTIONS),
+        lambda: S.write_chunks(rows.union(rows), store, "simple", 4),
+    ):
+        with pytest.raises(ValueError, match="duplicate key in batch: n:"):
+            write()
+    assert [r[3] for r in state(spark, store)] == ["a"]
+
+
+def test_namespaces_in_any_spelling(spark, tmp_path):
+    store = str(tmp_path / "s")
+    ingest(spark, store, files_of(spark, ("data-lake", "a.py", "a"), ("data-lake", "b.py", "b")), options=OPTIONS,
+           registration=spark.createDataFrame([("Data-Lake", "u", "s0"), ("other", "u", "s0")],
+                                              "namespace string, repo_url string, sha string"))
+    gone = spark.createDataFrame([("Data-Lake", "a.py", "deleted")], "namespace string, file_path string, op string")
+    reindex(spark, store, files_of(spark, ("data-lake", "b.py", "b")), gone, options=OPTIONS)
+    assert [r[1] for r in state(spark, store)] == ["b.py"]
+    changed = spark.createDataFrame([("data-lake", "b.py", "changed")], "namespace string, file_path string, op string")
+    report = sync(spark, store, spark.createDataFrame([("DATA-lake", "s1"), ("other", "s1")], "namespace string, sha string"),
+                  spark.createDataFrame([("data.lake", 1, 1)], "namespace string, ahead_by int, files int"),
+                  changed, files_of(spark, ("Data-Lake", "b.py", "new")), options=OPTIONS, names=["data-lake"])
+    assert [(r.namespace, r.status, r.chunks) for r in report.collect()] == [("data_lake", "ok", 1)]
+    assert {(r.namespace, r.last_commit_sha) for r in S.read_registry(spark, store).collect()} == {
+        ("data_lake", "s1"), ("other", "s0")}
+    assert [r[3] for r in state(spark, store)] == ["new"]
+
+
+def test_a_taken_version_is_refused(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "s")
+    ingest(spark, store, files_of(spark, ("n", "a.py", "a")), options=OPTIONS)
+    write_buckets = S._write_buckets
+
+    def slow(*args):
+        monkeypatch.setattr(S, "_write_buckets", write_buckets)
+        ingest(spark, store, files_of(spark, ("n", "a.py", "first")), options=OPTIONS)
+        return write_buckets(*args)
+
+    monkeypatch.setattr(S, "_write_buckets", slow)
+    with pytest.raises(RuntimeError, match="another writer"):
+        ingest(spark, store, files_of(spark, ("n", "a.py", "second")), options=OPTIONS)
+    assert [r[3] for r in state(spark, store)] == ["first"]
+    ingest(spark, store, files_of(spark, ("n", "a.py", "third")), options=OPTIONS)
+    assert [r[3] for r in state(spark, store)] == ["third"]
+
+
+def test_a_late_event_does_not_win(spark, tmp_path):
+    store, feed_path = str(tmp_path / "s"), str(tmp_path / "feed")
+    ingest(spark, store, files_of(spark, ("n", "a.py", "old"), ("n", "b.py", "old")), options=OPTIONS)
+    schema = "namespace string, file_path string, op string, ts timestamp, event_id long"
+    batches = [[("N", "a.py", "changed", 5, 1)], [("n", "a.py", "deleted", 1, 2), ("n", "b.py", "deleted", 2, 3)]]
+    now = files_of(spark, ("n", "a.py", "new"))
+    for batch in batches:
+        rows = spark.createDataFrame(batch, schema.replace("timestamp", "int")).withColumn(
+            "ts", F.timestamp_seconds("ts"))
+        rows.coalesce(1).write.mode("append").parquet(feed_path)
+        stream = spark.readStream.schema(schema).parquet(feed_path)
+        stream_reindex(stream, now, store, f"{store}/progress", options=OPTIONS).awaitTermination()
+    assert [r[1::2] for r in state(spark, store)] == [("a.py", "new")]

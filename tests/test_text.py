@@ -56,14 +56,24 @@ def test_postings_are_grouped_lexemes(spark, chunks, config):
     assert got == want
 
 
-def test_position_limits(spark):
-    long = spark.createDataFrame([("n", "docs", "x", "w " * 300 + "z " * 16383)],
+def test_all_positions_are_kept(spark):
+    long = spark.createDataFrame([("n", "docs", "x", "w " * 300 + "z " * 17000 + "end")],
                                  "namespace string, kind string, id string, text string")
     rows = {r.lexeme: r.positions for r in build_postings(long, "simple").collect()}
-    assert rows["w"] == list(range(1, 257))
-    assert len(rows["z"]) == 256
-    late = long.withColumn("text", F.concat(F.repeat(F.lit("q "), 16390), F.lit("end end")))
-    assert {r.lexeme: r.positions for r in build_postings(late, "simple").collect()}["end"] == [16383]
+    assert rows == {"w": list(range(1, 301)), "z": list(range(301, 17301)), "end": [17301]}
+    asked = spark.createDataFrame([(1, '"w z"'), (2, '"z end"')], "query_id long, question string")
+    found = fts_match(build_postings(long, "simple"), query_clauses(asked, "simple"))
+    assert {r.query_id for r in found.collect()} == {1, 2}
+
+
+def test_words_far_apart_still_rank(spark):
+    texts = [("a", "x " + "o " * 70 + "y"), ("b", "x " + "o " * 90 + "y"), ("c", "x " + "o " * 200 + "y")]
+    chunks = spark.createDataFrame([("n", "docs", i, t) for i, t in texts],
+                                   "namespace string, kind string, id string, text string")
+    asked = spark.createDataFrame([(1, "x y")], "query_id long, question string")
+    rows = fts_rank(fts_match(build_postings(chunks, "simple"), query_clauses(asked, "simple"))).collect()
+    ranks = {r.id: r["rank"] for r in rows}
+    assert ranks["a"] > ranks["b"] > ranks["c"] > 0
 
 
 @pytest.mark.parametrize("question, ids", [
