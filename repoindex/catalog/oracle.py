@@ -238,7 +238,9 @@ CHECKS: dict[str, tuple[list[str], str]] = {
     "query_clauses_simple": (["v_queries"], """
         WITH w AS (SELECT query_id, list_transform(regexp_extract_all(passage, '[A-Za-z]+'), lambda x: lower(x)) AS w
                    FROM v_queries),
-             q AS (SELECT * FROM w WHERE len(w) >= 4)
+             f AS (SELECT query_id, w, len(w) AS n, unnest(range(0, CAST(ceil(len(w) / 4.0) AS INT))) AS k FROM w),
+             q AS (SELECT query_id * 1000 + k AS query_id, [w[(4 * k) % n + 1], w[(4 * k + 1) % n + 1],
+                          w[(4 * k + 2) % n + 1], w[(4 * k + 3) % n + 1]] AS w FROM f)
         SELECT query_id, 0 AS or_group, 0 AS clause_id, w[1] AS lexeme, 0 AS "offset", false AS negated FROM q
         UNION ALL SELECT query_id, 0, 1, w[2], 0, false FROM q
         UNION ALL SELECT query_id, 0, 1, w[3], 1, false FROM q
@@ -288,11 +290,13 @@ CHECKS: dict[str, tuple[list[str], str]] = {
     "prompt_messages": (_CHUNKS, r"""
         WITH asked AS (SELECT conv_id AS query_id, max(turn) AS last, arg_max(text, turn) AS question
                        FROM conversations WHERE role = 'user' GROUP BY ALL),
-             ctx AS (SELECT a.query_id, coalesce(concat('# ', c.file_path, chr(10), c.text),
+             ctx AS (SELECT a.query_id, coalesce(string_agg(concat('# ', c.file_path, chr(10), c.text),
+                            concat(chr(10), chr(10), '---', chr(10), chr(10))
+                                                            ORDER BY c.chunk_index),
                             '(No relevant context found: index the repository first.)') AS context
                      FROM asked a LEFT JOIN v_files f ON f.doc_id = a.query_id
                      LEFT JOIN v_chunks c ON c.namespace = f.namespace AND c.file_path = f.file_path
-                                          AND c.chunk_index = 0)
+                     GROUP BY a.query_id)
         SELECT query_id, 0 AS part, CAST(0 AS BIGINT) AS turn, 'system' AS role,
                concat('Answer the question from the retrieved context below, and say so where the context has no answer.',
                       chr(10), chr(10), '## Retrieved context', chr(10), chr(10), context) AS content FROM ctx

@@ -384,12 +384,16 @@ def postings_english(spark, sf_dir):
 
 @query
 def query_clauses_simple(spark, sf_dir):
-    """Questions with every operator: ``first "second third" or -fourth``, from the passages."""
-    words = F.regexp_extract_all("passage", F.lit("[A-Za-z]+"), 0)
-    question = F.concat(F.get(words, F.lit(0)), F.lit(' "'), F.get(words, F.lit(1)), F.lit(" "),
-                        F.get(words, F.lit(2)), F.lit('" or -'), F.get(words, F.lit(3)))
-    rows = view(spark, sf_dir, "v_queries").select("query_id", question.alias("question"))
-    return query_clauses(rows.where("question IS NOT NULL"), "simple")
+    """Questions with every operator, ``first "second third" or -fourth``, from every four words of the passages; the
+    last four go on with the first words again."""
+    rows = view(spark, sf_dir, "v_queries").select(
+        "query_id", F.regexp_extract_all("passage", F.lit("[A-Za-z]+"), 0).alias("w")).where(F.size("w") > 0)
+    rows = rows.select("query_id", "w", F.explode(F.sequence(
+        F.lit(0), F.ceil(F.size("w") / 4).cast("int") - 1)).alias("four"))
+    a, b, c, d = (F.get("w", F.pmod(4 * F.col("four") + n, F.size("w"))) for n in range(4))
+    question = F.concat(a, F.lit(' "'), b, F.lit(" "), c, F.lit('" or -'), d)
+    return query_clauses(rows.select(
+        (F.col("query_id") * 1000 + F.col("four")).alias("query_id"), question.alias("question")), "simple")
 
 
 def _matches(spark, sf_dir, question):
@@ -509,8 +513,8 @@ def context_strings(spark, sf_dir):
 
 @query
 def prompt_messages(spark, sf_dir):
-    """Each conversation: its last user turn is the question, the turns before it the history, and the first
-    chunk of the document of its number, if there is one, the context."""
+    """Each conversation: its last user turn is the question, the turns before it the history, and the chunks of the
+    document of its number, if there is one, the context."""
     turns = table(spark, sf_dir, "conversations")
     asked = turns.where("role = 'user'").groupBy(F.col("conv_id").alias("query_id")).agg(
         F.max("turn").alias("last"), F.max_by("text", "turn").alias("question"))
@@ -518,8 +522,8 @@ def prompt_messages(spark, sf_dir):
         F.col("turn") < F.col("last")).select("query_id", "turn", "role", "text")
     docs = view(spark, sf_dir, "v_files").select("namespace", "file_path", F.col("doc_id").alias("query_id"))
     results = (
-        _chunks(spark, sf_dir).where("chunk_index = 0").join(docs, ["namespace", "file_path"])
-        .withColumn("place", F.lit(1)).join(asked, "query_id", "left_semi")
+        _chunks(spark, sf_dir).join(docs, ["namespace", "file_path"])
+        .withColumn("place", F.col("chunk_index") + 1).join(asked, "query_id", "left_semi")
     )
     return prompt_rows(context_string(results, asked), asked, history)
 
