@@ -281,6 +281,11 @@ CHECKS: dict[str, tuple[list[str], str]] = {
     "hybrid_multi_namespace": (_HYBRID, """
         SELECT query_id, namespace, kind, place, id, score, file_path, package FROM hybrid
         WHERE namespace IN ('ns_en', 'ns_fr')"""),
+    "hybrid_docs_only": (_HYBRID, """
+        SELECT query_id, namespace, kind, place, id, score, file_path, package FROM hybrid WHERE kind = 'docs'"""),
+    "hybrid_per_question_namespace": (_HYBRID, """
+        SELECT query_id, namespace, kind, place, id, score, file_path, package FROM hybrid
+        WHERE list_contains([['ns_en', 'ns_fr'], ['ns_de', 'ns_es'], ['ns_fr', 'ns_de']][query_id % 3 + 1], namespace)"""),
     "context_strings": (_HYBRID, r"""
         SELECT q.query_id, coalesce(string_agg(concat('# ', h.file_path, chr(10), h.text),
                concat(chr(10), chr(10), '---', chr(10), chr(10))

@@ -500,6 +500,21 @@ def hybrid_multi_namespace(spark, sf_dir):
     return _hybrid(spark, sf_dir, namespaces=["ns_en", "NS-fr"]).drop("text")
 
 
+@query
+def hybrid_docs_only(spark, sf_dir):
+    return _hybrid(spark, sf_dir, kinds=["docs"]).drop("text")
+
+
+@query
+def hybrid_per_question_namespace(spark, sf_dir):
+    """Every question to namespaces of its own: two of the four, by its number."""
+    pairs = [["NS-en", "ns_fr"], ["ns_de", "ns_es"], ["ns_fr", "ns_de"]]
+    own = F.get(F.array(*[F.array(*map(F.lit, pair)) for pair in pairs]), F.pmod("query_id", F.lit(3)).cast("int"))
+    chunks = _embedded_chunks(spark, sf_dir)
+    asked = _embedded_questions(spark, sf_dir).withColumn("namespaces", own)
+    return hybrid_topk(chunks, build_postings(chunks, "simple"), asked, config="simple").drop("text")
+
+
 @query
 def hybrid_english(spark, sf_dir):
     chunks = _embedded_chunks(spark, sf_dir)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoindex.functions.columns import sanitise
-from repoindex.functions.sizing import MAX_BROADCAST_ROWS
+from repoindex.functions.sizing import MAX_BROADCAST_ROWS, small_side
 from repoindex.operators.fulltext import CANDIDATES, fts_match, fts_rank, fts_topk, query_clauses
 from repoindex.operators.fusion import TOP_K, best_fused, rrf_fuse
 from repoindex.operators.vector_search import vector_topk
@@ -33,15 +33,27 @@ def hybrid_topk(
     k: int = TOP_K,
     *,
     namespaces: list[str] | None = None,
+    kinds: list[str] | None = None,
     candidates: int = CANDIDATES,
     across_all: bool = False,
     config: str = "english",
 ) -> DataFrame:
     """(query_id, namespace, kind, place, id, score, file_path, package, text) for (query_id, question, embedding).
 
-    The k best per namespace and kind, or with ``across_all`` the k best of all; ``namespaces`` limits the
-    search. Text is read only for the fused hits, embeddings only by the vector branch.
+    The k best per namespace and kind, or with ``across_all`` the k best of all; ``namespaces`` and ``kinds`` limit the
+    search. A column ``namespaces`` (array) of the questions limits each to its own: namespaces nobody asks for are not
+    searched, a null array asks for all. Text is read only for the fused hits, embeddings only by the vector branch.
     """
+    asked = None
+    if "namespaces" in queries.columns:
+        each = F.transform(F.array_distinct("namespaces"), sanitise)
+        asked = queries.select("query_id", each.alias("own"))
+        queries = queries.drop("namespaces")
+        if asked.where("own IS NULL").isEmpty():
+            named = small_side(asked.select(F.explode("own").alias("namespace")).distinct())
+            chunks, postings = (df.join(named, "namespace", "left_semi").select(*df.columns) for df in (chunks, postings))
+    if kinds is not None:
+        chunks, postings = chunks.where(F.col("kind").isin(kinds)), postings.where(F.col("kind").isin(kinds))
     if namespaces is not None:
         wanted = F.array_distinct(F.array(*[sanitise(F.lit(n)) for n in namespaces]))
         chunks = chunks.where(F.array_contains(wanted, F.col("namespace")))
@@ -53,7 +65,11 @@ def hybrid_topk(
     clauses = query_clauses(queries.select("query_id", "question"), config)
     matches = fts_match(postings, clauses, universe=chunks.select("namespace", "kind", "id"))
     by_text = fts_topk(fts_rank(matches), candidates)
-    fused = best_fused(rrf_fuse(by_vector, by_text), k, () if across_all else ("namespace", "kind"))
+    fused = rrf_fuse(by_vector, by_text)
+    if asked is not None:
+        fused = fused.join(small_side(asked), "query_id").where(
+            F.col("own").isNull() | F.array_contains("own", F.col("namespace"))).drop("own")
+    fused = best_fused(fused, k, () if across_all else ("namespace", "kind"))
     bound = queries.count() * groups * k
     return _with_texts(fused, chunks, bound).select(
         "query_id", "namespace", "kind", "place", "id", "score", "file_path", "package", "text")
