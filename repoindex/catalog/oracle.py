@@ -317,6 +317,10 @@ CHECKS: dict[str, tuple[list[str], str]] = {
         SELECT * FROM v_chunks WHERE (namespace, file_path) NOT IN (
             SELECT (namespace, file_path) FROM c_changes WHERE op = 'deleted')"""),
     "ingest_store": (_WHOLE, f"SELECT {_ROWS.replace('chunk_index', '0 AS chunk_index')} FROM w_files"),
+    "store_postings": (_WHOLE, f"""
+        SELECT namespace, kind, id, lexeme, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions
+        FROM (SELECT namespace, kind, id, unnest(range(1, len(w) + 1))::INT AS pos, unnest(w) AS lexeme
+              FROM (SELECT namespace, kind, id, {_tokens('text')} AS w FROM w_files)) GROUP BY ALL"""),
     "reindex_store": ([*_WHOLE, "v_changes", "c_latest", "w_reindexed"], "SELECT * FROM w_reindexed"),
     "reindex_raw_namespace": ([*_WHOLE, "v_changes", "c_latest", "w_reindexed"], "SELECT * FROM w_reindexed"),
     "stream_late_events": ([*_WHOLE, "v_changes", "c_latest", "w_reindexed"], "SELECT * FROM w_reindexed"),

@@ -21,7 +21,7 @@ from repoindex.plans.search import hybrid_topk
 from repoindex.schemas import CHANGE_SCHEMA
 from repoindex.session import scratch_path
 from repoindex.sources.readers import decode_text, explode_compare, read_manifests, restrict_to
-from repoindex.sources.store import commit, read_chunks, read_registry
+from repoindex.sources.store import commit, read_chunks, read_postings, read_registry
 from repoindex.sources.tree import read_repo
 from repoindex.streaming.feed import latest_change, stream_reindex
 
@@ -581,6 +581,15 @@ def ingest_store(spark, sf_dir):
     return read_chunks(spark, store).select(*ROW_COLUMNS)
 
 
+@query
+def store_postings(spark, sf_dir):
+    """The postings of a store after its files were indexed twice: those of the present texts, whole files each."""
+    store = _old_store(spark, sf_dir, "postings")
+    ingest(spark, store, _files(spark, sf_dir), _manifests(spark, sf_dir), options=WHOLE)
+    rows = read_postings(spark, store).select(*CHUNK_KEYS, "lexeme", "positions")
+    return rows.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
 def _old_store(spark, sf_dir, name):
     """A store of every file with a mark, so that what a later run renews can be told."""
     store = scratch_path(spark, name)

@@ -88,7 +88,7 @@ def test_namespace_info(spark, chunks):
                                   REGISTRY_SCHEMA)
     got = {r.namespace: r for r in browse.namespace_info(chunks, known).collect()}
     assert (got["n"].code_files, got["n"].code_chunks, got["n"].doc_files, got["n"].total_chunks) == (3, 6, 2, 10)
-    assert got["n"].last_indexed_at == "2024-01-02T03:04:05Z" and got["n"].last_commit_sha is None
+    assert got["n"].last_indexed_at == "2024-01-02T03:04:05+00:00" and got["n"].last_commit_sha is None
     assert got["m"].repo_url is None and got["m"].total_chunks == 1
     assert got["empty"].total_chunks == 0
 
