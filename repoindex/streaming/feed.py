@@ -42,8 +42,10 @@ def _seen_before(spark: SparkSession, store: str, batch: int) -> DataFrame | Non
 
 
 def stream_reindex(feed: DataFrame, files: DataFrame, store: str, checkpoint: str,
-                   manifests: DataFrame | None = None, options: IndexOptions = IndexOptions()) -> StreamingQuery:
-    """Start applying a streamed feed to a store, everything that is there now, batch by batch.
+                   manifests: DataFrame | None = None, options: IndexOptions = IndexOptions(),
+                   trigger: dict | None = None) -> StreamingQuery:
+    """Start applying a streamed feed to a store batch by batch: everything that is there now, or as ``trigger`` says.
+    The feed's own options (``maxFilesPerTrigger`` and the like) bound a batch.
 
     The last event of each path decides, in whatever batch it comes: each batch leaves the (ts, event_id) it applied
     beside the store, and older operations are passed over. A batch that is replayed after a failure gives the same
@@ -61,6 +63,6 @@ def stream_reindex(feed: DataFrame, files: DataFrame, store: str, checkpoint: st
     return (
         feed.writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
