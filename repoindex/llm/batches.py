@@ -10,12 +10,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.functions import ArrowUDFType
+from pyspark.sql.pandas.types import to_arrow_type
 
 from repoindex.session import scratch_path
 
 BLOCK_BYTES = 4 << 20
+MADE = "_made_in_python"
 
 # The white space that ends a word, as bytes.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -101,22 +104,21 @@ def add_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField],
                 make: Callable[[list[pa.Array]], list[pa.Array]], limit: int = BLOCK_BYTES) -> DataFrame:
     """Append columns that ``make`` computes from the input columns, block by block; the first input is the text.
 
-    Columns that already have one of the new names are replaced, all others stay as they are.
+    Only the inputs go to Python and only the new columns come back; all others stay where they are. Columns that
+    already have one of the new names are replaced.
     """
+    kind = to_arrow_type(T.StructType(fields))
+
+    def run(*columns: pa.Array) -> pa.Array:
+        whole = pa.RecordBatch.from_arrays(list(columns), [str(n) for n in range(len(columns))])
+        parts = [pa.StructArray.from_arrays(
+            [c if c.type == f.type else c.cast(f.type) for c, f in zip(make(part.columns), kind, strict=True)],
+            fields=list(kind)) for part in blocks(whole, 0, limit)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    # Not deterministic in the optimizer's sense: it is then computed once, however often its fields are used.
+    made = F.arrow_udf(run, T.StructType(fields), ArrowUDFType.SCALAR).asNondeterministic()
     new = {field.name.lower() for field in fields}
-    kept = [i for i, field in enumerate(df.schema.fields) if field.name.lower() not in new]
-    schema = T.StructType([df.schema.fields[i] for i in kept] + fields)
-    lowered = [c.lower() for c in df.columns]
-    places = [lowered.index(name.lower()) for name in inputs]
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in blocks(whole, places[0], limit):
-                made = make([batch.column(i) for i in places])
-                columns = [batch.column(i) for i in kept] + made
-                yield pa.RecordBatch.from_arrays(
-                    [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, arrow, strict=True)],
-                    schema=arrow)
-
-    return df.mapInArrow(run, schema)
+    kept = [c for c in df.columns if c.lower() not in new]
+    found = df.withColumn(MADE, made(*[F.col(f"`{c}`") for c in inputs]))
+    return found.select(*[F.col(f"`{c}`") for c in kept], *[F.col(MADE)[f.name].alias(f.name) for f in fields])
