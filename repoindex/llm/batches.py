@@ -19,6 +19,8 @@ from repoindex.session import scratch_path
 
 BLOCK_BYTES = 4 << 20
 MADE = "_made_in_python"
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+SPARKS_BATCH, BATCH = "67108864b", "8m"
 
 # The white space that ends a word, as bytes.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -100,6 +102,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on Arrow batches of the session hold 8 MB instead of 64, unless it names a size itself.
+
+    A task has several batches of input and output at a time, on either side of the socket.
+    """
+    if df.sparkSession.conf.get(BATCH_SETTING, SPARKS_BATCH) == SPARKS_BATCH:
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH)
+    return df
+
+
 def add_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField],
                 make: Callable[[list[pa.Array]], list[pa.Array]], limit: int = BLOCK_BYTES) -> DataFrame:
     """Append columns that ``make`` computes from the input columns, block by block; the first input is the text.
@@ -120,5 +132,5 @@ def add_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField],
     made = F.arrow_udf(run, T.StructType(fields), ArrowUDFType.SCALAR).asNondeterministic()
     new = {field.name.lower() for field in fields}
     kept = [c for c in df.columns if c.lower() not in new]
-    found = df.withColumn(MADE, made(*[F.col(f"`{c}`") for c in inputs]))
+    found = bound_batches(df).withColumn(MADE, made(*[F.col(f"`{c}`") for c in inputs]))
     return found.select(*[F.col(f"`{c}`") for c in kept], *[F.col(MADE)[f.name].alias(f.name) for f in fields])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repoindex.llm.batches import (
-    add_columns, blocks, byte_table, coded_words, flat_text, ragged_take, staged, without, word_bounds,
+    add_columns, blocks, bound_batches, byte_table, coded_words, flat_text, ragged_take, staged, without, word_bounds,
 )
 
 WINDOW = 10
@@ -224,7 +224,7 @@ def count_shingles(docs: DataFrame, index: WindowIndex, text: str) -> dict[int,
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(seen), size)), pa.array(seen), pa.array(counts[seen])], ["size", "place", "n"])
 
-    sums = docs.select(text).mapInArrow(run, "size long, place long, n long").groupBy("size", "place").agg(
+    sums = bound_batches(docs).select(text).mapInArrow(run, "size long, place long, n long").groupBy("size", "place").agg(
         F.sum("n").alias("n"))
     counts = {size: np.zeros(len(codes), np.int64) for size, codes in index.shingles.items()}
     for row in sums.toLocalIterator():

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repoindex.llm.batches import add_columns, blocks
+from repoindex.llm.batches import add_columns, blocks, bound_batches
 from repoindex.llm.text_stats import IS_LEAD, IS_SYMBOL, NOT_SPACE, Block
 
 BUCKETS = 1 << 14
@@ -62,7 +62,7 @@ def count_buckets(docs: DataFrame, text: str, trusted: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays(
             [pa.array(seen), pa.array(sums[0, seen]), pa.array(sums[1, seen])], ["bucket", "raw", "target"])
 
-    sums = docs.select(text, trusted).mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(
+    sums = bound_batches(docs).select(text, trusted).mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(
         F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     counts = np.zeros((2, BUCKETS), np.int64)
     for row in sums.collect():

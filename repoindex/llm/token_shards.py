@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from repoindex.functions.sizing import small_side
-from repoindex.llm.batches import blocks
+from repoindex.llm.batches import blocks, bound_batches
 from repoindex.llm.bpe import ByteBpe
 from repoindex.llm.sharding import permute
 from repoindex.session import scratch_path
@@ -62,7 +62,7 @@ def sequences(docs: DataFrame, model: ByteBpe, end: int, doc_id: str = "doc_id",
                     ["doc_id", "sequence", "n_tokens", "payload"])
 
     id_type = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(
+    return bound_batches(docs).select(doc_id, text).mapInArrow(
         run, f"doc_id {id_type}, sequence long, n_tokens long, payload binary")
 
 
