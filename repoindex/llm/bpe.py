@@ -19,7 +19,7 @@ from repoindex.llm.batches import add_columns, flat_text, ragged_take
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 # Words a task remembers; when full, it begins anew.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 150_000
 NO_RANK = np.iinfo(np.int64).max
 
 # The code points of white space, and what an apostrophe splits off.
@@ -251,6 +251,12 @@ def _flat_binary(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, bounds - bounds[0]
 
 
+def _packed(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    packed = ids.astype("<u4").view(np.uint8)
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds * 4), pa.py_buffer(packed)])
+
+
 def encode_texts(df: DataFrame, model: ByteBpe, text: str = "text") -> DataFrame:
     """Add ``n_tokens`` and ``token_ids``, the ids as little-endian unsigned 32-bit integers.
 
@@ -261,9 +267,7 @@ def encode_texts(df: DataFrame, model: ByteBpe, text: str = "text") -> DataFrame
 
     def make(columns):
         ids, bounds = model.encode(columns[0])
-        packed = ids.astype("<u4").view(np.uint8)
-        return [pa.array(np.diff(bounds)), pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds * 4), pa.py_buffer(packed)])]
+        return [pa.array(np.diff(bounds)), _packed(ids, bounds)]
 
     return add_columns(df, [text], fields, make)
 
@@ -276,3 +280,18 @@ def decode_tokens(df: DataFrame, model: ByteBpe, ids: str = "token_ids", into: s
         return [model.decode(np.ascontiguousarray(flat).view("<u4").astype(np.int64), bounds // 4)]
 
     return add_columns(df, [ids], [T.StructField(into, T.StringType())], make)
+
+
+def encode_and_decode(df: DataFrame, model: ByteBpe, text: str = "text", into: str = "decoded") -> DataFrame:
+    """``encode_texts`` and ``decode_tokens`` in one: the ids of a block are packed, read again and decoded at once."""
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType()),
+              T.StructField(into, T.StringType())]
+
+    def make(columns):
+        ids, bounds = model.encode(columns[0])
+        packed = _packed(ids, bounds)
+        flat, places = _flat_binary(packed)
+        return [pa.array(np.diff(bounds)), packed,
+                model.decode(np.ascontiguousarray(flat).view("<u4").astype(np.int64), places // 4)]
+
+    return add_columns(df, [text], fields, make)

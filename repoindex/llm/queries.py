@@ -49,9 +49,8 @@ def op5_simhash_vp_trees(spark, sf_dir):
 @query
 def op8_byte_bpe(spark, sf_dir):
     model = byte_bpe()
-    encoded = bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
-    digested = encoded.withColumn("ids_sha256", F.sha2("token_ids", 256))
-    decoded = bpe.decode_tokens(digested, model).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    docs = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    decoded = docs.withColumns({"ids_sha256": F.sha2("token_ids", 256), "decoded_sha256": F.sha2("decoded", 256)})
     return decoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

@@ -75,6 +75,8 @@ def test_bpe_is_the_library(model):
 def test_bpe_tables(odd, empty, model):
     rows = bpe.decode_tokens(bpe.encode_texts(odd, model), model).collect()
     assert len(rows) == odd.count() and all(r.decoded == (r.text or "") for r in rows)
+    at_once = bpe.encode_and_decode(odd, model).collect()
+    assert sorted(map(str, at_once)) == sorted(map(str, rows))
     assert bpe.decode_tokens(bpe.encode_texts(empty, model), model).count() == 0
 
 
