@@ -49,8 +49,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and the text they stand for: doc_id, lang, source, n_tokens, token_ids, text, exact."""
     model = bpe.ByteBpe.from_file(public_tokenizers.path(TOKENIZER))
-    encoded = bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), model)
-    decoded = bpe.decode_tokens(encoded, model)
+    decoded = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), model)
     return decoded.select("doc_id", "lang", "source", "n_tokens", "token_ids", F.col("decoded").alias("text"),
                           (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
