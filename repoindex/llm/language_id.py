@@ -136,11 +136,17 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang") -> La
     known = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).withColumn("h", F.xxhash64("text"))
     keys = known.select("lang", "h").distinct()
-    frequent = [row["lang"] for row in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(
-        LANGUAGES).collect()]
-    first = keys.where(F.col("lang").isin(frequent)).withColumn(
-        "rank", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(
-        F.col("rank") <= FIT_TEXTS // max(len(frequent), 1))
+    counts = {row["lang"]: row["count"] for row in keys.groupBy("lang").count().orderBy(
+        F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    each = FIT_TEXTS // max(len(counts), 1)
+    if not counts:
+        return LanguageModel.fit([], [])
+    # Hashes are even over their range, so the smallest are found below a bound that about four times as many are under:
+    # a frequent language is not ranked as a whole.
+    bounds = F.create_map(*[x for lang, count in counts.items() for x in (
+        F.lit(lang), F.lit(min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 4 * each // count)).cast("long"))])
+    first = keys.where(F.col("h") <= bounds[F.col("lang")]).withColumn(
+        "rank", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= each)
     chosen = known.join(F.broadcast(first), ["lang", "h"])
     field = T.StructField("buckets", T.BinaryType())
     sampled = add_columns(chosen.select("text", "lang", "h", "rank"), ["text"], [field], lambda columns: [
