@@ -12,21 +12,19 @@ from pyspark.sql import functions as F
 from repoindex.llm import bpe, decontaminate, language_id, pii_bootstrap, simhash_vp
 from repoindex.session import scratch_path
 
-# Language scores below this are a rejection; scores run from 0 to 1.
-LEAST_LANGUAGE_SCORE = 0.2
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language: null, without a letter, or with no score to speak of for any learned one.
+    """Drop documents in no language: null, without a letter, or with few of the n-grams that texts of the
+    likeliest language have. Their number does not matter, nor does a text's length beyond chance.
 
     The model is fitted on the documents' own languages. Kept rows stay as they are, repeated ones too.
     """
     model = language_id.fit_languages(docs)
     found = language_id.predict_language(
         docs.withColumns({"_kept": F.struct(*docs.columns)}).select("_kept", F.col("text").alias("text")), model)
-    kept = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return found.where(kept).select("_kept.*")
+    return found.where("recognised").select("_kept.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators against brute force, and the cases every operator must survive."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -348,6 +349,25 @@ def test_likelihood_ratio_tells_target_from_rest(spark, odd, empty):
     assert quality_llr.score_quality(empty, labels).count() == 0
 
 
+def test_quality_does_not_move_with_copies(spark):
+    common = "the of and river house under stone walks green evening".split()
+    good = [" ".join(random.Random(i).choices(common, k=80)) for i in range(200)]
+    poor = [" ".join(random.Random(i).choices([*common, "!!X", "%%%"], [1] * 10 + [2, 2], k=80)) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 200, 2)], "doc_id long, quality int")
+    hot = " ".join(random.Random(5).choices(["cheap", "pills", "here", "now"], k=80))
+    for copies in ([], [hot] * 300, [good[0]] * 300):
+        rows = quality_llr.score_quality(docs_of(spark, good + poor + copies), labels).where("doc_id < 260").collect()
+        kept = {r.doc_id for r in rows if r.kept}
+        assert kept == {r.doc_id for r in rows if r.doc_id < 200 and not r.base_failed} and len(kept) > 150
+
+
+def test_all_trusted_labels_count(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    assert {r.llr for r in quality_llr.score_quality(docs_of(spark, texts), labels).collect()} == {0.0}
+    assert not hasattr(quality_llr, "TRUSTED")
+
+
 def test_positive_unlabelled(spark, odd, empty):
     rng = random.Random(9)
     words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(300)]
