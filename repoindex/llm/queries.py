@@ -106,21 +106,24 @@ def op7_bootstrapped_pii(spark, sf_dir):
 
 @query
 def op4_warc_merkle_fixity(spark, sf_dir):
-    """Two replicas of the archive of all pages; the second has bytes changed, records lost and records too many."""
+    """Two replicas of the archive of all pages; the second has bytes changed, records lost, moved and too many."""
     rows = warc_fixity.records(table(spark, sf_dir, "pages"))
     turn = F.pmod(F.crc32(F.encode(F.coalesce(F.col("page_id").cast("string"), F.lit("")), "UTF-8")), F.lit(50))
     changed = F.sha2(F.concat(F.expr("left(content, length(content) - 5)"), F.lit("#\r\n\r\n")), 256)
     rows = rows.withColumn("replica_digest", F.when(turn == 7, changed).when(turn != 8, F.col("digest")))
     placed = staged(warc_fixity.manifest(rows, ["page_id", "length", "digest", "replica_digest"]), "warc-manifest")
     original = placed.select("file", "record", "start", "end", "digest")
+    padding = F.when(turn == 9, 4).otherwise(0)
     replica = placed.where("replica_digest IS NOT NULL").select(
-        "file", "record", "start", "end", F.col("replica_digest").alias("digest"))
+        "file", "record", (F.col("start") + padding).alias("start"), (F.col("end") + padding).alias("end"),
+        F.col("replica_digest").alias("digest"))
     extra = placed.where(F.col("page_id") % 500 == 0).select(
         "file", (F.col("record") + warc_fixity.RECORDS_PER_FILE).alias("record"), "start", "end", "digest")
     found = warc_fixity.audit(original, replica.unionByName(extra))
     ids = placed.select("file", "record", "page_id")
     return found.join(ids, ["file", "record"], "left").select(
-        "file", "record", "start", "end", "fault", "digest", "replica_digest", "page_id")
+        "file", "record", "start", "end", "fault", "digest", "replica_digest", "page_id",
+        "replica_start", "replica_end")
 
 
 @query

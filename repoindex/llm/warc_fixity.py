@@ -74,11 +74,12 @@ def merkle_levels(leaves: DataFrame, most_records: int) -> list[DataFrame]:
 
 
 def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
-    """The damaged records: (file, record, start, end, fault, digest, replica_digest), start and end as in the original.
+    """The damaged records: (file, record, start, end, fault, digest, replica_digest, replica_start, replica_end).
 
-    Both sides are (file, record, start, end, digest). ``fault`` is ``changed``, ``missing`` (the original has it, the
-    replica has not) or ``extra``; digests that are not there are null. Equal replicas, empty ones too, give no rows.
-    A place may be there once per side; of repeated places the smallest digest counts.
+    Both sides are (file, record, start, end, digest). ``start`` and ``end`` are those of the original, of an extra record
+    those of the replica. ``fault`` is ``changed`` (another digest), ``moved`` (the same digest in another range),
+    ``missing`` (the original has it, the replica has not) or ``extra``; what is not there is null. Equal replicas, empty ones too, give no rows.
+    A place may be there once per side; of repeated places the smallest digest, start and end count.
     """
     def once(side: DataFrame) -> DataFrame:
         return side.groupBy("file", "record").agg(F.min(F.struct("digest", "start", "end")).alias("r")).select(
@@ -95,12 +96,17 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
                 keys, ["file", "parent"], "left_semi") for side in (mine, other))
         a, b = mine.alias("a"), other.alias("b")
         both = a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.node") == F.col("b.node")), "full_outer")
-        differ = staged(both.where(~F.col("a.digest").eqNullSafe(F.col("b.digest"))).select(
+        # Digests of nodes cover the ranges of their children, those of records do not.
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("digest", "start", "end")]
+        differ = staged(both.where(~(same[0] & same[1] & same[2])).select(
             F.coalesce("a.file", "b.file").alias("file"), F.coalesce("a.node", "b.node").alias("node"),
             F.coalesce("a.start", "b.start").alias("start"), F.coalesce("a.end", "b.end").alias("end"),
-            F.col("a.digest").alias("digest"), F.col("b.digest").alias("replica_digest")), "merkle-differ")
+            F.col("a.digest").alias("digest"), F.col("b.digest").alias("replica_digest"),
+            F.col("b.start").alias("replica_start"),
+            F.col("b.end").alias("replica_end")), "merkle-differ")
         if differ.isEmpty():
             break
-    fault = F.when(F.col("digest").isNull(), "extra").when(F.col("replica_digest").isNull(), "missing").otherwise("changed")
+    fault = F.when(F.col("digest").isNull(), "extra").when(F.col("replica_digest").isNull(), "missing").when(
+        F.col("digest") != F.col("replica_digest"), "changed").otherwise("moved")
     return differ.select("file", F.col("node").alias("record"), "start", "end", fault.alias("fault"), "digest",
-                         "replica_digest")
+                         "replica_digest", "replica_start", "replica_end")

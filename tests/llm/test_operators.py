@@ -405,6 +405,32 @@ def test_languages(spark, odd, empty):
     assert language_id.predict_language(empty, fitted).count() == 0
 
 
+@pytest.mark.parametrize("languages", [2, 4, 12])
+def test_texts_in_no_learned_language_are_not_recognised(spark, languages):
+    rng = random.Random(languages)
+    syllables = ["".join(pair) for pair in itertools.product("bcdfghklmnprstvz", "aeiouäöüéèñ")]
+    spoken = []
+    for _ in range(languages + 1):
+        mine = rng.sample(syllables, 40)
+        spoken.append(["".join(rng.choices(mine, k=rng.randrange(1, 4))) for _ in range(60)])
+
+    def say(language, words):
+        return " ".join(rng.choices(spoken[language], k=words))
+
+    rows = [(say(n, rng.choice([4, 30, 200])), f"l{n}") for n in range(languages) for _ in range(2000 // languages)]
+    noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=n)) for n in (60, 300, 3000) for _ in range(2)]
+    foreign = [say(languages, n) for n in (30, 100, 1000)] + ["Русский язык один из восточнославянских языков", "日本語は日本の言語です"]
+    clean = [say(n, k) for n in range(languages) for k in (1, 2, 3, 6, 50)]
+    rows += [(text, f"l{i % languages}") for i, text in enumerate(noise + foreign)] + [(text, None) for text in clean]
+    docs = docs_of(spark, [t for t, _ in rows]).drop("lang").join(
+        spark.createDataFrame([(i, lang) for i, (_, lang) in enumerate(rows)], "doc_id long, lang string"), "doc_id")
+    left = {r.text for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert not left & {*noise, *foreign} and left >= {*clean}
+    # The scores of the model always add up to 1: they tell languages apart, not a language from none.
+    fitted = language_id.fit_languages(docs)
+    assert np.allclose(fitted.score(pa.array(noise)).sum(axis=1), 1, atol=1e-3)
+
+
 def test_presence_rows_are_kernels():
     """Scores are those of the kernel between the text and the landmarks, by the definition over sets."""
     texts = pa.array(["the river", "el río", "the house under", "la casa"])
@@ -443,6 +469,20 @@ def test_audit_finds_the_damage(spark):
     assert warc_fixity.audit(a.limit(0), a.limit(0)).count() == 0 and warc_fixity.audit(a.limit(0), b).count() == len(two)
 
 
+def test_audit_finds_moved_records(spark):
+    schema = "file long, record long, start long, end long, digest string"
+    one = [(f, r, 10 * r, 10 * r + 10, f"{f}-{r}") for f in range(3) for r in range(40 if f else 1)]
+    # Padding before record 30 of file 1, a wrong index entry in file 2, and the only record of file 0 elsewhere.
+    two = [(f, r, s + 4, e + 4, d) if (f, r) == (0, 0) or f == 1 and r >= 30 else (f, r, s, e + (f == 2 and r == 7), d)
+           for f, r, s, e, d in one]
+    found = warc_fixity.audit(spark.createDataFrame(one, schema), spark.createDataFrame(two, schema)).collect()
+    assert {(r.file, r.record, r.start, r.end, r.digest, r.replica_digest, r.replica_start, r.replica_end) for r in found} == {
+        (*a, a[4], b[2], b[3]) for a, b in zip(one, two) if a != b}
+    assert {r.fault for r in found} == {"moved"} and len(found) == 12
+    alone = warc_fixity.audit(*(spark.createDataFrame(side[:1], schema) for side in (one, two))).collect()
+    assert [(r.fault, r.replica_start) for r in alone] == [("moved", 4)]
+
+
 def test_manifest_is_gapless(spark):
     pages = spark.createDataFrame([(i % 20, f"u{i % 20}", "é" * (i % 20)) for i in range(60)] + [(None, None, None)],
                                   "page_id long, url string, html string")
