@@ -253,6 +253,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit, with the columns they came with."""
-    found = find_contamination(docs, benchmark)
-    return found.where(F.col("n_hit") == 0).drop("n_words", "n_hit", "hit_ranges", "item_ids").select(*docs.columns)
+    """The documents without a hit, with the columns they came with, whatever their names.
+
+    Null and empty texts have no words and stay, repeated rows stay or go together, an empty table stays empty.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_kept"), F.col("text").alias("text"))
+    return find_contamination(rows, benchmark).where(F.col("n_hit") == 0).select("_kept.*")
