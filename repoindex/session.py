@@ -26,17 +26,18 @@ def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local run that names none gets a fresh temporary folder; on a cluster it would be another one per machine.
+    Only a local run that names none gets a fresh temporary folder, the checkpoint folder of its context from then on; on
+    a cluster it would be another one per machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        context = spark.sparkContext
+        configured = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        configured = tempfile.mkdtemp(prefix="repoindex-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="repoindex-"))
+        configured = context.getCheckpointDir()
     return configured.rstrip("/")
 
 
