@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoindex.llm import (
-    bpe, decontaminate, language_id, pii_bootstrap, pu_quality, quality_llr, sharding, simhash_vp, token_shards,
-    warc_fixity,
+    bpe, decontaminate, filter_audit, language_id, pii_bootstrap, pu_quality, quality_llr, sharding, simhash_vp,
+    source_divergence, token_shards, warc_fixity, winnowing,
 )
 from repoindex.llm.batches import staged
 
@@ -131,3 +131,18 @@ def op3_training_order_shards(spark, sf_dir):
     model = byte_bpe()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_shards.materialise(docs, model, SHUFFLE_KEY, model.specials[b"<|endoftext|>"])
+
+
+@query
+def op11_filter_interaction_audit(spark, sf_dir):
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_source_divergence_audit(spark, sf_dir):
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+@query
+def op13_winnowing_fingerprints(spark, sf_dir):
+    return winnowing.compare_successors(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -20,6 +20,7 @@ COLUMNS = {
     "op7": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     "op8": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], "op9": ["doc_id", "held_out", "lang_pred", "score"],
     "op10": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    "op13": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
 }
 
 
@@ -52,7 +53,7 @@ def rows(spark):
 
 def test_all_are_registered():
     assert [n.split("_")[0] for n in sorted(NAMES, key=lambda n: int(n.split("_")[0][2:]))] == [
-        f"op{n}" for n in range(1, 11)]
+        f"op{n}" for n in range(1, 14)]
     assert queries()["pipeline"] is corpus_pipeline.run and set(oracle_sql()) <= set(queries())
 
 
@@ -63,9 +64,10 @@ def test_contract(rows, texts, prefix):
     assert sorted(r.doc_id for r in found) == sorted(texts)
 
 
-def test_sql(rows, con):
-    columns, found = rows("op10")
-    cursor = con.execute(oracle_sql()["op10_prefix_filter_decontamination"])
+@pytest.mark.parametrize("name", sorted(n for n in oracle_sql() if n in NAMES))
+def test_sql(rows, con, name):
+    columns, found = rows(name.split("_")[0])
+    cursor = con.execute(oracle_sql()[name])
     assert rows_of(columns, found) == rows_of([c[0] for c in cursor.description], cursor.fetchall())
 
 
@@ -89,6 +91,18 @@ def test_digests(rows, texts):
         assert r.n_email + r.n_ip + r.n_card + r.n_phone <= len(base)
 
 
+def test_edited_texts(rows, texts):
+    ordered = sorted(texts, reverse=True)
+    found = {r.doc_id: r for r in rows("op13")[1]}
+    for doc_id, after in zip(ordered, [*ordered[1:], ordered[0]]):
+        third = len(texts[doc_id]) // 3
+        edited = texts[doc_id][:len(texts[doc_id]) - third] + texts[after][:third]
+        assert found[doc_id].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert found[doc_id].n_chars == len(texts[doc_id])
+    near = [found[d].near_edited > found[d].near_next for d in ordered if len(texts[d]) > 300]
+    assert sum(near) / len(near) > 0.95
+
+
 def test_pipeline_stages(spark, texts, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, left = docs.columns, [set(texts)]
