@@ -272,6 +272,15 @@ CHECKS: dict[str, tuple[list[str], str]] = {
               FROM (SELECT CAST(c.label AS BIGINT) AS query_id, v.id, round(1.0 - list_dot_product(v.e, c.e)
                            / sqrt(list_dot_product(v.e, v.e) * list_dot_product(c.e, c.e)), 9) AS dist
                     FROM centroids c CROSS JOIN v_vectors v)) WHERE rn <= 20"""),
+    "vector_topk_many": (["v_vectors"], """
+        SELECT query_id, 'corpus' AS namespace, 'code' AS kind, id, dist, rn
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rn
+              FROM (SELECT CAST(q.id AS BIGINT) AS query_id, v.id, round(1.0 - list_dot_product(v.e, q.e)
+                           / sqrt(list_dot_product(v.e, v.e) * list_dot_product(q.e, q.e)), 9) + 0.0 AS dist
+                    FROM v_vectors q CROSS JOIN v_vectors v)) WHERE rn <= 20"""),
+    "vector_cells_recall": (["v_vectors"], """
+        SELECT count(*) AS questions, CAST(sum(least(20, (SELECT count(*) FROM v_vectors))) AS BIGINT) AS neighbours,
+               true AS reached FROM v_vectors"""),
     "rrf_fused": (_FUSED, "SELECT * FROM fused"),
     "hybrid_topk_hits": (_HYBRID, "SELECT * FROM hybrid"),
     "hybrid_topk_overall": (_FUSED, """

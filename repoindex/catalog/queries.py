@@ -15,7 +15,8 @@ from repoindex.operators.fulltext import fts_match, fts_rank, fts_topk, query_cl
 from repoindex.operators.fusion import best_fused, context_string, prompt_rows, rrf_fuse
 from repoindex.operators.packages import nearest_package
 from repoindex.operators.postings import build_postings, lexemes
-from repoindex.operators.vector_search import ann_index, ann_topk, vector_topk
+from repoindex.operators.vector_cells import cell_topk, fit_cells, read_cells, recall_of, write_cells
+from repoindex.operators.vector_search import vector_topk
 from repoindex.plans.indexing import IndexOptions, chunk_rows, ingest, ingest_rows, reindex, sync
 from repoindex.plans.search import hybrid_topk
 from repoindex.schemas import CHANGE_SCHEMA
@@ -299,7 +300,7 @@ def chunk_invariants(spark, sf_dir):
 # ---- embedding ----
 
 
-def _cells(df, key):
+def _components(df, key):
     """Non-zero vector components as rows."""
     return df.select(key, F.posexplode("embedding").alias("dim", "x")).where("x != 0").select(
         key, "dim", F.round(F.col("x").cast("double"), 5).alias("x"))
@@ -307,12 +308,12 @@ def _cells(df, key):
 
 @query
 def embed_chunks(spark, sf_dir):
-    return _cells(_embedded_chunks(spark, sf_dir), "id")
+    return _components(_embedded_chunks(spark, sf_dir), "id")
 
 
 @query
 def embed_queries(spark, sf_dir):
-    return _cells(embed(view(spark, sf_dir, "v_queries"), "passage", mode="query", dim=DIM), "query_id")
+    return _components(embed(view(spark, sf_dir, "v_queries"), "passage", mode="query", dim=DIM), "query_id")
 
 
 def _letter_counts(texts: list[str], mode: str) -> list[list[float]]:
@@ -331,7 +332,7 @@ def embed_backend(spark, sf_dir):
 @query
 def hash_embed_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return _cells(docs.select("doc_id", hash_embed(F.col("text"), DIM).alias("embedding")), "doc_id")
+    return _components(docs.select("doc_id", hash_embed(F.col("text"), DIM).alias("embedding")), "doc_id")
 
 
 # ---- joins and aggregates ----
@@ -461,10 +462,37 @@ def vector_topk_hits(spark, sf_dir):
     return vector_topk(vectors.drop("label"), _centroids(vectors))
 
 
+def _all_as_questions(vectors):
+    return vectors.select(F.col("id").cast("long").alias("query_id"), "embedding")
+
+
 @query
-def vector_topk_lsh(spark, sf_dir):
-    vectors = _vectors(spark, sf_dir)
-    return ann_topk(ann_index(vectors.drop("label"), DIM), _centroids(vectors), DIM)
+def vector_topk_many(spark, sf_dir):
+    """Every vector as a question, in blocks of 512: as many scans, and no vector moves."""
+    vectors = _vectors(spark, sf_dir).drop("label")
+    return vector_topk(vectors, _all_as_questions(vectors), block=512)
+
+
+def _cells(spark, sf_dir):
+    path = scratch_path(spark, "cells")
+    write_cells(fit_cells(_vectors(spark, sf_dir).drop("label")), path)
+    return read_cells(spark, path)
+
+
+@query
+def vector_topk_cells(spark, sf_dir):
+    """Approximate search over trained cells on disk, 20 neighbours of the mean of each label."""
+    return cell_topk(_cells(spark, sf_dir), _centroids(_vectors(spark, sf_dir)))
+
+
+@query
+def vector_cells_recall(spark, sf_dir):
+    """Whether the approximate search finds 95 % of the 20 nearest neighbours of all vectors, taken as questions."""
+    vectors = _vectors(spark, sf_dir).drop("label")
+    asked = _all_as_questions(vectors)
+    found = recall_of(cell_topk(_cells(spark, sf_dir), asked), vector_topk(vectors, asked))
+    return found.agg(F.count(F.lit(1)).alias("questions"), F.sum("neighbours").alias("neighbours"),
+                     (F.sum("found") >= 0.95 * F.sum("neighbours")).alias("reached"))
 
 
 # ---- hybrid search ----

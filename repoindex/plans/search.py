@@ -1,13 +1,15 @@
 """Hybrid search: the nearest and the best matching chunks of every question, fused."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoindex.functions.columns import sanitise
 from repoindex.functions.sizing import MAX_BROADCAST_ROWS, small_side
 from repoindex.operators.fulltext import CANDIDATES, fts_match, fts_rank, fts_topk, query_clauses
 from repoindex.operators.fusion import TOP_K, best_fused, rrf_fuse
+from repoindex.operators.vector_cells import RECALL, CellIndex, cell_topk
 from repoindex.operators.vector_search import vector_topk
+from repoindex.sources.store import read_cell_index, read_chunks, read_postings
 
 
 def _with_texts(fused: DataFrame, chunks: DataFrame, bound: int) -> DataFrame:
@@ -37,12 +39,15 @@ def hybrid_topk(
     candidates: int = CANDIDATES,
     across_all: bool = False,
     config: str = "english",
+    index: CellIndex | None = None,
+    recall: float = RECALL,
 ) -> DataFrame:
     """(query_id, namespace, kind, place, id, score, file_path, package, text) for (query_id, question, embedding).
 
     The k best per namespace and kind, or with ``across_all`` the k best of all; ``namespaces`` and ``kinds`` limit the
     search. A column ``namespaces`` (array) of the questions limits each to its own: namespaces nobody asks for are not
-    searched, a null array asks for all. Text is read only for the fused hits, embeddings only by the vector branch.
+    searched, a null array asks for all. Text is read only for the fused hits, embeddings only by the vector branch,
+    which is exact, or with an ``index`` of the chunks' vectors approximate, to the share ``recall`` of the neighbours.
     """
     asked = None
     if "namespaces" in queries.columns:
@@ -52,16 +57,21 @@ def hybrid_topk(
         if asked.where("own IS NULL").isEmpty():
             named = small_side(asked.select(F.explode("own").alias("namespace")).distinct())
             chunks, postings = (df.join(named, "namespace", "left_semi").select(*df.columns) for df in (chunks, postings))
+            index = None if index is None else index.join_semi(named, "namespace")
+    wanted = []
     if kinds is not None:
-        chunks, postings = chunks.where(F.col("kind").isin(kinds)), postings.where(F.col("kind").isin(kinds))
+        wanted.append(F.col("kind").isin(kinds))
     if namespaces is not None:
-        wanted = F.array_distinct(F.array(*[sanitise(F.lit(n)) for n in namespaces]))
-        chunks = chunks.where(F.array_contains(wanted, F.col("namespace")))
-        postings = postings.where(F.array_contains(wanted, F.col("namespace")))
-        groups = 2 * len(namespaces)
-    else:
-        groups = chunks.select("namespace", "kind").distinct().count()
-    by_vector = vector_topk(chunks.select("namespace", "kind", "id", "embedding"), queries, candidates)
+        names = F.array_distinct(F.array(*[sanitise(F.lit(n)) for n in namespaces]))
+        wanted.append(F.array_contains(names, F.col("namespace")))
+    for condition in wanted:
+        chunks, postings = chunks.where(condition), postings.where(condition)
+        index = None if index is None else index.where(condition)
+    groups = 2 * len(namespaces) if namespaces is not None else chunks.select("namespace", "kind").distinct().count()
+    vectors = chunks.select("namespace", "kind", "id", "embedding")
+    asked_vectors = queries.select("query_id", "embedding")
+    by_vector = (vector_topk(vectors, asked_vectors, candidates) if index is None
+                 else cell_topk(index, asked_vectors, candidates, recall))
     clauses = query_clauses(queries.select("query_id", "question"), config)
     matches = fts_match(postings, clauses, universe=chunks.select("namespace", "kind", "id"))
     by_text = fts_topk(fts_rank(matches), candidates)
@@ -73,3 +83,11 @@ def hybrid_topk(
     bound = queries.count() * groups * k
     return _with_texts(fused, chunks, bound).select(
         "query_id", "namespace", "kind", "place", "id", "score", "file_path", "package", "text")
+
+
+def hybrid_store(spark: SparkSession, store: str, queries: DataFrame, k: int = TOP_K, *, approximate: bool = False,
+                 namespaces: list[str] | None = None, kinds: list[str] | None = None, **options) -> DataFrame:
+    """``hybrid_topk`` over the present version of a store, its own postings and, if asked, its index of vectors."""
+    chunks, postings = read_chunks(spark, store, namespaces, kinds), read_postings(spark, store, namespaces, kinds)
+    index = read_cell_index(spark, store) if approximate else None
+    return hybrid_topk(chunks, postings, queries, k, namespaces=namespaces, kinds=kinds, index=index, **options)

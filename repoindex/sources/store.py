@@ -4,6 +4,7 @@
     postings/v=M/namespace=…/kind=…/bucket=…    the same buckets, by lexeme
     registry/v=M                                whole registry as of that commit
     claims/v=M                                  who writes M
+    cells/at=N                                  approximate index of the vectors of version N, if one was made
     live/at=N                                   which M holds each (namespace, kind, bucket) at version N; written last
 
 A commit rewrites only the buckets it touches. Readers join the live table, which prunes partitions, so they
@@ -22,6 +23,7 @@ from repoindex.functions.columns import sanitise
 from repoindex.functions.sizing import small_side
 from repoindex.operators.postings import build_postings
 from repoindex.operators.upserts import refuse_duplicates
+from repoindex.operators.vector_cells import CellIndex, fit_cells, read_cells, write_cells
 from repoindex.schemas import CHUNK_SCHEMA, POSTING_SCHEMA, REGISTRY_SCHEMA
 
 BUCKETS = 16
@@ -237,3 +239,14 @@ def _write_buckets(spark, store, new, live, incoming, deletes, cleared, config,
 def write_chunks(df: DataFrame, store: str, config: str = "english", buckets: int = BUCKETS) -> int:
     """Upsert a batch of embedded chunk rows into a store, as one version."""
     return commit(df.sparkSession, store, incoming=stage(df, store), config=config, buckets=buckets)
+
+
+def write_cell_index(spark: SparkSession, store: str) -> None:
+    """Fit cells to the vectors of the present version and keep them with it; a later version needs its own."""
+    version = ensure_store(spark, store)
+    write_cells(fit_cells(read_chunks(spark, store)), f"{store}/cells/at={version}")
+
+
+def read_cell_index(spark: SparkSession, store: str) -> CellIndex:
+    """The index of the present version's vectors; a version without one is an error."""
+    return read_cells(spark, f"{store}/cells/at={current_version(spark, store)}")

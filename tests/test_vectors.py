@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from repoindex.functions.embedding import embed
 from repoindex.functions.vectors import cosine_distance
-from repoindex.operators import vector_search as V
+from repoindex.operators import vector_cells as A, vector_search as V
 
 SCHEMA = "namespace string, kind string, id string, embedding array<double>"
 
@@ -45,12 +45,20 @@ def test_exact_search(data):
     assert hits(V.vector_topk(vectors, queries, 5)) == brute_force(rows, asked, 5)
 
 
-def test_grid_gives_the_same(data, monkeypatch):
+def test_blocks_of_questions_give_the_same(data, monkeypatch):
     vectors, queries, rows, asked = data
-    monkeypatch.setattr(V, "MAX_BROADCAST_QUERIES", 2)
-    monkeypatch.setattr(V, "GRID_QUERIES", 3)
-    monkeypatch.setattr(V, "GRID_VECTORS", 90)
-    assert hits(V.vector_topk(vectors, queries, 5)) == brute_force(rows, asked, 5)
+    assert hits(V.vector_topk(vectors, queries, 5, block=3)) == brute_force(rows, asked, 5)
+    monkeypatch.setattr(V, "BOUND_ROWS", 60)
+    assert hits(V.vector_topk(vectors, queries, 5, block=3)) == brute_force(rows, asked, 5)
+
+
+def test_bound_keeps_tasks_from_sending_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [("n", "code", f"{n:05d}", [float(x) for x in rng.standard_normal(8)]) for n in range(4000)]
+    vectors = spark.createDataFrame(rows, "namespace string, kind string, id string, embedding array<float>").repartition(40)
+    asked = vectors.limit(3).select(F.col("id").cast("long").alias("query_id"), "embedding").toArrow()
+    sent = {bounded: V.nearest_rows(vectors, asked, 20, bounded=bounded).count() for bounded in (False, True)}
+    assert sent[False] == 3 * 20 * 40 and 60 <= sent[True] < sent[False] / 2
 
 
 def test_fewer_rows_than_k_and_zero_vectors_last(spark, data):
@@ -66,19 +74,65 @@ def test_dimension_mismatch_fails(spark, data):
         V.vector_topk(vectors.withColumn("embedding", F.slice("embedding", 1, 4)), queries).collect()
 
 
-def test_approximate_recall(data):
+def clustered(spark, size=3000, groups=30, dim=16):
+    """Vectors around some directions, of two kinds."""
+    rng = np.random.default_rng(11)
+    means = rng.standard_normal((groups, dim)) * 3
+    rows = []
+    for n in range(size):
+        vector = means[n % groups] + rng.standard_normal(dim)
+        rows.append(("n", "docs" if n % 7 == 0 else "code", f"{n:05d}", [float(x) for x in vector]))
+    return spark.createDataFrame(rows, "namespace string, kind string, id string, embedding array<float>")
+
+
+@pytest.fixture(scope="module")
+def cells(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("cells") / "index")
+    vectors = clustered(spark)
+    zero = vectors.limit(1).withColumns({"id": F.lit("zero"), "embedding": F.transform("embedding", lambda x: x * 0)})
+    A.write_cells(A.fit_cells(vectors.union(zero), cells=40), path)
+    return vectors.union(zero), A.read_cells(spark, path)
+
+
+def test_approximate_recall_and_rows_read(spark, cells):
+    vectors, index = cells
+    asked = vectors.where("id LIKE '%7'").limit(50).select(F.col("id").cast("long").alias("query_id"), "embedding")
+    asked = spark.createDataFrame(asked.where("query_id < 600").toArrow())
+    found = A.recall_of(A.cell_topk(index, asked), V.vector_topk(vectors, asked)).agg(
+        F.sum("found"), F.sum("neighbours")).first()
+    assert found[0] >= 0.95 * found[1]
+    # Fewer rows than an exact search of fifty questions reads, from pruned folders.
+    units = V._unit(V._matrix(asked.toArrow()["embedding"]))
+    probes = A.cells_to_read(index, units)
+    read = index.rows.where(F.col("cell").isin(list(A.probed_cells(index, units, probes))))
+    assert probes < 10 and read.count() < vectors.count()
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "cell#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_reading_all_cells_is_exact(data):
     vectors, queries, rows, asked = data
-    exact = {h[:3] for h in brute_force(rows, asked, 20)}
-    found = {h[:3] for h in hits(V.ann_topk(V.ann_index(vectors, 16), queries, 16))}
-    assert len(exact & found) / len(exact) > 0.8
+    index = A.fit_cells(vectors, cells=5)
+    assert hits(A.cell_topk(index, queries, 5, probes=5)) == brute_force(rows, asked, 5)
+    assert hits(A.cell_topk(index, queries, 5, probes=5, block=4)) == brute_force(rows, asked, 5)
+    assert index.rows.where("cell = -1").select("id").collect() == index.rows.where(
+        F.forall("embedding", lambda x: x == 0)).select("id").collect()
 
 
-def test_approximate_search_answers_a_question_alike_among_many(data, monkeypatch):
+def test_approximate_search_of_little(spark, data):
     vectors, queries, *_ = data
-    index = V.ann_index(vectors, 16)
-    together = hits(V.ann_topk(index, queries, 16, 5))
-    monkeypatch.setattr(V, "MAX_BROADCAST_QUERIES", 4)
-    assert hits(V.ann_topk(index, queries, 16, 5)) == together
+    nothing = A.fit_cells(vectors.limit(0))
+    assert A.cell_topk(nothing, queries, 5).count() == 0
+    assert A.cell_topk(A.fit_cells(vectors), queries.limit(0), 5).count() == 0
+    one = A.fit_cells(vectors.where("id = '0001'"))
+    assert {r.id for r in A.cell_topk(one, queries, 5).collect()} == {"0001"}
+
+
+def test_sample_is_bounded_and_the_same_in_any_layout(spark):
+    vectors = clustered(spark)
+    first = A.sample_vectors(vectors, 200).collect()
+    assert len(first) == 200 and sorted(map(tuple, first)) == sorted(
+        map(tuple, A.sample_vectors(vectors.repartition(9, "id"), 200).collect()))
 
 
 def test_cosine_distance(spark):
