@@ -32,10 +32,22 @@ STEPS = {
         SELECT namespace, kind, id, unnest(range(1, len(w) + 1))::INT AS pos, unnest(w) AS lexeme
         FROM (SELECT namespace, kind, id, {_tokens('text')} AS w FROM v_chunks)""",
     "t_questions": f"""
-        SELECT DISTINCT query_id, unnest({_tokens('question')}) AS lexeme FROM v_queries""",
+        SELECT DISTINCT query_id, unnest({_tokens('pair')}) AS lexeme FROM v_queries""",
     "n_questions": "SELECT query_id, count(*) AS n FROM t_questions GROUP BY ALL",
-    "t_first": f"""SELECT DISTINCT query_id, unnest({_tokens("split_part(question, ' ', 1)")}) AS lexeme FROM v_queries""",
-    "t_second": f"""SELECT DISTINCT query_id, unnest({_tokens("split_part(question, ' ', 2)")}) AS lexeme FROM v_queries""",
+    "t_first": f"""SELECT DISTINCT query_id, unnest({_tokens("split_part(pair, ' ', 1)")}) AS lexeme FROM v_queries""",
+    "t_second": f"""SELECT DISTINCT query_id, unnest({_tokens("split_part(pair, ' ', 2)")}) AS lexeme FROM v_queries""",
+    "t_any": f"""
+        SELECT DISTINCT query_id, unnest({_tokens('passage')}) AS lexeme FROM v_queries""",
+    "any_shares": """
+        SELECT q.query_id, t.namespace, t.kind, t.id, t.lexeme,
+               list_sum(list_transform(range(1, count(*) + 1), lambda j: 1.0 / (j * j)))::DOUBLE * 0.1 / 1.64493406685 AS share
+        FROM t_any q JOIN t_chunks t ON t.lexeme = q.lexeme GROUP BY ALL""",
+    "any_ranked": """
+        SELECT s.query_id, s.namespace, s.kind, s.id, CAST(CAST(sum(share) / any_value(n.n) AS FLOAT) AS DOUBLE) AS rank
+        FROM any_shares s JOIN (SELECT query_id, count(*) AS n FROM t_any GROUP BY ALL) n USING (query_id) GROUP BY ALL""",
+    "any_hits": """
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, namespace, kind
+                                                    ORDER BY rank DESC, id) AS rn FROM any_ranked) WHERE rn <= 20""",
     "held": _hits("t_chunks", "t_questions"),
     "matched": """
         SELECT h.query_id, h.namespace, h.kind, h.id FROM held h JOIN n_questions n
@@ -92,7 +104,7 @@ STEPS = {
                round(CAST(1 AS DOUBLE) / (60 + coalesce(v_rn, 100)) + CAST(1 AS DOUBLE) / (60 + coalesce(f_rn, 100)), 9)
                AS score
         FROM (SELECT query_id, namespace, kind, id, v.rn AS v_rn, f.rn AS f_rn
-              FROM vector_hits v FULL OUTER JOIN text_hits f USING (query_id, namespace, kind, id))""",
+              FROM vector_hits v FULL OUTER JOIN any_hits f USING (query_id, namespace, kind, id))""",
     "hybrid": """
         SELECT f.query_id, f.namespace, f.kind, f.place, f.id, f.score, c.file_path, c.package, c.text
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id, namespace, kind ORDER BY score DESC, id) AS place
@@ -148,7 +160,8 @@ _CHUNKS = ["v_files", "v_chunks"]
 _MATCH = [*_CHUNKS, "v_queries", "t_chunks", "t_questions", "n_questions", "held", "matched"]
 _RANK = [*_MATCH, "occurring", "term_shares", "pair_logs", "ranked"]
 _VECTOR = ["chunk_cells", "question_cells", "chunk_lists", "question_lists", "distances", "vector_hits"]
-_FUSED = [*_RANK, "text_hits", *_VECTOR, "fused"]
+_ANY = [*_CHUNKS, "v_queries", "t_chunks", "t_any", "any_shares", "any_ranked"]
+_FUSED = [*_ANY, "any_hits", *_VECTOR, "fused"]
 _HYBRID = [*_FUSED, "hybrid"]
 _CHANGES = ["v_files", "v_changes"]
 _WHOLE = ["v_files", "v_manifests", "f_packages", "w_files"]
@@ -248,19 +261,28 @@ CHECKS: dict[str, tuple[list[str], str]] = {
     "fts_match_all": (_MATCH, "SELECT * FROM matched"),
     "fts_match_phrase": ([*_CHUNKS, "v_queries", "t_chunks"], f"""
         WITH p AS (SELECT query_id, unnest(range(0, len(w)))::INT AS "offset", unnest(w) AS lexeme, len(w) AS n
-                   FROM (SELECT query_id, {_tokens('question')} AS w FROM v_queries))
+                   FROM (SELECT query_id, {_tokens('pair')} AS w FROM v_queries))
         SELECT DISTINCT query_id, namespace, kind, id
         FROM (SELECT p.query_id, t.namespace, t.kind, t.id, t.pos - p."offset" AS start, p.n, count(*) AS c
               FROM p JOIN t_chunks t ON t.lexeme = p.lexeme GROUP BY ALL) WHERE c = n"""),
-    "fts_match_any": (_MATCH, "SELECT query_id, namespace, kind, id FROM held"),
+    "fts_match_any": (_ANY, "SELECT query_id, namespace, kind, id FROM any_ranked"),
     "fts_match_not": ([*_CHUNKS, "v_queries", "t_chunks", "t_first", "t_second"], f"""
         SELECT query_id, namespace, kind, id FROM ({_hits('t_chunks', 't_first')})
         WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM ({_hits('t_chunks', 't_second')}))"""),
     "fts_ranks": (_RANK, "SELECT * FROM ranked"),
-    "fts_ranks_any": ([*_RANK], """
-        SELECT h.query_id, h.namespace, h.kind, h.id, CAST(CAST(s.share / n.n AS FLOAT) AS DOUBLE) AS rank
-        FROM held h JOIN n_questions n USING (query_id)
-        JOIN (SELECT query_id, id, sum(share) AS share FROM term_shares GROUP BY ALL) s USING (query_id, id)"""),
+    "fts_ranks_any": (_ANY, "SELECT * FROM any_ranked"),
+    "text_index_counts": ([*_CHUNKS, "t_chunks"], """
+        SELECT namespace, kind, lexeme, count(*) AS chunks, CAST(max(n) AS INT) AS most
+        FROM (SELECT namespace, kind, id, lexeme, count(*) AS n FROM t_chunks GROUP BY ALL) GROUP BY ALL"""),
+    "text_index_topk": ([*_RANK, "text_hits"], "SELECT * FROM text_hits"),
+    "text_index_topk_any": ([*_ANY, "any_hits"], "SELECT * FROM any_hits"),
+    "text_negation_topk": ([*_CHUNKS, "v_queries", "t_chunks", "t_second"], """
+        SELECT * FROM (
+            SELECT q.query_id, c.namespace, c.kind, c.id, 0.0::DOUBLE AS rank,
+                   row_number() OVER (PARTITION BY q.query_id, c.namespace, c.kind ORDER BY c.id) AS rn
+            FROM (SELECT DISTINCT query_id FROM t_second) q CROSS JOIN v_chunks c
+            WHERE (q.query_id, c.id) NOT IN (
+                SELECT (s.query_id, t.id) FROM t_second s JOIN t_chunks t ON t.lexeme = s.lexeme)) WHERE rn <= 20"""),
     "fts_topk_hits": ([*_RANK, "text_hits"], "SELECT * FROM text_hits"),
     "cosine_distances": (["v_vectors", "centroids"], """
         SELECT v.id, round(1.0 - list_dot_product(v.e, c.e)

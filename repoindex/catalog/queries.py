@@ -15,10 +15,11 @@ from repoindex.operators.fulltext import fts_match, fts_rank, fts_topk, query_cl
 from repoindex.operators.fusion import best_fused, context_string, prompt_rows, rrf_fuse
 from repoindex.operators.packages import nearest_package
 from repoindex.operators.postings import build_postings, lexemes
+from repoindex.operators.text_index import read_text_index, text_topk, write_text_index
 from repoindex.operators.vector_cells import cell_topk, fit_cells, read_cells, recall_of, write_cells
 from repoindex.operators.vector_search import vector_topk
 from repoindex.plans.indexing import IndexOptions, chunk_rows, ingest, ingest_rows, reindex, sync
-from repoindex.plans.search import hybrid_topk
+from repoindex.plans.search import hybrid_store, hybrid_topk, text_hits
 from repoindex.schemas import CHANGE_SCHEMA
 from repoindex.session import scratch_path
 from repoindex.sources.readers import decode_text, explode_compare, read_manifests, restrict_to
@@ -398,13 +399,18 @@ def query_clauses_simple(spark, sf_dir):
 
 
 def _matches(spark, sf_dir, question):
-    """Matches of the two words of each question, put together by ``question``."""
-    words = F.split("question", " ")
-    asked = _questions(spark, sf_dir).select(
+    """Matches of a frequent pair of neighbouring words of each benchmark text, put together by ``question``."""
+    words = F.split("pair", " ")
+    asked = view(spark, sf_dir, "v_queries").select(
         "query_id", question(F.get(words, F.lit(0)), F.get(words, F.lit(1))).alias("question"))
     return fts_match(build_postings(_chunks(spark, sf_dir), "simple"), query_clauses(asked, "simple"))
 
 
+def _any_word_matches(spark, sf_dir):
+    """Matches of any of all words of each benchmark text."""
+    return fts_match(build_postings(_chunks(spark, sf_dir), "simple"), query_clauses(_questions(spark, sf_dir), "simple"))
+
+
 @query
 def fts_match_all(spark, sf_dir):
     rows = _matches(spark, sf_dir, lambda a, b: F.concat_ws(" ", a, b))
@@ -419,8 +425,7 @@ def fts_match_phrase(spark, sf_dir):
 
 @query
 def fts_match_any(spark, sf_dir):
-    rows = _matches(spark, sf_dir, lambda a, b: F.concat_ws(" or ", a, b))
-    return rows.select("query_id", *CHUNK_KEYS)
+    return _any_word_matches(spark, sf_dir).select("query_id", *CHUNK_KEYS)
 
 
 @query
@@ -436,7 +441,7 @@ def fts_ranks(spark, sf_dir):
 
 @query
 def fts_ranks_any(spark, sf_dir):
-    return fts_rank(_matches(spark, sf_dir, lambda a, b: F.concat_ws(" or ", a, b)))
+    return fts_rank(_any_word_matches(spark, sf_dir))
 
 
 @query
@@ -444,6 +449,39 @@ def fts_topk_hits(spark, sf_dir):
     return fts_topk(fts_rank(_matches(spark, sf_dir, lambda a, b: F.concat_ws(" ", a, b))))
 
 
+def _text_index(spark, sf_dir):
+    path = scratch_path(spark, "text-index")
+    write_text_index(build_postings(_chunks(spark, sf_dir), "simple"), path, slots=32)
+    return read_text_index(spark, path)
+
+
+@query
+def text_index_counts(spark, sf_dir):
+    return _text_index(spark, sf_dir).counts.drop("slot")
+
+
+@query
+def text_index_topk(spark, sf_dir):
+    """The 20 best chunks with both words of the pairs, through an index on disk."""
+    asked = view(spark, sf_dir, "v_queries").select("query_id", F.col("pair").alias("question"))
+    return text_topk(_text_index(spark, sf_dir), query_clauses(asked, "simple"))
+
+
+@query
+def text_index_topk_any(spark, sf_dir):
+    """The 20 best chunks with any word of the whole benchmark texts, through an index on disk."""
+    return text_topk(_text_index(spark, sf_dir), query_clauses(_questions(spark, sf_dir), "simple"))
+
+
+@query
+def text_negation_topk(spark, sf_dir):
+    """The first 20 chunks without the second word of each pair."""
+    word = F.get(F.split("pair", " "), F.lit(1))
+    asked = view(spark, sf_dir, "v_queries").select("query_id", F.concat(F.lit("-"), word).alias("question"))
+    chunks = _chunks(spark, sf_dir)
+    return text_hits(build_postings(chunks, "simple"), query_clauses(asked, "simple"), chunks, 20, "simple")
+
+
 # ---- vectors ----
 
 
@@ -509,8 +547,7 @@ def rrf_fused(spark, sf_dir):
     chunks = _embedded_chunks(spark, sf_dir)
     asked = _embedded_questions(spark, sf_dir)
     by_vector = vector_topk(chunks.select(*CHUNK_KEYS, "embedding"), asked.drop("question"))
-    ranked = fts_rank(_matches(spark, sf_dir, lambda a, b: F.concat_ws(" ", a, b)))
-    return rrf_fuse(by_vector, fts_topk(ranked))
+    return rrf_fuse(by_vector, fts_topk(fts_rank(_any_word_matches(spark, sf_dir))))
 
 
 @query

@@ -1,8 +1,8 @@
 """Views that give the operators realistic inputs from the given tables.
 
-Documents stand for files, their 1000-character slices for chunks, events for changes. A question is the longest pair of
-neighbouring words of a whole benchmark text, the first in order of equally long ones. Each view is one SQL text with a few engine-specific spellings, so that Spark and the checking engine
-see the same rows.
+Documents stand for files, their 1000-character slices for chunks, events for changes. Of each benchmark text there are two
+questions: ``pair``, its shortest and so most frequent pair of neighbouring words, and ``question``, any of all its words.
+Each view is one SQL text with a few engine-specific spellings, so that Spark and the checking engine see the same rows.
 """
 
 import os
@@ -59,7 +59,7 @@ VIEWS = {
                CASE lang WHEN 'de' THEN md5(concat(lang, '-1')) ELSE md5(concat(lang, '-2')) END AS sha
         FROM (SELECT DISTINCT lang FROM {documents}) t""",
     "v_queries": """
-        SELECT item_id AS query_id, text AS passage, {longest_pair} AS question
+        SELECT item_id AS query_id, text AS passage, {shortest_pair} AS pair, {any_word} AS question
         FROM (SELECT item_id, text, {words} AS w FROM {benchmark}) x""",
 }
 
@@ -67,17 +67,19 @@ SPARK_WORDS = {
     "sha256": "sha2", "sha256_bits": ", 256",
     "slices": "explode(sequence(0, CAST(floor((length(text) - 1) / 1000) AS INT)))",
     "words": r"regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+', 0)",
-    "longest_pair": """CASE WHEN size(w) < 2 THEN array_join(w, ' ') ELSE substring(array_min(transform(
-        sequence(1, size(w) - 1), i -> concat(lpad(CAST(greatest(10000 - length(w[i - 1]) - length(w[i]), 0) AS STRING), 5, '0'),
-                                              w[i - 1], ' ', w[i]))), 6) END""",
+    "shortest_pair": """CASE WHEN size(w) < 2 THEN array_join(w, ' ') ELSE substring(array_min(transform(
+        sequence(1, size(w) - 1), i -> concat(lpad(CAST(length(w[i - 1]) + length(w[i]) AS STRING), 9, '0'),
+                                              w[i - 1], ' ', w[i]))), 10) END""",
+    "any_word": "array_join(transform(array_distinct(w), x -> concat('\"', x, '\"')), ' or ')",
 }
 CHECK_WORDS = {
     "sha256": "sha256", "sha256_bits": "",
     "slices": "unnest(range(0, CAST(floor((length(text) - 1) / 1000) AS INT) + 1))::INT",
     "words": r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')",
-    "longest_pair": """CASE WHEN len(w) < 2 THEN array_to_string(w, ' ') ELSE substr(list_min(list_transform(
-        range(1, len(w)), lambda i: concat(lpad(CAST(greatest(10000 - length(w[i]) - length(w[i + 1]), 0) AS VARCHAR), 5, '0'),
-                                           w[i], ' ', w[i + 1]))), 6) END""",
+    "shortest_pair": """CASE WHEN len(w) < 2 THEN array_to_string(w, ' ') ELSE substr(list_min(list_transform(
+        range(1, len(w)), lambda i: concat(lpad(CAST(length(w[i]) + length(w[i + 1]) AS VARCHAR), 9, '0'),
+                                           w[i], ' ', w[i + 1]))), 10) END""",
+    "any_word": "array_to_string(list_transform(list_distinct(w), lambda x: concat('\"', x, '\"')), ' or ')",
 }
 
 

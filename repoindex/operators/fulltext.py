@@ -60,7 +60,7 @@ def query_clauses(queries: DataFrame, config: str = "english") -> DataFrame:
         "query_id", "or_group", "clause_id", "lexeme", "offset", "negated")
 
 
-def _query_forms(clauses: DataFrame) -> DataFrame:
+def query_forms(clauses: DataFrame) -> DataFrame:
     """One row per question: its clauses as ``groups``, its distinct lexemes, and which rank formula holds.
 
     Groups here are as long as one question.
@@ -91,7 +91,7 @@ def _clause_holds(words: Column, found: Column) -> Column:
     )
 
 
-def _few_lexemes(clauses: DataFrame) -> list[str] | None:
+def few_lexemes(clauses: DataFrame) -> list[str] | None:
     """The distinct lexemes of the questions if the clause table is small enough to be broadcast, else None."""
     words = [row[0] for row in clauses.select("lexeme").take(MAX_BROADCAST_ROWS + 1)]
     if len(words) > MAX_BROADCAST_ROWS or sum(map(len, words)) > MAX_BROADCAST_BYTES // 4:
@@ -99,23 +99,27 @@ def _few_lexemes(clauses: DataFrame) -> list[str] | None:
     return sorted(set(words))
 
 
-def fts_match(postings: DataFrame, clauses: DataFrame, universe: DataFrame | None = None) -> DataFrame:
+def fts_match(postings: DataFrame, clauses: DataFrame, universe: DataFrame | None = None,
+              gathered: bool = False) -> DataFrame:
     """Matching chunks of every question: hit keys, ``found`` (lexeme → positions), terms and rank formula.
 
     Postings meet the questions on the lexeme; what a chunk has of a question's lexemes is gathered in one
     row (no longer than the question) and the boolean form is evaluated there, so phrases and negations
     need no joins of their own. The lexemes of few questions also go to the scan as a filter: stored postings
     are sorted by lexeme, so it can skip row groups. A question with an alternative made of negations only matches chunks that
-    have none of its lexemes: those come from ``universe`` (namespace, kind, id).
+    have none of its lexemes: those come from ``universe`` (namespace, kind, id). Postings that already are those of each
+    question, with its query_id, are ``gathered``.
     """
-    words = _few_lexemes(clauses)
+    words = few_lexemes(clauses)
     # Both sides marked here have at most as many rows as there are clauses, and the same words in them.
     mark = (lambda df: df) if words is None else F.broadcast
     if words is not None and len(words) <= PUSHED_LEXEMES:
         postings = postings.where(F.col("lexeme").isin(words))
-    wanted = mark(clauses.select("query_id", "lexeme").distinct())
-    forms = mark(_query_forms(clauses))
-    touched = postings.join(wanted, "lexeme").select(*HIT_KEYS, "lexeme", "positions")
+    forms = mark(query_forms(clauses))
+    touched = postings
+    if not gathered:
+        wanted = mark(clauses.select("query_id", "lexeme").distinct())
+        touched = postings.join(wanted, "lexeme").select(*HIT_KEYS, "lexeme", "positions")
     if universe is not None and not forms.where("open_ended").isEmpty():
         salt = F.pmod(F.xxhash64("id"), F.lit(64)).cast("int")
         open_ended = forms.where("open_ended").select(

@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from repoindex.functions.columns import sanitise
 from repoindex.functions.sizing import MAX_BROADCAST_ROWS, small_side
-from repoindex.operators.fulltext import CANDIDATES, fts_match, fts_rank, fts_topk, query_clauses
+from repoindex.operators.fulltext import CANDIDATES, fts_match, fts_rank, fts_topk, query_clauses, query_forms
 from repoindex.operators.fusion import TOP_K, best_fused, rrf_fuse
+from repoindex.operators.text_index import TextIndex, text_topk, untouched_topk
 from repoindex.operators.vector_cells import RECALL, CellIndex, cell_topk
 from repoindex.operators.vector_search import vector_topk
-from repoindex.sources.store import read_cell_index, read_chunks, read_postings
+from repoindex.sources.store import read_chunks, read_indexes, read_postings
 
 
 def _with_texts(fused: DataFrame, chunks: DataFrame, bound: int) -> DataFrame:
@@ -28,9 +29,19 @@ def _with_texts(fused: DataFrame, chunks: DataFrame, bound: int) -> DataFrame:
         marked(fused.where("place >= 1")), keys).drop("bucket")
 
 
+def text_hits(postings: DataFrame | TextIndex, clauses: DataFrame, chunks: DataFrame, k: int, config: str) -> DataFrame:
+    """The k best text hits per question, namespace and kind, from postings or from an index of them."""
+    if isinstance(postings, TextIndex):
+        return text_topk(postings, clauses, k, chunks, config)
+    ranked = fts_rank(fts_match(postings, clauses))
+    if not query_forms(clauses).where("open_ended").isEmpty():
+        ranked = ranked.unionByName(untouched_topk(chunks, clauses, k, config))
+    return fts_topk(ranked, k)
+
+
 def hybrid_topk(
     chunks: DataFrame,
-    postings: DataFrame,
+    postings: DataFrame | TextIndex,
     queries: DataFrame,
     k: int = TOP_K,
     *,
@@ -56,7 +67,9 @@ def hybrid_topk(
         queries = queries.drop("namespaces")
         if asked.where("own IS NULL").isEmpty():
             named = small_side(asked.select(F.explode("own").alias("namespace")).distinct())
-            chunks, postings = (df.join(named, "namespace", "left_semi").select(*df.columns) for df in (chunks, postings))
+            chunks = chunks.join(named, "namespace", "left_semi").select(*chunks.columns)
+            if not isinstance(postings, TextIndex):
+                postings = postings.join(named, "namespace", "left_semi").select(*postings.columns)
             index = None if index is None else index.join_semi(named, "namespace")
     wanted = []
     if kinds is not None:
@@ -73,8 +86,7 @@ def hybrid_topk(
     by_vector = (vector_topk(vectors, asked_vectors, candidates) if index is None
                  else cell_topk(index, asked_vectors, candidates, recall))
     clauses = query_clauses(queries.select("query_id", "question"), config)
-    matches = fts_match(postings, clauses, universe=chunks.select("namespace", "kind", "id"))
-    by_text = fts_topk(fts_rank(matches), candidates)
+    by_text = text_hits(postings, clauses, chunks.select("namespace", "kind", "id", "text"), candidates, config)
     fused = rrf_fuse(by_vector, by_text)
     if asked is not None:
         fused = fused.join(small_side(asked), "query_id").where(
@@ -85,9 +97,10 @@ def hybrid_topk(
         "query_id", "namespace", "kind", "place", "id", "score", "file_path", "package", "text")
 
 
-def hybrid_store(spark: SparkSession, store: str, queries: DataFrame, k: int = TOP_K, *, approximate: bool = False,
+def hybrid_store(spark: SparkSession, store: str, queries: DataFrame, k: int = TOP_K, *, indexed: bool = False,
                  namespaces: list[str] | None = None, kinds: list[str] | None = None, **options) -> DataFrame:
-    """``hybrid_topk`` over the present version of a store, its own postings and, if asked, its index of vectors."""
-    chunks, postings = read_chunks(spark, store, namespaces, kinds), read_postings(spark, store, namespaces, kinds)
-    index = read_cell_index(spark, store) if approximate else None
+    """``hybrid_topk`` over the present version of a store: its chunks and postings or, if ``indexed``, the indexes that
+    ``write_indexes`` made of them; the vector branch is approximate then."""
+    chunks = read_chunks(spark, store, namespaces, kinds)
+    postings, index = read_indexes(spark, store) if indexed else (read_postings(spark, store, namespaces, kinds), None)
     return hybrid_topk(chunks, postings, queries, k, namespaces=namespaces, kinds=kinds, index=index, **options)

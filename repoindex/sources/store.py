@@ -4,7 +4,7 @@
     postings/v=M/namespace=…/kind=…/bucket=…    the same buckets, by lexeme
     registry/v=M                                whole registry as of that commit
     claims/v=M                                  who writes M
-    cells/at=N                                  approximate index of the vectors of version N, if one was made
+    cells/at=N, lexemes/at=N                    indexes of the vectors and postings of version N, if they were made
     live/at=N                                   which M holds each (namespace, kind, bucket) at version N; written last
 
 A commit rewrites only the buckets it touches. Readers join the live table, which prunes partitions, so they
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from repoindex.functions.columns import sanitise
 from repoindex.functions.sizing import small_side
 from repoindex.operators.postings import build_postings
+from repoindex.operators.text_index import TextIndex, read_text_index, write_text_index
 from repoindex.operators.upserts import refuse_duplicates
 from repoindex.operators.vector_cells import CellIndex, fit_cells, read_cells, write_cells
 from repoindex.schemas import CHUNK_SCHEMA, POSTING_SCHEMA, REGISTRY_SCHEMA
@@ -241,12 +242,17 @@ def write_chunks(df: DataFrame, store: str, config: str = "english", buckets: in
     return commit(df.sparkSession, store, incoming=stage(df, store), config=config, buckets=buckets)
 
 
-def write_cell_index(spark: SparkSession, store: str) -> None:
-    """Fit cells to the vectors of the present version and keep them with it; a later version needs its own."""
+def write_indexes(spark: SparkSession, store: str) -> None:
+    """Make the indexes of the present version and keep them with it: cells of its vectors, slots of its postings.
+
+    A later version needs its own; the searches that use none go on meanwhile.
+    """
     version = ensure_store(spark, store)
     write_cells(fit_cells(read_chunks(spark, store)), f"{store}/cells/at={version}")
+    write_text_index(read_postings(spark, store), f"{store}/lexemes/at={version}")
 
 
-def read_cell_index(spark: SparkSession, store: str) -> CellIndex:
-    """The index of the present version's vectors; a version without one is an error."""
-    return read_cells(spark, f"{store}/cells/at={current_version(spark, store)}")
+def read_indexes(spark: SparkSession, store: str) -> tuple[TextIndex, CellIndex]:
+    """The indexes of the present version; a version without them is an error."""
+    version = current_version(spark, store)
+    return (read_text_index(spark, f"{store}/lexemes/at={version}"), read_cells(spark, f"{store}/cells/at={version}"))
