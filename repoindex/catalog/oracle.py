@@ -1,6 +1,7 @@
 """The result of each registered query, where SQL can state it, for an engine that reads the same tables."""
 
 from repoindex.catalog.views import check_ctes
+from repoindex.functions.splitter import SEPARATORS
 
 WHITESPACE = (r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 DIM = 64
@@ -10,6 +11,15 @@ def _tokens(text: str) -> str:
     return rf"list_transform(regexp_extract_all({text}, '[\p{{L}}\p{{N}}]+'), lambda w: lower(w))"
 
 
+def _literal(text: str) -> str:
+    """A string with line ends and tabs as SQL."""
+    return "concat(" + ", ".join(f"chr({ord(c)})" if c in "\n\t" else f"'{c}'" for c in text) + ")" if text else "''"
+
+
+def _separators(language: str) -> str:
+    return "[" + ", ".join(map(_literal, SEPARATORS[language])) + "]"
+
+
 def _hits(table: str, question: str) -> str:
     """Chunks with the number of distinct question lexemes they hold."""
     return f"""SELECT q.query_id, t.namespace, t.kind, t.id, count(DISTINCT t.lexeme) AS held
@@ -80,6 +90,12 @@ STEPS = {
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, namespace, kind
                                                     ORDER BY rank DESC, id) AS rn FROM ranked) WHERE rn <= 20""",
     "chunk_cells": _vector_cells("v_chunks", "id", "text"),
+    "s_cells": _vector_cells("s_chunks", "id", "text"),
+    "s_embedded": f"""
+        SELECT c.id, string_agg(CAST(CAST(round(coalesce(CAST(CAST(x AS FLOAT) AS DOUBLE), 0.0) * 100000) AS INT) AS VARCHAR), ','
+                                ORDER BY d.dim) AS embedding
+        FROM s_chunks c CROSS JOIN (SELECT unnest(range(0, {DIM})) AS dim) d
+        LEFT JOIN s_cells x ON x.id = c.id AND x.dim = d.dim GROUP BY ALL""",
     "question_cells": _vector_cells("v_queries", "query_id", "passage"),
     "chunk_lists": f"""
         SELECT c.namespace, c.kind, c.id, list(coalesce(CAST(CAST(x AS FLOAT) AS DOUBLE), 0.0) ORDER BY d.dim) AS e
@@ -115,6 +131,75 @@ STEPS = {
         FROM (SELECT label, pos, avg(x) AS x
               FROM (SELECT label, unnest(range(0, len(e))) AS pos, unnest(e) AS x FROM v_vectors) GROUP BY ALL)
         GROUP BY ALL""",
+    # Splitting as ranges of a text: cut at the coarsest separator there is, cut long pieces again, merge runs of short ones.
+    "s_files": rf"""
+        SELECT f.namespace, f.file_path, p.package, f.text,
+               CASE WHEN regexp_matches(f.file_path, '\.(md|txt|yml)$') THEN 'docs' ELSE 'code' END AS kind,
+               CASE WHEN regexp_matches(f.file_path, '\.(md|txt|yml)$') THEN 4000 ELSE 2000 END AS size,
+               CASE WHEN regexp_matches(f.file_path, '\.(md|txt|yml)$') THEN 400 ELSE 200 END AS overlap,
+               CASE WHEN f.file_path LIKE '%.py' THEN {_separators('python')}
+                    WHEN f.file_path LIKE '%.ts' THEN {_separators('ts')}
+                    WHEN f.file_path LIKE '%.js' THEN {_separators('js')} ELSE {_separators('default')} END AS seps
+        FROM v_files f JOIN f_packages p USING (namespace, file_path)
+        WHERE NOT regexp_matches(f.file_path, '\.(min\.js|json)$') AND regexp_matches(f.text, '[^{WHITESPACE}]')""",
+    "s_pieces": """
+        SELECT namespace, file_path, 0 AS owner, 0 AS owner_level, 0::BIGINT AS s, length(text)::BIGINT AS e, 1 AS level,
+               'open' AS state FROM s_files
+        UNION ALL
+        SELECT namespace, file_path, base AS owner, lev AS owner_level, cut AS s,
+               coalesce(lead(cut) OVER (PARTITION BY namespace, file_path, base ORDER BY cut), stop) AS e, lev + 1 AS level,
+               CASE WHEN sep = '' THEN 'letters'
+                    WHEN coalesce(lead(cut) OVER (PARTITION BY namespace, file_path, base ORDER BY cut), stop) - cut < size
+                    THEN 'short' ELSE 'open' END AS state
+        FROM (SELECT namespace, file_path, base, stop, lev, sep, size,
+                     base + CASE i WHEN 1 THEN 0 ELSE
+                         coalesce(sum(length(part) + length(sep)) OVER (
+                             PARTITION BY namespace, file_path, base ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
+                         ), 0) - length(sep) END AS cut, i
+              FROM (SELECT namespace, file_path, base, stop, lev, sep, size, unnest(parts) AS part,
+                           generate_subscripts(parts, 1) AS i
+                    FROM (SELECT namespace, file_path, base, stop, lev, size, seps[lev] AS sep,
+                                 CASE seps[lev] WHEN '' THEN [body] ELSE string_split(body, seps[lev]) END AS parts
+                          FROM (SELECT p.namespace, p.file_path, p.s AS base, p.e AS stop, f.size, f.seps,
+                                       substr(f.text, p.s + 1, p.e - p.s) AS body,
+                                       list_min(list_filter(range(p.level, len(f.seps) + 1), lambda j:
+                                           f.seps[j] = '' OR contains(substr(f.text, p.s + 1, p.e - p.s), f.seps[j]))) AS lev
+                                FROM s_pieces p JOIN s_files f USING (namespace, file_path) WHERE p.state = 'open'))))
+        -- A separator at the very beginning opens no piece of its own.
+        WHERE NOT (i = 2 AND cut = base)""",
+    "s_runs": """
+        SELECT namespace, file_path, owner, owner_level, list(s ORDER BY s) AS starts, list(e ORDER BY s) AS ends
+        FROM (SELECT *, sum(opens) OVER (PARTITION BY namespace, file_path, owner, owner_level ORDER BY s) AS run
+              FROM (SELECT *, CASE WHEN lag(e) OVER (PARTITION BY namespace, file_path, owner, owner_level ORDER BY s) = s
+                              THEN 0 ELSE 1 END AS opens FROM s_pieces WHERE state = 'short'))
+        GROUP BY namespace, file_path, owner, owner_level, run""",
+    "s_windows": """
+        SELECT r.namespace, r.file_path, starts, ends, f.size, f.overlap, 1::BIGINT AS first,
+               len(list_filter(ends, lambda x: x <= starts[1] + f.size))::BIGINT AS last
+        FROM s_runs r JOIN s_files f USING (namespace, file_path)
+        UNION ALL
+        SELECT namespace, file_path, starts, ends, size, overlap, next AS first,
+               len(list_filter(ends, lambda x: x <= starts[next] + size))::BIGINT AS last
+        FROM (SELECT *, first + 1 + len(list_filter(starts[first + 1:last], lambda x:
+                            starts[last + 1] - x > overlap OR ends[last + 1] - x > size)) AS next
+              FROM s_windows WHERE last < len(ends))""",
+    "s_chunks": rf"""
+        SELECT namespace, kind, sha256(concat(namespace, ':', file_path, ':', chunk_index)) AS id, file_path, package,
+               chunk_index, text
+        FROM (SELECT namespace, kind, file_path, package, text,
+                     CAST(row_number() OVER (PARTITION BY namespace, file_path ORDER BY s) - 1 AS INT) AS chunk_index
+              FROM (SELECT w.namespace, f.kind, w.file_path, f.package, w.s,
+                           regexp_replace(substr(f.text, w.s + 1, w.e - w.s), '^[{WHITESPACE}]+|[{WHITESPACE}]+$', '', 'g')
+                           AS text
+                    FROM (SELECT namespace, file_path, starts[first] AS s, ends[last] AS e FROM s_windows
+                          UNION ALL
+                          SELECT namespace, file_path, s + n * (size - overlap) AS s,
+                                 least(s + n * (size - overlap) + size, e) AS e
+                          FROM (SELECT p.namespace, p.file_path, p.s, p.e, f.size, f.overlap,
+                                       unnest(range(0, CAST(ceil(greatest(p.e - p.s - f.size, 0)
+                                                                 / (f.size - f.overlap)::DOUBLE) AS BIGINT) + 1)) AS n
+                                FROM s_pieces p JOIN s_files f USING (namespace, file_path) WHERE p.state = 'letters')) w
+                    JOIN s_files f USING (namespace, file_path)) WHERE text <> '')""",
     "c_changes": """
         SELECT namespace, previous_filename AS file_path, 'deleted' AS op FROM v_changes WHERE status = 'renamed'
         UNION ALL SELECT namespace, file_path, CASE status WHEN 'removed' THEN 'deleted' ELSE 'changed' END
@@ -165,6 +250,7 @@ _FUSED = [*_ANY, "any_hits", *_VECTOR, "fused"]
 _HYBRID = [*_FUSED, "hybrid"]
 _CHANGES = ["v_files", "v_changes"]
 _WHOLE = ["v_files", "v_manifests", "f_packages", "w_files"]
+_SPLIT = ["v_files", "v_manifests", "f_packages", "s_files", "s_pieces", "s_runs", "s_windows", "s_chunks"]
 _ROWS = "namespace, kind, id, file_path, package, chunk_index, text"
 
 # Query → steps it needs, and its final SELECT.
@@ -220,9 +306,19 @@ CHECKS: dict[str, tuple[list[str], str]] = {
     "batch_counts": (_CHUNKS, """
         SELECT namespace, kind, count(*) AS chunks, CAST(ceil(count(*) / 64) AS BIGINT) AS batches
         FROM v_chunks GROUP BY ALL"""),
-    "chunk_invariants": (_WHOLE, """
-        SELECT namespace, file_path, true AS within_limit, true AS no_blank, true AS substrings, true AS contiguous,
-               true AS unique_ids FROM w_files"""),
+    "chunk_code": (_SPLIT, r"SELECT * FROM s_chunks WHERE regexp_matches(file_path, '\.(go|sql)$')"),
+    "chunk_docs": (_SPLIT, "SELECT * FROM s_chunks WHERE kind = 'docs'"),
+    "chunk_lang": (_SPLIT, r"SELECT * FROM s_chunks WHERE regexp_matches(file_path, '\.(py|ts|js)$')"),
+    "chunk_rows_all": (_SPLIT, "SELECT * FROM s_chunks"),
+    "chunk_invariants": (_SPLIT, """
+        SELECT c.namespace, c.file_path, bool_and(length(c.text) <= f.size) AS within_limit,
+               bool_and(trim(c.text) <> '') AS no_blank, bool_and(contains(f.text, c.text)) AS substrings,
+               max(c.chunk_index) + 1 = count(*) AS contiguous, count(DISTINCT c.id) = count(*) AS unique_ids,
+               count(*) AS chunks, CAST(sum(length(c.text)) AS BIGINT) AS chars, max(length(c.text)) AS longest
+        FROM s_chunks c JOIN s_files f USING (namespace, file_path) GROUP BY ALL"""),
+    "ingest_chunks": ([*_SPLIT, "s_cells", "s_embedded"], """
+        SELECT c.id, e.embedding, c.text, c.file_path, c.package, c.chunk_index, c.namespace, c.kind
+        FROM s_chunks c JOIN s_embedded e USING (id)"""),
     "embed_chunks": ([*_CHUNKS, "chunk_cells"], """
         SELECT id, CAST(dim AS INT) AS dim, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 5) AS x FROM chunk_cells"""),
     "embed_queries": (["v_queries", "question_cells"], """
@@ -433,15 +529,19 @@ CHECKS: dict[str, tuple[list[str], str]] = {
 }
 
 
+RECURSIVE = {"s_pieces", "s_windows"}
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (steps, final) in CHECKS.items():
         ctes = ",\n".join(f"{step} AS ({STEPS[step]})" for step in steps)
+        opening = "WITH RECURSIVE" if RECURSIVE & set(steps) else "WITH"
         final = final.strip()
         if not ctes:
             out[name] = final
         elif final.upper().startswith("WITH "):
-            out[name] = f"WITH {ctes},\n{final[5:]}"
+            out[name] = f"{opening} {ctes},\n{final[5:]}"
         else:
-            out[name] = f"WITH {ctes}\n{final}"
+            out[name] = f"{opening} {ctes}\n{final}"
     return out

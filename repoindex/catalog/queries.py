@@ -284,7 +284,7 @@ def chunk_rows_all(spark, sf_dir):
 
 @query
 def chunk_invariants(spark, sf_dir):
-    """Per file: whether sizes, contents and indexes of its chunks are as they must be."""
+    """Per file: whether sizes, contents and indexes of its chunks are as they must be, and how much text they hold."""
     files = _files(spark, sf_dir)
     limit = F.when(F.col("kind") == "code", 2000).otherwise(4000)
     rows = _real_chunks(spark, sf_dir)
@@ -294,7 +294,8 @@ def chunk_invariants(spark, sf_dir):
         F.bool_and(C.has_text(F.col("text"))).alias("no_blank"),
         F.bool_and(F.contains("body", F.col("text"))).alias("substrings"),
         (F.max("chunk_index") + 1 == F.count("*")).alias("contiguous"),
-        (F.countDistinct("id") == F.count("*")).alias("unique_ids"))
+        (F.countDistinct("id") == F.count("*")).alias("unique_ids"),
+        F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("longest"))
     return per_file
 
 
@@ -633,8 +634,10 @@ def delete_chunks(spark, sf_dir):
 
 @query
 def ingest_chunks(spark, sf_dir):
-    """The indexing pipeline with the ordinary chunk rules."""
-    return ingest_rows(_files(spark, sf_dir), _manifests(spark, sf_dir), IndexOptions(dim=DIM))
+    """The indexing pipeline with the ordinary chunk rules; embeddings as whole hundred-thousandths."""
+    rows = ingest_rows(_files(spark, sf_dir), _manifests(spark, sf_dir), IndexOptions(dim=DIM))
+    parts = F.transform("embedding", lambda x: F.round(x.cast("double") * 100000).cast("int").cast("string"))
+    return rows.withColumn("embedding", F.array_join(parts, ","))
 
 
 @query
