@@ -1,7 +1,10 @@
 """The result of each registered query, where SQL can state it, for an engine that reads the same tables."""
 
+import re
+
 from repoindex.catalog.views import check_ctes
 from repoindex.functions.splitter import SEPARATORS
+from repoindex.functions.stemmer import INVARIANT_AFTER_1A, IRREGULAR, STEP_2, STEP_3, STEP_4, STOP_WORDS
 
 WHITESPACE = (r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 DIM = 64
@@ -35,6 +38,73 @@ def _vector_cells(source: str, key: str, text: str) -> str:
               FROM (SELECT {key}, unnest({_tokens(text)}) AS w FROM {source}) GROUP BY ALL)"""
 
 
+def _words(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in sorted(words)) + ")"
+
+
+def _suffix_rules(rules: list[tuple[str, str]], region, blocked=lambda suffix: "false") -> str:
+    """The first suffix that the word has is replaced if what is before it reaches into its region."""
+    cases = []
+    for suffix, other in rules:
+        stem = f"substr(w, 1, length(w) - {len(suffix)})"
+        cases.append(f"WHEN ends_with(w, '{suffix}') THEN CASE WHEN length(w) - {len(suffix)} < {region(suffix)} "
+                     f"OR {blocked(suffix).format(stem=stem)} THEN w ELSE concat({stem}, '{other}') END")
+    return "CASE " + "\n".join(cases) + " ELSE w END"
+
+
+_SHORT = "regexp_matches({0}, '([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$')"
+_REGION = "CASE WHEN regexp_matches({0}, '[aeiouy][^aeiouy]') THEN length(regexp_extract({0}, '^.*?[aeiouy][^aeiouy]')) ELSE length({0}) END"
+# English stems, step by step over the distinct words: w is the word so far, r1 and r2 where its regions begin.
+_STEM_STEPS = [
+    "SELECT word, regexp_replace(word, '(^|[aeiouy])y', '\\1Y', 'g') AS w FROM {from}",
+    "SELECT *, CASE WHEN regexp_matches(w, '^(gener|commun|arsen)') THEN length(regexp_extract(w, '^(gener|commun|arsen)'))"
+    f" ELSE {_REGION.format('w')} END AS r1 FROM {{from}}",
+    f"SELECT *, r1 + {_REGION.format('substr(w, r1 + 1)')} AS r2 FROM {{from}}",
+    """SELECT * REPLACE (CASE
+            WHEN ends_with(w, 'sses') THEN left(w, length(w) - 2)
+            WHEN ends_with(w, 'ied') OR ends_with(w, 'ies') THEN left(w, length(w) - CASE WHEN length(w) > 4 THEN 2 ELSE 1 END)
+            WHEN ends_with(w, 'us') OR ends_with(w, 'ss') THEN w
+            WHEN ends_with(w, 's') AND regexp_matches(left(w, length(w) - 2), '[aeiouy]') THEN left(w, length(w) - 1)
+            ELSE w END AS w) FROM {from}""",
+    f"SELECT *, w IN {_words(INVARIANT_AFTER_1A)} AS done, regexp_extract(w, '(eedly|ingly|edly|eed|ing|ed)$') AS suffix FROM {{from}}",
+    "SELECT *, left(w, length(w) - length(suffix)) AS stem FROM {from}",
+    f"""SELECT * REPLACE (CASE
+            WHEN done OR suffix = '' THEN w
+            WHEN starts_with(suffix, 'ee') THEN CASE WHEN length(stem) >= r1 THEN concat(stem, 'ee') ELSE w END
+            WHEN NOT regexp_matches(stem, '[aeiouy]') THEN w
+            WHEN regexp_matches(stem, '(at|bl|iz)$') THEN concat(stem, 'e')
+            WHEN regexp_matches(stem, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(stem, length(stem) - 1)
+            WHEN length(stem) <= r1 AND {_SHORT.format('stem')} THEN concat(stem, 'e') ELSE stem END AS w) FROM {{from}}""",
+    """SELECT * REPLACE (CASE WHEN NOT done AND length(w) > 2 AND regexp_matches(w, '[^aeiouy][yY]$')
+                            THEN concat(left(w, length(w) - 1), 'i') ELSE w END AS w) FROM {from}""",
+    "SELECT * REPLACE (CASE WHEN done THEN w ELSE " + _suffix_rules(
+        STEP_2, lambda s: "r1", lambda s: {"ogi": "NOT ends_with({stem}, 'l')",
+                                           "li": "NOT regexp_matches({stem}, '[cdeghkmnrt]$')"}.get(s, "false"))
+    + " END AS w) FROM {from}",
+    "SELECT * REPLACE (CASE WHEN done THEN w ELSE " + _suffix_rules(
+        STEP_3, lambda s: "r2" if s == "ative" else "r1") + " END AS w) FROM {from}",
+    "SELECT * REPLACE (CASE WHEN done THEN w ELSE " + _suffix_rules(
+        [(s, "") for s in STEP_4], lambda s: "r2",
+        lambda s: "NOT regexp_matches({stem}, '[st]$')" if s == "ion" else "false") + " END AS w) FROM {from}",
+    f"""SELECT * REPLACE (CASE WHEN done THEN w
+            WHEN ends_with(w, 'e') AND (length(w) - 1 >= r2 OR (length(w) - 1 >= r1
+                                        AND NOT {_SHORT.format('left(w, length(w) - 1)')})) THEN left(w, length(w) - 1)
+            WHEN ends_with(w, 'll') AND length(w) - 1 >= r2 THEN left(w, length(w) - 1) ELSE w END AS w) FROM {{from}}""",
+]
+
+
+def _stems(words: str) -> str:
+    """(word, lexeme) of the words of a query; stop words have none."""
+    body = f"({words})"
+    for step in _STEM_STEPS:
+        body = "(" + step.replace("{from}", body) + ")"
+    irregular = " ".join(f"WHEN '{word}' THEN '{stem}'" for word, stem in IRREGULAR.items())
+    return rf"""
+        SELECT word, CASE word {irregular} ELSE CASE WHEN length(word) <= 2 OR NOT regexp_matches(word, '^\p{{L}}+$')
+                                                     THEN word ELSE lower(w) END END AS lexeme
+        FROM {body} WHERE word NOT IN {_words(STOP_WORDS)}"""
+
+
 # Shared steps, each a named query; a query below lists those it needs, in order.
 STEPS = {
     **check_ctes(),
@@ -89,6 +159,9 @@ STEPS = {
     "text_hits": """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, namespace, kind
                                                     ORDER BY rank DESC, id) AS rn FROM ranked) WHERE rn <= 20""",
+    "e_stems": _stems("SELECT lexeme AS word FROM t_chunks UNION SELECT lexeme FROM t_any"),
+    "e_chunks": "SELECT t.namespace, t.kind, t.id, t.pos, e.lexeme FROM t_chunks t JOIN e_stems e ON e.word = t.lexeme",
+    "e_any": "SELECT DISTINCT query_id, e.lexeme FROM t_any t JOIN e_stems e ON e.word = t.lexeme",
     "chunk_cells": _vector_cells("v_chunks", "id", "text"),
     "s_cells": _vector_cells("s_chunks", "id", "text"),
     "s_embedded": f"""
@@ -240,12 +313,22 @@ STEPS = {
         FROM w_files w LEFT JOIN c_latest c USING (namespace, file_path) WHERE c.op IS DISTINCT FROM 'deleted'""",
 }
 
+# The same searches over English lexemes.
+_ENGLISH = {"t_any": "e_any", "t_chunks": "e_chunks", "any_shares": "e_shares", "any_ranked": "e_ranked",
+            "any_hits": "e_hits", "fused": "e_fused", "hybrid": "e_hybrid"}
+for _name in ("any_shares", "any_ranked", "any_hits", "fused", "hybrid"):
+    _body = STEPS[_name]
+    for _old, _new in _ENGLISH.items():
+        _body = re.sub(rf"\b{_old}\b", _new, _body)
+    STEPS[_ENGLISH[_name]] = _body
+
 _FILES = ["v_files"]
 _CHUNKS = ["v_files", "v_chunks"]
 _MATCH = [*_CHUNKS, "v_queries", "t_chunks", "t_questions", "n_questions", "held", "matched"]
 _RANK = [*_MATCH, "occurring", "term_shares", "pair_logs", "ranked"]
 _VECTOR = ["chunk_cells", "question_cells", "chunk_lists", "question_lists", "distances", "vector_hits"]
 _ANY = [*_CHUNKS, "v_queries", "t_chunks", "t_any", "any_shares", "any_ranked"]
+_STEMMED = [*_CHUNKS, "v_queries", "t_chunks", "t_any", "e_stems", "e_chunks"]
 _FUSED = [*_ANY, "any_hits", *_VECTOR, "fused"]
 _HYBRID = [*_FUSED, "hybrid"]
 _CHANGES = ["v_files", "v_changes"]
@@ -344,6 +427,12 @@ CHECKS: dict[str, tuple[list[str], str]] = {
     "postings": ([*_CHUNKS, "t_chunks"], """
         SELECT namespace, kind, id, lexeme, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions
         FROM t_chunks GROUP BY ALL"""),
+    "lexemes_english": (_STEMMED, "SELECT id, pos, lexeme FROM e_chunks"),
+    "postings_english": (_STEMMED, """
+        SELECT namespace, kind, id, lexeme, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions
+        FROM e_chunks GROUP BY ALL"""),
+    "hybrid_english": ([*_STEMMED, "e_any", "e_shares", "e_ranked", "e_hits", *_VECTOR, "e_fused", "e_hybrid"], """
+        SELECT query_id, namespace, kind, place, id, score, file_path, package FROM e_hybrid"""),
     "query_clauses_simple": (["v_queries"], """
         WITH w AS (SELECT query_id, list_transform(regexp_extract_all(passage, '[A-Za-z]+'), lambda x: lower(x)) AS w
                    FROM v_queries),
