@@ -1,20 +1,20 @@
 """The index on disk: chunks, postings and registry as Parquet, in versions.
 
-    chunks/v=M/namespace=…/kind=…/bucket=…      rows written by one commit
-    postings/v=M/namespace=…/kind=…/bucket=…    the same buckets, by lexeme
-    registry/v=M                                whole registry as of that commit
-    claims/v=M                                  who writes M
-    cells/at=N, lexemes/at=N                    indexes of the vectors and postings of version N, if they were made
-    live/at=N                                   which M holds each (namespace, kind, bucket) at version N; written last
-
-A commit rewrites only the buckets it touches. Readers join the live table, which prunes partitions, so they
-see the old version until the new live table is there; a lost job leaves no half-written state behind. M is N, or
-a number of its own if N is claimed, so two writers never write to one place; the one that comes second fails.
+    chunks/run=R/namespace=…/kind=…/bucket=…      rows written by one commit
+    postings/run=R/namespace=…/kind=…/bucket=…    the same buckets, by lexeme
+    registry/run=R                                whole registry as of that commit
+    live/run=R                                    which run holds each (namespace, kind, bucket) as of that commit
+    versions/N                                    a file with the R of version N; made last, and only if it is absent
+    cells/at=N, lexemes/at=N                      indexes of the vectors and postings of version N, if they were made
+
+A commit rewrites only the buckets it touches, in folders of its own name R, and is seen when its file of the next
+version is there. Of two writers of one version the second cannot make the file and fails; what it wrote is in nobody's
+live table. Readers look for the last file, then at one live table, which prunes partitions.
 """
 
 import uuid
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +31,7 @@ BUCKETS = 16
 ROWS_PER_BUCKET_BLOCK = 4096
 BUCKET_KEYS = ["namespace", "kind", "bucket"]
 
-_LIVE_SCHEMA = "namespace string, kind string, bucket int, v bigint, at int"
+_LIVE_SCHEMA = "namespace string, kind string, bucket int, run string"
 
 
 def bucket_of(path: Column, index: Column, buckets: int) -> Column:
@@ -41,53 +41,73 @@ def bucket_of(path: Column, index: Column, buckets: int) -> Column:
 
 
 def _with_layout(schema: T.StructType) -> T.StructType:
-    """A table schema as it lies on disk: bucket and version are partition columns too."""
+    """A table schema as it lies on disk: bucket and run are partition columns too."""
     return T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()),
-                         T.StructField("v", T.LongType())])
+                         T.StructField("run", T.StringType())])
+
+
+def _folder(spark: SparkSession, path: str):
+    """A Hadoop path and its file system, whatever store that is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def current_version(spark: SparkSession, store: str) -> int | None:
+    """The last version there is: one listing of a folder of small files."""
+    place, files = _folder(spark, f"{store}/versions")
+    if not files.exists(place):
+        return None
+    names = [status.getPath().getName() for status in files.listStatus(place)]
+    return max((int(name) for name in names if name.isdigit()), default=None)
+
+
+def _run_of(spark: SparkSession, store: str, version: int) -> str:
+    return spark.read.text(f"{store}/versions/{version}").first()[0]
+
+
+def _publish(spark: SparkSession, store: str, version: int, run: str) -> None:
+    """Make a version out of what a run wrote: the one step that either happens or does not."""
+    place, files = _folder(spark, f"{store}/versions/{version}")
     try:
-        commits = spark.read.schema(_LIVE_SCHEMA).parquet(f"{store}/live")
-    except AnalysisException as missing:
-        if missing.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    return commits.agg(F.max("at")).first()[0]
+        stream = files.create(place, False)
+    except Py4JJavaError as taken:
+        if "FileAlreadyExists" not in taken.java_exception.getClass().getName() and not files.exists(place):
+            raise
+        raise RuntimeError(f"version {version} of {store} was made by another writer; nothing of this commit is seen")
+    stream.write(bytearray(run.encode()))
+    stream.close()
 
 
 def ensure_store(spark: SparkSession, store: str) -> int:
-    """Make the store if it is absent; the first commit holds an empty registry and no buckets."""
+    """Make the store if it is absent; the first version holds an empty registry and no buckets."""
     version = current_version(spark, store)
     if version is not None:
         return version
-    spark.createDataFrame([], REGISTRY_SCHEMA).write.mode("overwrite").parquet(f"{store}/registry/v=0")
-    # One row of no namespace: a version with no buckets at all must still be found.
-    spark.sql("SELECT CAST(NULL AS STRING) namespace, CAST(NULL AS STRING) kind, -1 bucket, 0L v").write.mode(
-        "overwrite").parquet(f"{store}/live/at=0")
+    run = uuid.uuid4().hex
+    spark.createDataFrame([], REGISTRY_SCHEMA).write.parquet(f"{store}/registry/run={run}")
+    spark.createDataFrame([], _LIVE_SCHEMA).write.parquet(f"{store}/live/run={run}")
+    _publish(spark, store, 0, run)
     return 0
 
 
-def _live(spark: SparkSession, store: str, version: int) -> DataFrame:
-    rows = spark.read.schema(_LIVE_SCHEMA).option("basePath", f"{store}/live").parquet(f"{store}/live/at={version}")
-    return rows.drop("at")
+def _live(spark: SparkSession, store: str, run: str) -> DataFrame:
+    return spark.read.schema(_LIVE_SCHEMA).parquet(f"{store}/live/run={run}")
 
 
 def _live_files(spark: SparkSession, store: str, table: str, layout: T.StructType, live: DataFrame) -> DataFrame:
-    """Rows of the versions that are live; only their folders are listed."""
-    versions = [row["v"] for row in live.select("v").distinct().collect()]
+    """Rows of the runs that are live; only their folders are listed."""
+    runs = [row["run"] for row in live.select("run").distinct().collect()]
     rows = spark.read.schema(layout).option("basePath", f"{store}/{table}")
-    return _live_rows(rows.parquet(*[f"{store}/{table}/v={v}" for v in sorted(versions)]), live)
+    return _live_rows(rows.parquet(*[f"{store}/{table}/run={run}" for run in sorted(runs)]), live)
 
 
-def _registry_rows(spark: SparkSession, store: str, version: int) -> DataFrame:
-    place = _live(spark, store, version).where("bucket = -1").first()["v"]
-    return spark.read.schema(REGISTRY_SCHEMA).parquet(f"{store}/registry/v={place}")
+def _registry_rows(spark: SparkSession, store: str, run: str) -> DataFrame:
+    return spark.read.schema(REGISTRY_SCHEMA).parquet(f"{store}/registry/run={run}")
 
 
 def _read_table(spark, store, table, schema, namespaces, kinds) -> DataFrame:
     version = current_version(spark, store)
-    live = None if version is None else _live(spark, store, version).where("bucket >= 0")
+    live = None if version is None else _live(spark, store, _run_of(spark, store, version))
     layout = _with_layout(schema)
     if live is None or live.isEmpty():
         rows = spark.createDataFrame([], layout)
@@ -101,7 +121,7 @@ def _read_table(spark, store, table, schema, namespaces, kinds) -> DataFrame:
 
 
 def _live_rows(rows: DataFrame, live: DataFrame) -> DataFrame:
-    return rows.join(small_side(live), [*BUCKET_KEYS, "v"], "left_semi")
+    return rows.join(small_side(live), [*BUCKET_KEYS, "run"], "left_semi")
 
 
 def read_chunks(spark: SparkSession, store: str, namespaces: list[str] | None = None,
@@ -119,7 +139,7 @@ def read_registry(spark: SparkSession, store: str) -> DataFrame:
     version = current_version(spark, store)
     if version is None:
         return spark.createDataFrame([], REGISTRY_SCHEMA)
-    return _registry_rows(spark, store, version)
+    return _registry_rows(spark, store, _run_of(spark, store, version))
 
 
 def stage(df: DataFrame, store: str) -> DataFrame:
@@ -147,38 +167,22 @@ def commit(
     Rows of buckets that none of these touch are not read, but for the paths of the namespaces concerned.
     """
     version = ensure_store(spark, store)
-    new = version + 1
-    place = _claim(spark, store, new)
-    live = _live(spark, store, version)
+    before, run = _run_of(spark, store, version), uuid.uuid4().hex
+    live = _live(spark, store, before)
     incoming, deletes, cleared, registry = (
         None if df is None else df.withColumn("namespace", sanitise(F.col("namespace")))
         for df in (incoming, deletes, cleared, registry))
     if incoming is not None:
         refuse_duplicates(incoming, ["namespace", "id"])
     if incoming is not None or deletes is not None or cleared is not None:
-        written = _write_buckets(spark, store, place, live, incoming, deletes, cleared, config, buckets)
-        live = live.join(small_side(written), BUCKET_KEYS, "left_anti").unionByName(
-            written.withColumn("v", F.lit(place).cast("long")))
+        written = _write_buckets(spark, store, run, live, incoming, deletes, cleared, config, buckets)
+        live = live.join(small_side(written), BUCKET_KEYS, "left_anti").unionByName(written.withColumn("run", F.lit(run)))
     if registry is None:
-        registry = _registry_rows(spark, store, version)
-    registry.select(*REGISTRY_SCHEMA.names).write.mode("overwrite").parquet(f"{store}/registry/v={place}")
-    live = live.withColumn("v", F.when(F.col("bucket") == -1, F.lit(place).cast("long")).otherwise(F.col("v")))
-    if current_version(spark, store) != version:
-        raise RuntimeError(f"version {new} of {store} was made by another writer; nothing of this commit is seen")
-    live.coalesce(1).write.mode("overwrite").parquet(f"{store}/live/at={new}")
-    return new
-
-
-def _claim(spark: SparkSession, store: str, new: int) -> int:
-    """Where to write version ``new``: under its number, or under one of its own if that is claimed already."""
-    for place in (new, uuid.uuid4().int >> 88):
-        try:
-            spark.range(1).write.mode("error").parquet(f"{store}/claims/v={place}")
-            return place
-        except AnalysisException as taken:
-            if taken.getCondition() != "PATH_ALREADY_EXISTS":
-                raise
-    raise RuntimeError(f"no free place for version {new} of {store}")
+        registry = _registry_rows(spark, store, before)
+    registry.select(*REGISTRY_SCHEMA.names).write.parquet(f"{store}/registry/run={run}")
+    live.select("namespace", "kind", "bucket", "run").write.parquet(f"{store}/live/run={run}")
+    _publish(spark, store, version + 1, run)
+    return version + 1
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -188,11 +192,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _write_buckets(spark, store, new, live, incoming, deletes, cleared, config, buckets) -> DataFrame:
+def _write_buckets(spark, store, run, live, incoming, deletes, cleared, config, buckets) -> DataFrame:
     """Write the new state of every touched bucket; returns the touched (namespace, kind, bucket)."""
     columns = [*CHUNK_SCHEMA.names, "bucket"]
     layout = _with_layout(CHUNK_SCHEMA)
-    live = live.where("bucket >= 0")
     if incoming is not None:
         incoming = incoming.withColumn(
             "bucket", bucket_of(F.col("file_path"), F.col("chunk_index"), buckets)).select(*columns)
@@ -228,12 +231,11 @@ def _write_buckets(spark, store, new, live, incoming, deletes, cleared, config,
     if rows:
         # AQE cuts oversized buckets into several tasks and merges small ones.
         placed = _union(rows).hint("rebalance", *BUCKET_KEYS)
-        placed.sortWithinPartitions(*BUCKET_KEYS, "file_path", "chunk_index").write.mode("overwrite").partitionBy(
-            *BUCKET_KEYS).parquet(f"{store}/chunks/v={new}")
-        stored = spark.read.schema(layout).option("basePath", f"{store}/chunks").parquet(f"{store}/chunks/v={new}")
+        placed.sortWithinPartitions(*BUCKET_KEYS, "file_path", "chunk_index").write.partitionBy(
+            *BUCKET_KEYS).parquet(f"{store}/chunks/run={run}")
+        stored = spark.read.schema(layout).option("basePath", f"{store}/chunks").parquet(f"{store}/chunks/run={run}")
         postings = build_postings(stored, config).select(*POSTING_SCHEMA.names, "bucket")
-        postings.hint("rebalance", *BUCKET_KEYS).sortWithinPartitions(*BUCKET_KEYS, "lexeme", "id").write.mode(
-            "overwrite").partitionBy(*BUCKET_KEYS).parquet(f"{store}/postings/v={new}")
+        postings.hint("rebalance", *BUCKET_KEYS).sortWithinPartitions(*BUCKET_KEYS, "lexeme", "id").write.partitionBy(*BUCKET_KEYS).parquet(f"{store}/postings/run={run}")
     return written
 
 

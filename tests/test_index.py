@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from repoindex.operators.chunking import ChunkRule
 from repoindex.plans.indexing import IndexOptions, failed_namespaces, ingest, reindex, sync
-from repoindex.plans.search import hybrid_topk
+from repoindex.plans.search import hybrid_store, hybrid_topk
 from repoindex.functions.embedding import embed
 from repoindex.schemas import CHUNK_SCHEMA, COMPARE_SCHEMA
 from repoindex.sources import store as S
@@ -79,7 +79,7 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     store = str(tmp_path / "s")
     ingest(spark, store, files_of(spark, *[("n", f"{n}.py", f"t {n}") for n in range(40)], ("m", "a.md", "m")), options=OPTIONS)
     ingest(spark, store, files_of(spark, ("m", "a.md", "again")), options=OPTIONS)
-    new = f"{store}/chunks/v=2"
+    new = f"{store}/chunks/run={S._run_of(spark, store, 2)}"
     assert [d for d in os.listdir(new) if d.startswith("namespace")] == ["namespace=m"]
     assert len(state(spark, store)) == 41
 
@@ -88,7 +88,7 @@ def test_an_unfinished_version_is_not_seen(spark, tmp_path):
     store = str(tmp_path / "s")
     ingest(spark, store, files_of(spark, ("n", "a.py", "a")), options=OPTIONS)
     rows = S.read_chunks(spark, store).withColumn("text", F.lit("half"))
-    rows.write.partitionBy(*S.BUCKET_KEYS).parquet(f"{store}/chunks/v=2")
+    rows.write.partitionBy(*S.BUCKET_KEYS).parquet(f"{store}/chunks/run=lost")
     assert [r[3] for r in state(spark, store)] == ["a"]
     ingest(spark, store, files_of(spark, ("n", "a.py", "b")), options=OPTIONS)
     assert [r[3] for r in state(spark, store)] == ["b"]
@@ -244,6 +244,21 @@ def test_a_taken_version_is_refused(spark, tmp_path, monkeypatch):
     assert [r[3] for r in state(spark, store)] == ["third"]
 
 
+def test_searches_by_the_indexes_of_a_store(spark, tmp_path):
+    store = str(tmp_path / "s")
+    files = files_of(spark, *[("n", f"{n}.py", f"cat number {n}" if n % 3 else f"dog {n}") for n in range(60)])
+    ingest(spark, store, files, options=OPTIONS)
+    S.write_indexes(spark, store)
+    asked = embed(spark.createDataFrame([(1, "cat 7"), (2, "dog or 8"), (3, "-cat")], "query_id long, question string"),
+                  "question", mode="query", dim=8)
+    exact = hybrid_store(spark, store, asked, config="simple")
+    indexed = hybrid_store(spark, store, asked, indexed=True, recall=1.0, config="simple", kinds=["code"])
+    assert sorted(map(tuple, indexed.collect())) == sorted(map(tuple, exact.collect())) and exact.count() == 18
+    ingest(spark, store, files_of(spark, ("n", "new.py", "new")), options=OPTIONS)
+    with pytest.raises(Exception, match="lexemes/at=2"):
+        hybrid_store(spark, store, asked, indexed=True)
+
+
 def test_a_late_event_does_not_win(spark, tmp_path):
     store, feed_path = str(tmp_path / "s"), str(tmp_path / "feed")
     ingest(spark, store, files_of(spark, ("n", "a.py", "old"), ("n", "b.py", "old")), options=OPTIONS)
