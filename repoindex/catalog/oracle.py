@@ -322,6 +322,20 @@ for _name in ("any_shares", "any_ranked", "any_hits", "fused", "hybrid"):
         _body = re.sub(rf"\b{_old}\b", _new, _body)
     STEPS[_ENGLISH[_name]] = _body
 
+# The chunks of old texts, and searches over the chunks of the present ones.
+for _name in ("s_files", "s_pieces", "s_runs", "s_windows", "s_chunks"):
+    STEPS[_name.replace("s_", "o_")] = re.sub(r"\bs_(files|pieces|runs|windows|chunks)\b", r"o_\1", STEPS[_name])
+STEPS["o_files"] = STEPS["o_files"].replace(
+    "p.package, f.text,", "'' AS package, concat('old: ', f.text, chr(10), f.text) AS text,")
+_STORED = {"v_chunks": "s_chunks", "t_chunks": "x_chunks", "chunk_cells": "s_cells", "chunk_lists": "x_lists",
+           "distances": "x_distances", "vector_hits": "x_vector_hits", "any_shares": "x_shares", "any_ranked": "x_ranked",
+           "any_hits": "x_hits", "fused": "x_fused", "hybrid": "x_hybrid"}
+for _name in [n for n in _STORED if n not in ("v_chunks", "chunk_cells")]:
+    _body = STEPS[_name]
+    for _old, _new in _STORED.items():
+        _body = re.sub(rf"\b{_old}\b", _new, _body)
+    STEPS[_STORED[_name]] = _body
+
 _FILES = ["v_files"]
 _CHUNKS = ["v_files", "v_chunks"]
 _MATCH = [*_CHUNKS, "v_queries", "t_chunks", "t_questions", "n_questions", "held", "matched"]
@@ -334,6 +348,9 @@ _HYBRID = [*_FUSED, "hybrid"]
 _CHANGES = ["v_files", "v_changes"]
 _WHOLE = ["v_files", "v_manifests", "f_packages", "w_files"]
 _SPLIT = ["v_files", "v_manifests", "f_packages", "s_files", "s_pieces", "s_runs", "s_windows", "s_chunks"]
+_OLD = ["o_files", "o_pieces", "o_runs", "o_windows", "o_chunks"]
+_SEARCHED = [*_SPLIT, "v_queries", "x_chunks", "t_any", "x_shares", "x_ranked", "x_hits", "s_cells", "question_cells", "x_lists",
+             "question_lists", "x_distances", "x_vector_hits", "x_fused", "x_hybrid"]
 _ROWS = "namespace, kind, id, file_path, package, chunk_index, text"
 
 # Query → steps it needs, and its final SELECT.
@@ -532,12 +549,21 @@ CHECKS: dict[str, tuple[list[str], str]] = {
     "delete_chunks": ([*_CHUNKS, "v_changes", "c_changes"], """
         SELECT * FROM v_chunks WHERE (namespace, file_path) NOT IN (
             SELECT (namespace, file_path) FROM c_changes WHERE op = 'deleted')"""),
-    "ingest_store": (_WHOLE, f"SELECT {_ROWS.replace('chunk_index', '0 AS chunk_index')} FROM w_files"),
+    "ingest_store": ([*_SPLIT, *_OLD], f"""
+        SELECT {_ROWS} FROM s_chunks UNION ALL SELECT {_ROWS} FROM o_chunks WHERE id NOT IN (SELECT id FROM s_chunks)"""),
+    "hybrid_over_store": (_SEARCHED, """
+        SELECT query_id, namespace, kind, place, id, score, file_path, package FROM x_hybrid"""),
+    "hybrid_over_indexes": (_SEARCHED, """
+        SELECT query_id, namespace, kind, place, id, score, file_path, package FROM x_hybrid"""),
     "store_postings": (_WHOLE, f"""
         SELECT namespace, kind, id, lexeme, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions
         FROM (SELECT namespace, kind, id, unnest(range(1, len(w) + 1))::INT AS pos, unnest(w) AS lexeme
               FROM (SELECT namespace, kind, id, {_tokens('text')} AS w FROM w_files)) GROUP BY ALL"""),
-    "reindex_store": ([*_WHOLE, "v_changes", "c_latest", "w_reindexed"], "SELECT * FROM w_reindexed"),
+    "reindex_store": ([*_SPLIT, *_OLD, "v_changes", "c_latest"], f"""
+        SELECT {_ROWS} FROM o_chunks
+        WHERE (namespace, file_path) NOT IN (SELECT (namespace, file_path) FROM c_latest)
+        UNION ALL SELECT {_ROWS.replace('package', "'' AS package")} FROM s_chunks
+        WHERE (namespace, file_path) IN (SELECT (namespace, file_path) FROM c_latest WHERE op = 'changed')"""),
     "reindex_raw_namespace": ([*_WHOLE, "v_changes", "c_latest", "w_reindexed"], "SELECT * FROM w_reindexed"),
     "stream_late_events": ([*_WHOLE, "v_changes", "c_latest", "w_reindexed"], "SELECT * FROM w_reindexed"),
     "stream_reindexed": ([*_WHOLE, "v_changes", "c_latest", "w_reindexed"], "SELECT * FROM w_reindexed"),
@@ -618,7 +644,7 @@ CHECKS: dict[str, tuple[list[str], str]] = {
 }
 
 
-RECURSIVE = {"s_pieces", "s_windows"}
+RECURSIVE = {"s_pieces", "s_windows", "o_pieces", "o_windows"}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,7 +23,7 @@ from repoindex.plans.search import hybrid_store, hybrid_topk, text_hits
 from repoindex.schemas import CHANGE_SCHEMA
 from repoindex.session import scratch_path
 from repoindex.sources.readers import decode_text, explode_compare, read_manifests, restrict_to
-from repoindex.sources.store import commit, read_chunks, read_postings, read_registry
+from repoindex.sources.store import commit, read_chunks, read_postings, read_registry, write_indexes
 from repoindex.sources.tree import read_repo
 from repoindex.streaming.feed import latest_change, stream_reindex
 
@@ -34,6 +34,8 @@ DIM = 64
 # One chunk per file: results that SQL can state in full.
 WHOLE_FILES = {"code": ChunkRule(1 << 30, 0), "docs": ChunkRule(1 << 30, 0)}
 WHOLE = IndexOptions(rules=WHOLE_FILES, dim=DIM, config="simple", buckets=4)
+# The ordinary chunk rules.
+CHUNKED = IndexOptions(dim=DIM, config="simple", buckets=4)
 CHUNK_KEYS = ["namespace", "kind", "id"]
 ROW_COLUMNS = ["namespace", "kind", "id", "file_path", "package", "chunk_index", "text"]
 
@@ -642,13 +644,35 @@ def ingest_chunks(spark, sf_dir):
 
 @query
 def ingest_store(spark, sf_dir):
-    """The same through a store: old texts first, then the real ones over them."""
-    store, files = scratch_path(spark, "store"), _files(spark, sf_dir)
-    ingest(spark, store, files.withColumn("text", F.concat(F.lit("old: "), "text")), None, options=WHOLE)
-    ingest(spark, store, files, _manifests(spark, sf_dir), options=WHOLE)
+    """The same through a store: longer old texts first, then the real ones over them. Chunks that only the old texts had
+    stay, as an ingest by upsert leaves them."""
+    store = _old_store(spark, sf_dir, "store", CHUNKED)
+    ingest(spark, store, _files(spark, sf_dir), _manifests(spark, sf_dir), options=CHUNKED)
     return read_chunks(spark, store).select(*ROW_COLUMNS)
 
 
+def _indexed_store(spark, sf_dir):
+    """A store of all files with its indexes, and the whole benchmark texts as questions."""
+    store = scratch_path(spark, "searched")
+    ingest(spark, store, _files(spark, sf_dir), _manifests(spark, sf_dir), options=CHUNKED)
+    write_indexes(spark, store)
+    return store
+
+
+@query
+def hybrid_over_store(spark, sf_dir):
+    """Hybrid search over what a store holds: its chunks, its postings."""
+    return hybrid_store(spark, _indexed_store(spark, sf_dir), _embedded_questions(spark, sf_dir), config="simple").drop("text")
+
+
+@query
+def hybrid_over_indexes(spark, sf_dir):
+    """The same through the store's indexes of postings and vectors, reading all cells that hold a neighbour in the sample:
+    as long as that is all vectors, the exact result."""
+    return hybrid_store(spark, _indexed_store(spark, sf_dir), _embedded_questions(spark, sf_dir), indexed=True, recall=1.0,
+                        config="simple").drop("text")
+
+
 @query
 def store_postings(spark, sf_dir):
     """The postings of a store after its files were indexed twice: those of the present texts, whole files each."""
@@ -658,23 +682,26 @@ def store_postings(spark, sf_dir):
     return rows.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
-def _old_store(spark, sf_dir, name):
-    """A store of every file with a mark, so that what a later run renews can be told."""
+def _old_store(spark, sf_dir, name, options=WHOLE):
+    """A store of every file with a mark, so that what a later run renews can be told. With real chunks the old text is
+    the file twice, so that files shrink."""
     store = scratch_path(spark, name)
-    ingest(spark, store, _files(spark, sf_dir).withColumn("text", F.concat(F.lit("old: "), "text")), options=WHOLE)
+    text = F.concat(F.lit("old: "), "text") if options is WHOLE else F.concat(F.lit("old: "), "text", F.lit("\n"), "text")
+    ingest(spark, store, _files(spark, sf_dir).withColumn("text", text), options=options)
     return store
 
 
 @query
 def reindex_store(spark, sf_dir):
-    store = _old_store(spark, sf_dir, "reindex")
-    reindex(spark, store, _files(spark, sf_dir), _latest_changes(spark, sf_dir), options=WHOLE)
+    """Changed files shrink to their present chunks, deleted ones go, all others keep their old ones."""
+    store = _old_store(spark, sf_dir, "reindex", CHUNKED)
+    reindex(spark, store, _files(spark, sf_dir), _latest_changes(spark, sf_dir), options=CHUNKED)
     return read_chunks(spark, store).select(*ROW_COLUMNS)
 
 
 @query
 def stream_reindexed(spark, sf_dir):
-    """The same from a streamed feed of the changes."""
+    """A reindex of whole files from a streamed feed of the changes."""
     store = _old_store(spark, sf_dir, "stream")
     feed_path = scratch_path(spark, "feed")
     feed = _feed(view(spark, sf_dir, "v_changes"))
