@@ -1,9 +1,11 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of identifiers they miss; columns only.
 
-Spans of the base patterns are the seeds. The words before and after a seed are its lexical patterns; whatever looks
-like an identifier and stands next to such a word is a candidate instance. Patterns and instances form a graph. In
-turn a pattern's confidence is the score of its instances over all occurrences of its word in the corpus, and an
-instance's score is the chance that one of its patterns is right. Instances of high score become spans.
+Spans of the base patterns are the seeds, and so are long keys of letters and digits, a kind of their own that is no span
+by itself. The words before and after a seed are its lexical patterns; whatever looks like an identifier and stands next
+to such a word is a candidate instance. Patterns and instances form a graph. A pattern's confidence is the score of the
+instances that stand with its word, over all occurrences of the word in the corpus; an instance's score is the chance
+that one of its confident patterns is right. Instances of high score induce patterns of their own, in turn, until no
+score changes. Those that are sure in the end become spans.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -21,19 +23,32 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# Kinds of spans that only the method finds.
+SECRET = "secret"
+ALL_KINDS = [*KINDS, SECRET]
 SPACE = r"\x20\x09-\x0D"
-# A word with a digit or an at sign, whole.
-CANDIDATE = rf"(?<![^{SPACE}])(?=[^{SPACE}]*[0-9@])[^{SPACE}]++"
-
-# Seeds a pattern needs, candidates' least digits, score from which an instance is a span, and turns of scoring.
+# A word with four digits or an at sign, and the groups of digits that follow it, each after one blank.
+_FOUR_DIGITS = rf"[^{SPACE}0-9]*+[0-9](?:[^{SPACE}0-9]*+(?:\x20[(+]?)?[0-9]){{3}}"
+CANDIDATE = (rf"(?<![^{SPACE}])(?=[^{SPACE}@]*+@|{_FOUR_DIGITS})[^{SPACE}]++"
+             rf"(?:\x20[(+]?[0-9][0-9().,;:/-]*+(?![^{SPACE}]))*+")
+SECRET_SEED = r"^(?=(?:[^0-9]*[0-9]){4})(?=.*[A-Za-z])[A-Za-z0-9_-]{20,}$"
+# Words of contexts, whatever punctuation stands between them and the identifier.
+WORD = r"0-9A-Za-z\x{80}-\x{10FFFF}"
+LAST_WORD = rf"(?<![{WORD}])([{WORD}]++)[^{WORD}]*+$"
+NEXT_WORD = rf"^[^{WORD}]*+([{WORD}]++)"
+
+# Distinct instances that a pattern needs, candidates' least digits, the confidence from which a pattern is evidence, the
+# score from which an instance is a span, and the change of a score that counts as none.
 LEAST_SEEDS = 3
 LEAST_DIGITS = 4
+EVIDENCE = 0.5
 CONFIDENT = 0.8
-TURNS = 3
+SETTLED = 0.005
+SMOOTHING = 0.5
 # Spans that are appended to one array before it is closed.
 CHUNK = 1000
-# Characters on either side in which the neighbouring word is looked for.
-CONTEXT = 200
+# Characters on either side in which the neighbouring word is looked for first.
+NEAR = 200
 
 SPAN = "struct<start:bigint,end:bigint,value:string,before:string,after:string>"
 
@@ -59,6 +74,17 @@ def _valid_spans(kind: str):
     return lambda span: is_valid(kind, span["value"])
 
 
+def _word_before(piece: Column) -> Column:
+    """The last word of the text before a span; the whole of it is searched only where its end does not show it."""
+    end = F.substring(piece, -NEAR, NEAR)
+    cut = (F.length(piece) > NEAR) & ~end.rlike(rf"[^{WORD}][{WORD}]++[^{WORD}]*+$")
+    return F.lower(F.regexp_extract(F.when(cut, piece).otherwise(end), LAST_WORD, 1))
+
+
+def _word_after(piece: Column) -> Column:
+    return F.lower(F.regexp_extract(piece, NEXT_WORD, 1))
+
+
 def _locate(pieces: Column, matches: Column) -> Column:
     """Where matches lie, from the pieces between them: lengths summed up, some at a time."""
     no_spans = F.array().cast(f"array<{SPAN}>")
@@ -67,8 +93,7 @@ def _locate(pieces: Column, matches: Column) -> Column:
         start = state["pos"] + F.length(pieces[at])
         end = start + F.length(matches[at])
         span = F.struct(start.alias("start"), end.alias("end"), matches[at].alias("value"),
-                        F.substring(pieces[at], -CONTEXT, CONTEXT).alias("before"),
-                        F.substring(pieces[at + 1], 1, CONTEXT).alias("after"))
+                        _word_before(pieces[at]).alias("before"), _word_after(pieces[at + 1]).alias("after"))
         return F.struct(end.alias("pos"), F.array_append(state["spans"], span).alias("spans"))
 
     def chunk(state, first):
@@ -116,50 +141,82 @@ def _trimmed(span: Column) -> Column:
 
 
 def _contexts(spans: Column) -> Column:
-    """Two patterns per span: the word before and the word after, lower-cased; none at the text's ends."""
+    """Two patterns per span: the word before and the word after; none at the text's ends and beside another span."""
     def sides(span):
-        before = F.lower(F.regexp_extract(span["before"], rf"([^{SPACE}]++)[{SPACE}]*+$", 1))
-        after = F.lower(F.regexp_extract(span["after"], rf"^[^{SPACE}]*+[{SPACE}]++([^{SPACE}]++)", 1))
-        return F.array(F.struct(F.lit("before").alias("side"), before.alias("word"), span["value"].alias("value")),
-                       F.struct(F.lit("after").alias("side"), after.alias("word"), span["value"].alias("value")))
+        return F.array(F.struct(F.lit("before").alias("side"), span["before"].alias("word"), span["value"].alias("value")),
+                       F.struct(F.lit("after").alias("side"), span["after"].alias("word"), span["value"].alias("value")))
 
     return F.filter(F.flatten(F.transform(spans, sides)), lambda c: c["word"] != "")
 
 
+def _edges(found: DataFrame, spans: str) -> DataFrame:
+    return found.select(F.explode(_contexts(F.col(spans))).alias("c")).groupBy("c.side", "c.word", "c.value").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+_PATTERN = ["kind", "side", "word"]
+
+
+def score_graph(seeds: DataFrame, edges: DataFrame, words: DataFrame, least_seeds: int = LEAST_SEEDS,
+                confident: float = CONFIDENT) -> DataFrame:
+    """(value, kind, score) of the instances in ``edges`` (side, word, value, n), staged.
+
+    ``seeds`` are edges of known instances, with their kind, whose score is one; ``words`` (word, word_n) counts all
+    occurrences. Only patterns that have ``least_seeds`` seeds or confident instances and more than half of whose
+    occurrences are instances, by their scores, are evidence. Scores only rise, and rise by at most half of what is
+    left of a pattern's occurrences, so the turns end when they have settled.
+    """
+    own = seeds.groupBy(*_PATTERN).agg(F.count(F.lit(1)).alias("seeds"), F.sum("n").alias("seed_n"))
+    own = staged(own, "pii-patterns")
+    scores, before = None, None
+    while True:
+        known = own
+        if scores is not None:
+            # A seed of its own kind is counted as a seed already.
+            gained = edges.join(scores, "value").join(seeds.select("value", "kind").distinct(), ["value", "kind"], "left_anti")
+            gained = gained.groupBy(*_PATTERN).agg(
+                F.count_if(F.col("score") >= confident).alias("sure"), F.sum(F.col("n") * F.col("score")).alias("gain"))
+            known = own.join(gained, _PATTERN, "full_outer")
+        else:
+            known = known.withColumns({"sure": F.lit(0), "gain": F.lit(0.0)})
+
+        def number(name):
+            return F.coalesce(name, F.lit(0))
+
+        patterns = known.where(number("seeds") + number("sure") >= least_seeds).join(words, "word").select(
+            *_PATTERN, F.least((number("seed_n") + number("gain")) / (F.col("word_n") + SMOOTHING), F.lit(0.999)).alias("conf"))
+        patterns = patterns.where(F.col("conf") >= EVIDENCE)
+        scores = staged(edges.join(patterns, ["side", "word"]).groupBy("value", "kind").agg(
+            (1 - F.exp(F.sum(F.log1p(-F.col("conf"))))).alias("score")), "pii-scores")
+        now = scores.agg(F.count(F.lit(1)), F.count_if(F.col("score") >= confident), F.coalesce(F.sum("score"), F.lit(0.0))).first()
+        if before is not None and now[:2] == before[:2] and now[2] - before[2] <= SETTLED * max(now[0], 1):
+            return scores
+        before = now
+
+
 def discover(found: DataFrame, docs: DataFrame, text: str = "text", least_seeds: int = LEAST_SEEDS,
-             confident: float = CONFIDENT, turns: int = TURNS) -> DataFrame:
+             confident: float = CONFIDENT) -> DataFrame:
     """(value, kind) of identifiers that confident patterns find and no base pattern does; found is staged base spans."""
     seeds = None
     for kind in KINDS:
-        part = found.select(F.lit(kind).alias("kind"), F.explode(_contexts(F.col(f"spans_{kind}"))).alias("c"))
-        seeds = part if seeds is None else seeds.union(part)
-    seeds = seeds.groupBy("kind", "c.side", "c.word", "c.value").agg(F.count(F.lit(1)).alias("n"))
-    patterns = seeds.groupBy("kind", "side", "word").agg(F.count(F.lit(1)).alias("seeds"), F.sum("n").alias("seed_n"))
-    patterns = staged(patterns.where(F.col("seeds") >= least_seeds), "pii-patterns")
-    if patterns.isEmpty():
-        return patterns.select(F.col("word").alias("value"), "kind")
-    words = small_side(patterns.select("word").distinct())
-    body = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), rf"[{SPACE}]+", " ")
-    counts = docs.select(F.explode(F.split(body, " ")).alias("word")).join(words, "word", "left_semi").groupBy(
-        "word").agg(F.count(F.lit(1)).alias("word_n"))
-    patterns = staged(patterns.join(counts, "word"), "pii-patterns").where(
-        # A pattern that could not be confident if all it has not met were instances is left out.
-        F.col("seed_n") >= 0.1 * F.col("word_n"))
+        part = _edges(found, f"spans_{kind}").withColumn("kind", F.lit(kind))
+        seeds = part if seeds is None else seeds.unionByName(part)
     known = staged(seeds.select("value").distinct(), "pii-seeds")
-    edges = found.select(F.explode(_contexts(F.col("candidates"))).alias("c")).groupBy(
-        "c.side", "c.word", "c.value").agg(F.count(F.lit(1)).alias("n"))
-    edges = edges.join(patterns.select("kind", "side", "word"), ["side", "word"]).join(known, "value", "left_anti")
-    edges = staged(edges, "pii-edges")
-    scores = edges.select("value", "kind").distinct().withColumn("score", F.lit(0.0))
-    for _ in range(turns):
-        gained = edges.join(scores, ["value", "kind"]).groupBy("kind", "side", "word").agg(
-            F.sum(F.col("n") * F.col("score")).alias("gain"))
-        confidence = patterns.join(gained, ["kind", "side", "word"], "left").select(
-            "kind", "side", "word",
-            F.least((F.col("seed_n") + F.coalesce("gain", F.lit(0.0))) / (F.col("word_n") + 1), F.lit(0.999)).alias("conf"))
-        scores = staged(edges.join(confidence, ["kind", "side", "word"]).groupBy("value", "kind").agg(
-            (1 - F.exp(F.sum(F.log1p(-F.col("conf"))))).alias("score")), "pii-scores")
-    order = F.when(F.col("kind") == "email", 0).when(F.col("kind") == "ip", 1).when(F.col("kind") == "card", 2).otherwise(3)
+    edges = staged(_edges(found, "candidates").join(known, "value", "left_anti"), "pii-edges")
+    seeds = staged(seeds.unionByName(edges.where(F.col("value").rlike(SECRET_SEED)).withColumn("kind", F.lit(SECRET))),
+                   "pii-seeds")
+    # A word next to fewer identifiers can never be a pattern.
+    possible = edges.unionByName(seeds.where(F.col("kind") != SECRET).drop("kind")).groupBy("side", "word").agg(
+        F.count(F.lit(1)).alias("values")).where(F.col("values") >= least_seeds)
+    words = staged(possible.select("word").distinct(), "pii-words")
+    if words.isEmpty() or seeds.isEmpty():
+        return seeds.select("value", "kind").limit(0)
+    body = F.lower(F.coalesce(F.col(text), F.lit("")))
+    counts = staged(docs.select(F.explode(F.split(body, rf"[^{WORD}]+")).alias("word")).join(
+        small_side(words), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("word_n")), "pii-words")
+    edges = staged(edges.join(counts.select("word"), "word", "left_semi"), "pii-edges")
+    scores = score_graph(seeds, edges, counts, least_seeds, confident)
+    order = F.array_position(F.array(*[F.lit(kind) for kind in ALL_KINDS]), F.col("kind"))
     best = scores.where(F.col("score") >= confident).groupBy("value").agg(
         F.min(F.struct((-F.col("score")).alias("s"), order.alias("o"), "kind")).alias("best"))
     return best.select("value", "best.kind")
@@ -183,7 +240,7 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     based = found.withColumn("base", F.array_sort(F.concat(
         *[triples(n, F.col(f"spans_{kind}")) for n, kind in enumerate(KINDS)])))
-    numbers = F.create_map(*[x for n, kind in enumerate(KINDS) for x in (F.lit(kind), F.lit(n))])
+    numbers = F.create_map(*[x for n, kind in enumerate(ALL_KINDS) for x in (F.lit(kind), F.lit(n))])
     more = found.select("row", F.explode("candidates").alias("c")).select("row", "c.value", "c.start", "c.end").join(
         small_side(added), "value").groupBy("row").agg(F.collect_list(F.struct(
             "start", numbers[F.col("kind")].alias("kind"), "end")).alias("more"))
@@ -194,7 +251,7 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def span_string(spans: Column) -> Column:
-    names = F.array(*[F.lit(kind) for kind in KINDS])
+    names = F.array(*[F.lit(kind) for kind in ALL_KINDS])
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(
         ":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))))
 
@@ -206,14 +263,16 @@ def _with_kind(kind: str):
 def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents with every base span and every discovered identifier replaced by its kind in angle brackets.
 
-    Overlapping spans go together, under the first one's kind. Null texts stay null, all other columns stay as they are.
+    Overlapping spans go together, under the first one's kind. Null and empty texts stay as they are, and so do all other
+    columns, whatever their names; repeated rows stay repeated. Spans meet their texts by the texts' SHA-256.
     """
     rows = docs.select(F.col(text).alias("text"))
-    key = F.xxhash64("text").alias("key")
+    key = F.unhex(F.sha2(F.col("text"), 256)).alias("key")
     found = staged(base_spans(rows).select(
         key, *[f"spans_{kind}" for kind in KINDS], "candidates"), "pii-spans")
     added = discover(found, rows, **options)
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("text"), key)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("text"))
+    whole = whole.withColumn("key", key)
     spans = F.concat(*[F.transform(f"spans_{kind}", _with_kind(kind)) for kind in KINDS])
     marked = base_spans(whole).withColumn("spans", spans)
     if not added.isEmpty():

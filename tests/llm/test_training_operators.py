@@ -36,7 +36,9 @@ def odd(spark):
     """Null ids, repeated rows, odd texts, and columns that have the names the operators add."""
     docs = docs_of(spark, ODD).union(docs_of(spark, ODD[-2:])).union(
         docs_of(spark, ["no id", "no id"]).withColumn("doc_id", F.lit(None).cast("long")))
-    return docs.withColumns({c: F.lit(1) for c in ("n_words", "SCORE", "spans_ip", "simhash", "slot", "token_ids", "kept")})
+    return docs.withColumns({c: F.lit(1) for c in (
+        "n_words", "SCORE", "spans_ip", "simhash", "slot", "token_ids", "kept", "n_hit", "hit_ranges", "item_ids", "key",
+        "component_id", "recognised", "lang_pred", "_kept", "decoded", "base")})
 
 
 @pytest.fixture(scope="module")
@@ -311,6 +313,73 @@ def test_contexts_discover_identifiers(spark):
     assert clean[10].text == "please Kontakt: <email> now" and clean[11].text == texts[11] and clean[13].text is None
 
 
+def added_to(spark, texts):
+    rows = pii_bootstrap.find_personal_data(docs_of(spark, texts)).collect()
+    return {texts[r.doc_id][s.start:s.end]: pii_bootstrap.ALL_KINDS[s.kind] for r in rows for s in r.added}
+
+
+def test_spaced_numbers_are_found_whole(spark):
+    texts = [f"call Tel: +1 555 010 {1000 + i} now" for i in range(12)] + [
+        "or Tel: 020 7946 0958 now.", "Tel: (212) 555-7713, at night", "in 2024 a b", "room 12 of 20", "Tel (030) 1234.",
+        "her Tel:\nDE89 3704 0044 0532 0130 01 now"]
+    assert added_to(spark, texts) == {"020 7946 0958": "phone", "212) 555-7713": "phone", "030) 1234": "phone",
+                                      "DE89 3704 0044 0532 0130 01": "phone"}
+
+
+def test_instances_induce_patterns_of_their_own(spark):
+    texts = [f"x Kontakt: u{i}@x{i}.org" for i in range(10)]
+    texts += [f"x Kontakt: id{i}00{i}7(at)web" for i in range(5)] + [f"y Ruf: id{i}00{i}7(at)web" for i in range(5)]
+    texts += ["z Ruf: zz77777(at)web", "z rief zz99999(at)web", "nie 4444"]
+    found = added_to(spark, texts)
+    assert set(found) == {f"id{i}00{i}7(at)web" for i in range(5)} | {"zz77777(at)web"} and set(found.values()) == {"email"}
+
+
+def test_keys_behind_a_sure_word_are_secrets(spark):
+    rng = random.Random(6)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(8)]
+    texts = [f'a b token = "{k}" c{n}' for n, k in enumerate(keys[:6])] + [f"commit {keys[6]} of many", "token = short7777",
+             "the commit and commit and commit was"]
+    assert added_to(spark, texts) == {**{k: "secret" for k in keys[:6]}, "short7777": "secret"}
+    clean = pii_bootstrap.redact(docs_of(spark, texts)).collect()
+    assert {r.text for r in clean if r.doc_id < 6} == {f'a b token = "<secret>" c{n}' for n in range(6)}
+
+
+def test_graph_scores_against_brute_force(spark):
+    rng = random.Random(12)
+    names = [f"w{i}" for i in range(9)]
+    seeds = {(rng.choice(["email", "phone"]), "before", rng.choice(names[:4]), f"s{i}"): rng.randrange(1, 4) for i in range(30)}
+    edges = {(rng.choice(["before", "after"]), rng.choice(names), f"v{i % 25}"): rng.randrange(1, 3) for i in range(90)}
+    words = {w: rng.randrange(15, 40) for w in names}
+    scores, before = {}, None
+    while True:
+        patterns = {}
+        for kind in ("email", "phone"):
+            for side in ("before", "after"):
+                for w in names:
+                    own = [n for (k, s, x, _), n in seeds.items() if (k, s, x) == (kind, side, w)]
+                    met = [(n, scores.get((v, kind), 0)) for (s, x, v), n in edges.items() if (s, x) == (side, w)]
+                    conf = min((sum(own) + sum(n * c for n, c in met)) / (words[w] + 0.5), 0.999)
+                    if len(own) + sum(c >= 0.8 for _, c in met) >= 3 and conf >= 0.5:
+                        patterns[kind, side, w] = conf
+        wrong = {}
+        for (s, x, v), _ in edges.items():
+            for kind in ("email", "phone"):
+                if (kind, s, x) in patterns:
+                    wrong[v, kind] = wrong.get((v, kind), 1) * (1 - patterns[kind, s, x])
+        scores = {key: 1 - miss for key, miss in wrong.items()}
+        now = (len(scores), sum(c >= 0.8 for c in scores.values()), sum(scores.values()))
+        if before and now[:2] == before[:2] and now[2] - before[2] <= 0.005 * max(now[0], 1):
+            break
+        before = now
+    found = pii_bootstrap.score_graph(
+        spark.createDataFrame([(*k, n) for k, n in seeds.items()], "kind string, side string, word string, value string, n long"),
+        spark.createDataFrame([(*k, n) for k, n in edges.items()], "side string, word string, value string, n long"),
+        spark.createDataFrame(list(words.items()), "word string, word_n long"))
+    got = {(r.value, r.kind): r.score for r in found.collect()}
+    assert got.keys() == scores.keys() and scores
+    assert all(abs(got[k] - scores[k]) < 1e-9 for k in got)
+
+
 def test_personal_data_of_odd_rows(odd, empty):
     assert pii_bootstrap.find_personal_data(odd).count() == odd.count()
     assert pii_bootstrap.redact(odd).columns == odd.columns
@@ -495,3 +564,12 @@ def test_manifest_is_gapless(spark):
         assert [r.record for r in mine] == list(range(16 if file < 3 else 13))
         assert [r.start for r in mine] == [0, *[r.end for r in mine][:-1]]
         assert all(r.end - r.start == len(contents[r.digest].encode()) for r in mine)
+
+
+def test_every_stage_survives_clashing_names(spark, odd, tmp_path):
+    spark.createDataFrame([(1, "b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    langs = odd.withColumn("lang", F.lit("en"))
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        kept = stage(spark, langs, str(tmp_path))
+        assert number == 4 or kept.columns == langs.columns
+        assert 0 < kept.count() <= langs.count()
