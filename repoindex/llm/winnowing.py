@@ -25,6 +25,8 @@ from repoindex.llm.text_stats import IS_LEAD
 
 GRAM = 16
 WINDOW = 64
+# Bytes of text whose hashes are made at a time; a code point takes about a hundred bytes of arrays.
+BLOCK_BYTES = 1 << 20
 # Ranges of the order; their first ids are a list that every task gets.
 MAX_RANGES = 20_000
 # An odd multiplier of the polynomial, its inverse modulo 2^64, and the constants that mix its bits.
@@ -113,7 +115,7 @@ def fingerprints(docs: DataFrame, text: str = "text", gram: int = GRAM, window:
         return [pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64))),
                 pa.ListArray.from_arrays(offsets, pa.array(positions.astype(np.int32)))]
 
-    return add_columns(docs, [text], FIELDS, make)
+    return add_columns(docs, [text], FIELDS, make, BLOCK_BYTES)
 
 
 # ---- likeness, and fingerprints as text ----
@@ -234,13 +236,13 @@ def compare_successors(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     before = F.struct(F.pmod(F.col("range") - 1, F.lit(max(total, 1))).alias("range"), F.lit(False).alias("owned"))
     placed = rows.withColumn("place", F.explode(F.when(leads, F.array(own, before)).otherwise(F.array(own)))).select(
         "place.range", "place.owned", "doc_id", "order", "text")
-    placed = placed.repartition(max(total, 1), "range").sortWithinPartitions(
+    placed = placed.repartitionById(max(total, 1), "range").sortWithinPartitions(
         "range", F.desc("owned"), F.desc_nulls_last("doc_id"), "order")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for whole in batches:
-            for batch in blocks(whole, 4):
+            for batch in blocks(whole, 4, BLOCK_BYTES):
                 if held is not None:
                     batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
                 held = batch.slice(batch.num_rows - 1)

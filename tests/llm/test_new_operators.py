@@ -273,5 +273,5 @@ def test_successors_of_few_and_none(spark):
 def test_blocks_do_not_change_results(spark, rows, monkeypatch):
     docs = frame(spark, rows)
     whole = winnowing.compare_successors(docs).collect()
-    monkeypatch.setattr(winnowing.blocks, "__defaults__", (1000,))
+    monkeypatch.setattr(winnowing, "BLOCK_BYTES", 1000)
     assert Counter(map(tuple, whole)) == Counter(map(tuple, winnowing.compare_successors(docs).collect()))
