@@ -23,6 +23,8 @@ from repoindex.llm.batches import add_columns, flat_text
 SIZES = (2, 3, 4)
 BUCKET_BITS = 18
 # The model is fitted on at most so many texts and landmarks, as many of each language, and at most so many languages.
+# Bytes of text that are scored at a time; their n-grams take some sixty times as much.
+BLOCK_BYTES = 1 << 20
 FIT_TEXTS = 2048
 LANDMARKS = 256
 LANGUAGES = 128
@@ -239,6 +241,6 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text")
         top = np.where(spoken, np.clip(scores.max(axis=1), 0, 1), 0).astype(np.float64)
         return [names.take(pa.array(best)), pa.array(np.round(top, 6)), pa.array(recognised)]
 
-    return add_columns(docs, [text], fields, make)
+    return add_columns(docs, [text], fields, make, BLOCK_BYTES)
 
 
