@@ -358,6 +358,16 @@ CHECKS: dict[str, tuple[list[str], str]] = {
     "scan_files": (_FILES, """
         SELECT 'corpus' AS namespace, concat(namespace, '/', file_path) AS file_path, sha256(text) AS text_hash
         FROM v_files"""),
+    "scan_trees": ([*_FILES, "v_manifests"], """
+        SELECT namespace, file_path, strlen(text) AS size, sha256(text) AS text_hash
+        FROM (SELECT namespace, file_path, text FROM v_files
+              UNION ALL SELECT namespace, concat(dir, '/package.json'), concat('{"name":"', name, '"}') FROM v_manifests)"""),
+    "ingest_trees": (_SPLIT, f"SELECT {_ROWS} FROM s_chunks"),
+    "reindex_trees": ([*_SPLIT, *_OLD, "v_changes", "c_latest"], f"""
+        SELECT {_ROWS} FROM o_chunks
+        WHERE (namespace, file_path) NOT IN (SELECT (namespace, file_path) FROM c_latest)
+        UNION ALL SELECT {_ROWS} FROM s_chunks
+        WHERE (namespace, file_path) IN (SELECT (namespace, file_path) FROM c_latest WHERE op = 'changed')"""),
     "changed_files": ([*_CHANGES, "c_latest"], """
         SELECT f.namespace, f.file_path, length(f.text) AS chars
         FROM v_files f JOIN c_latest c USING (namespace, file_path) WHERE c.op = 'changed'"""),
@@ -627,6 +637,18 @@ CHECKS: dict[str, tuple[list[str], str]] = {
                count(DISTINCT CASE kind WHEN 'docs' THEN file_path END) AS doc_files,
                count(CASE kind WHEN 'docs' THEN 1 END) AS doc_chunks, count(kind) AS total_chunks
         FROM v_registry r LEFT JOIN v_chunks c USING (namespace) GROUP BY ALL"""),
+    "namespace_info_asked": ([*_CHUNKS, "v_registry"], """
+        WITH a AS (SELECT source AS namespace FROM documents WHERE source IS NOT NULL
+                   UNION SELECT concat('ns_', lang) FROM documents)
+        SELECT a.namespace, r.repo_url, r.last_commit_sha,
+               CASE WHEN r.last_indexed_at IS NOT NULL THEN concat(strftime(r.last_indexed_at, '%Y-%m-%dT%H:%M:%S'),
+                      CASE WHEN microsecond(r.last_indexed_at) % 1000000 = 0 THEN ''
+                           ELSE strftime(r.last_indexed_at, '.%f') END, '+00:00') END AS last_indexed_at,
+               count(DISTINCT CASE kind WHEN 'code' THEN file_path END) AS code_files,
+               count(CASE kind WHEN 'code' THEN 1 END) AS code_chunks,
+               count(DISTINCT CASE kind WHEN 'docs' THEN file_path END) AS doc_files,
+               count(CASE kind WHEN 'docs' THEN 1 END) AS doc_chunks, count(kind) AS total_chunks
+        FROM a LEFT JOIN v_registry r USING (namespace) LEFT JOIN v_chunks c USING (namespace) GROUP BY ALL"""),
     "list_files": (_CHUNKS, """
         SELECT DISTINCT namespace, file_path FROM v_chunks
         WHERE namespace = 'ns_en' AND starts_with(file_path, 'packages/src1')"""),

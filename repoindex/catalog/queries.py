@@ -18,13 +18,14 @@ from repoindex.operators.postings import build_postings, lexemes
 from repoindex.operators.text_index import read_text_index, text_topk, write_text_index
 from repoindex.operators.vector_cells import cell_topk, fit_cells, read_cells, recall_of, write_cells
 from repoindex.operators.vector_search import vector_topk
+from repoindex.plans import indexing
 from repoindex.plans.indexing import IndexOptions, chunk_rows, ingest, ingest_rows, reindex, sync
 from repoindex.plans.search import hybrid_store, hybrid_topk, text_hits
 from repoindex.schemas import CHANGE_SCHEMA
 from repoindex.session import scratch_path
 from repoindex.sources.readers import decode_text, explode_compare, read_manifests, restrict_to
 from repoindex.sources.store import commit, read_chunks, read_postings, read_registry, write_indexes
-from repoindex.sources.tree import read_repo
+from repoindex.sources.tree import list_trees, read_contents, read_repo
 from repoindex.streaming.feed import latest_change, stream_reindex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +133,39 @@ def scan_files(spark, sf_dir):
     return found.select("namespace", "file_path", F.sha2("text", 256).alias("text_hash"))
 
 
+def _roots(spark, sf_dir):
+    """A tree per namespace, manifests included, as a table (namespace, root)."""
+    path = scratch_path(spark, "trees")
+    manifests = _manifests(spark, sf_dir).select(
+        "namespace", F.concat("dir", F.lit("/package.json")).alias("file_path"), F.to_json(F.struct("name")).alias("text"))
+    write_tree(_files(spark, sf_dir).unionByName(manifests), path)
+    names = table(spark, sf_dir, "documents").select(F.concat(F.lit("ns_"), "lang").alias("namespace")).distinct()
+    return names.where("namespace IS NOT NULL").select("namespace", F.concat(F.lit(f"{path}/"), "namespace").alias("root"))
+
+
+@query
+def scan_trees(spark, sf_dir):
+    """Every file of many trees, listed in one job and read by its size."""
+    found = decode_text(read_contents(list_trees(_roots(spark, sf_dir), per_task=4)))
+    return found.select("namespace", "file_path", "size", F.sha2("text", 256).alias("text_hash"))
+
+
+@query
+def ingest_trees(spark, sf_dir):
+    """Trees into a store with the ordinary chunk rules, packages by the manifests in the trees."""
+    store = scratch_path(spark, "from-trees")
+    indexing.ingest_trees(spark, store, _roots(spark, sf_dir), options=CHUNKED)
+    return read_chunks(spark, store).select(*ROW_COLUMNS)
+
+
+@query
+def reindex_trees(spark, sf_dir):
+    """Changes applied from the trees: only the changed files are opened, and the manifests above them."""
+    store = _old_store(spark, sf_dir, "changed-trees", CHUNKED)
+    indexing.reindex_trees(spark, store, _roots(spark, sf_dir), _latest_changes(spark, sf_dir), CHUNKED)
+    return read_chunks(spark, store).select(*ROW_COLUMNS)
+
+
 @query
 def changed_files(spark, sf_dir):
     changed = _latest_changes(spark, sf_dir).where("op = 'changed'")
@@ -828,6 +862,15 @@ def namespace_info(spark, sf_dir):
     return browse.namespace_info(_chunks(spark, sf_dir), view(spark, sf_dir, "v_registry"))
 
 
+@query
+def namespace_info_asked(spark, sf_dir):
+    """Health rows for the sources, which no namespace is named after, and for the languages in another spelling."""
+    documents = table(spark, sf_dir, "documents")
+    asked = documents.select(F.col("source").alias("namespace")).unionByName(
+        documents.select(F.concat(F.lit("NS-"), "lang").alias("namespace")))
+    return browse.namespace_info(_chunks(spark, sf_dir), view(spark, sf_dir, "v_registry"), asked)
+
+
 @query
 def list_files(spark, sf_dir):
     return browse.list_files(_chunks(spark, sf_dir), "NS-en", "packages/src1")

@@ -58,6 +58,10 @@ def route_kind(path: Column) -> Column:
     return F.when(suffix.isin(CODE_SUFFIXES), "code").when(suffix.isin(DOC_SUFFIXES), "docs")
 
 
+def is_manifest(path: Column) -> Column:
+    return base_name(path) == "package.json"
+
+
 def parse_repo_url(url: Column) -> Column:
     """STRUCT(owner, repo) from the last two parts of a repository URL; NULL parts when there are too few."""
     parts = F.split(F.regexp_replace(url, r"/+\z", ""), "/")

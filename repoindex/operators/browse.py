@@ -26,8 +26,15 @@ def table_stats(chunks: DataFrame) -> DataFrame:
         F.countDistinct("file_path").alias("files"), F.count("*").alias("chunks"))
 
 
-def namespace_info(chunks: DataFrame, registry: DataFrame) -> DataFrame:
-    """One health row per namespace that is indexed or registered: counts per kind, and what the registry says."""
+def namespace_info(chunks: DataFrame, registry: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """One health row per namespace that is indexed or registered: counts per kind, and what the registry says.
+
+    With ``asked`` (namespace), in any spelling, one row for each of these instead: zeros for one that nobody knows.
+    """
+    if asked is not None:
+        asked = asked.select(sanitise(F.col("namespace")).alias("namespace")).where("namespace IS NOT NULL").distinct()
+        side = small_side(asked)
+        chunks, registry = (df.join(side, "namespace", "left_semi") for df in (chunks, registry))
     stats = table_stats(chunks)
 
     def of_kind(kind: str, column: str):
@@ -42,6 +49,8 @@ def namespace_info(chunks: DataFrame, registry: DataFrame) -> DataFrame:
         iso_timestamp(F.col("last_indexed_at")).alias("last_indexed_at"))
     names = ["code_files", "code_chunks", "doc_files", "doc_chunks"]
     joined = counts.join(known, "namespace", "full_outer")
+    if asked is not None:
+        joined = asked.join(joined, "namespace", "left_outer")
     filled = joined.select(
         "namespace", "repo_url", "last_commit_sha", "last_indexed_at",
         *[F.coalesce(n, F.lit(0)).alias(n) for n in names])

@@ -5,20 +5,23 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repoindex.functions import columns as C
 from repoindex.functions.columns import sanitise
 from repoindex.functions.embedding import EMBED_BATCH, embed
 from repoindex.functions.sizing import small_side
 from repoindex.operators.changes import effective_changes, sync_plan
 from repoindex.operators.chunk_checks import check_chunks, violations
 from repoindex.operators.chunking import ChunkRule, DEFAULT_RULES, chunk_files, routed_files
-from repoindex.operators.packages import nearest_package
+from repoindex.operators.packages import manifests_above, nearest_package
 from repoindex.operators.registry import advance_sha, register
 from repoindex.operators.upserts import delete_paths, deleted_counts
 from repoindex.schemas import CHUNK_SCHEMA, EMBEDDING_DIM
-from repoindex.sources.readers import restrict_to
+from repoindex.session import staged
+from repoindex.sources.readers import decode_text, read_manifests, restrict_to
 from repoindex.sources.store import (
     BUCKETS, commit, current_version, ensure_store, read_chunks, read_registry, stage,
 )
+from repoindex.sources.tree import list_trees, listed_files, read_contents
 
 
 @dataclass(frozen=True)
@@ -36,8 +39,12 @@ class IndexOptions:
 
 def chunk_rows(files: DataFrame, manifests: DataFrame | None = None,
                rules: dict[str, ChunkRule] | None = None) -> DataFrame:
-    """Files (namespace, file_path, text) to chunk rows without embeddings."""
-    files = files.select(sanitise(F.col("namespace")).alias("namespace"), "file_path", "text")
+    """Files (namespace, file_path, text) to chunk rows without embeddings.
+
+    Files may come with their ``kind`` and ``package``, as those of ``tree_files`` do; manifests decide on the package anew.
+    """
+    known = [c for c in ("kind", "package") if manifests is None and c in files.columns]
+    files = files.select(sanitise(F.col("namespace")).alias("namespace"), "file_path", "text", *known)
     if manifests is not None:
         files = nearest_package(routed_files(files), manifests)
     return chunk_files(files, rules)
@@ -60,15 +67,49 @@ def reindex_rows(base: DataFrame, files: DataFrame, changes: DataFrame, manifest
     return delete_paths(base, changed).unionByName(fresh.select(*base.columns))
 
 
+def tree_files(roots: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(namespace, file_path, kind, package, text) of the files an index uses, below the roots of a table (namespace, root).
+
+    Kinds and packages are decided on paths; of contents, manifests are read first, and then each file once. With ``only``
+    (namespace, file_path) no tree is walked: the listed files are opened, and the manifests above them. Listed paths that
+    lead out of the tree, and those without a file, are passed over.
+    """
+    if only is None:
+        listing = list_trees(roots)
+        manifest_paths = listing.where(C.keep_path(F.col("file_path")) & C.is_manifest(F.col("file_path")))
+    else:
+        listing = listed_files(roots, only)
+        manifest_paths = manifests_above(listing)
+    manifests = staged(read_manifests(decode_text(read_contents(manifest_paths))), "manifests")
+    named = nearest_package(routed_files(listing), manifests)
+    return decode_text(read_contents(named)).select("namespace", "file_path", "kind", "package", "text")
+
+
+def ingest_trees(spark: SparkSession, store: str, roots: DataFrame, mode: str = "upsert",
+                 options: IndexOptions = IndexOptions(), registration: DataFrame | None = None,
+                 now: Column | None = None) -> int:
+    """Index the trees of a table (namespace, root) as one version; ``replace`` also clears namespaces whose tree is empty."""
+    return ingest(spark, store, tree_files(roots), None, mode, options, registration, now, namespaces=roots)
+
+
+def reindex_trees(spark: SparkSession, store: str, roots: DataFrame, changes: DataFrame,
+                  options: IndexOptions = IndexOptions()) -> int:
+    """Apply (namespace, file_path, op) changes to a store. The work grows with the changes, not with the trees."""
+    changes = stage(effective_changes(changes), store)
+    return _reindex(spark, store, tree_files(roots, changes.where("op = 'changed'")), changes, None, options)
+
+
 def ingest(spark: SparkSession, store: str, files: DataFrame, manifests: DataFrame | None = None,
            mode: str = "upsert", options: IndexOptions = IndexOptions(), registration: DataFrame | None = None,
-           now: Column | None = None) -> int:
+           now: Column | None = None, namespaces: DataFrame | None = None) -> int:
     """Index files into a store. ``upsert`` leaves the rows of files that are gone; ``replace`` clears the
-    namespaces of the files first. ``registration`` (namespace, repo_url, sha) is recorded in the same version."""
+    namespaces of the files first, or those in ``namespaces``. ``registration`` (namespace, repo_url, sha) is recorded in the
+    same version."""
     if mode not in ("upsert", "replace"):
         raise ValueError(f"unknown ingest mode: {mode}")
     rows = stage(check_chunks(ingest_rows(files, manifests, options), options.dim), store)
-    cleared = files.select(sanitise(F.col("namespace")).alias("namespace")).distinct() if mode == "replace" else None
+    named = files if namespaces is None else namespaces
+    cleared = named.select(sanitise(F.col("namespace")).alias("namespace")).distinct() if mode == "replace" else None
     registry = None if registration is None else register(read_registry(spark, store), registration, now)
     return commit(spark, store, incoming=rows, cleared=cleared, registry=registry, config=options.config,
                   buckets=options.buckets)
@@ -78,8 +119,12 @@ def reindex(spark: SparkSession, store: str, files: DataFrame, changes: DataFram
             manifests: DataFrame | None = None, options: IndexOptions = IndexOptions()) -> int:
     """Apply (namespace, file_path, op) changes to a store; ``files`` is the present state of the trees."""
     changes = stage(effective_changes(changes), store)
-    rows = ingest_rows(restrict_to(files, changes.where("op = 'changed'")), manifests, options)
-    incoming = stage(check_chunks(rows, options.dim), store)
+    return _reindex(spark, store, restrict_to(files, changes.where("op = 'changed'")), changes, manifests, options)
+
+
+def _reindex(spark: SparkSession, store: str, files: DataFrame, changes: DataFrame, manifests: DataFrame | None,
+             options: IndexOptions) -> int:
+    incoming = stage(check_chunks(ingest_rows(files, manifests, options), options.dim), store)
     return commit(spark, store, incoming=incoming, deletes=changes, config=options.config,
                   buckets=options.buckets)
 
@@ -142,6 +187,6 @@ def failed_namespaces(report: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "IndexOptions", "chunk_rows", "current_version", "failed_namespaces", "ingest", "ingest_rows", "reindex",
-    "reindex_rows", "sync",
+    "IndexOptions", "chunk_rows", "current_version", "failed_namespaces", "ingest", "ingest_rows", "ingest_trees", "reindex",
+    "reindex_rows", "reindex_trees", "sync", "tree_files",
 ]

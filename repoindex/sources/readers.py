@@ -29,7 +29,7 @@ def read_manifests(files: DataFrame) -> DataFrame:
     value = F.try_variant_get(document, "$.name", "string")
     falsy = F.coalesce(F.schema_of_variant(F.try_variant_get(document, "$.name", "variant")), F.lit("")) != "STRING"
     return (
-        files.where(C.base_name(F.col("file_path")) == "package.json")
+        files.where(C.is_manifest(F.col("file_path")))
         .select("namespace", C.parent_dir(F.col("file_path")).alias("dir"), value.alias("name"),
                 falsy.alias("not_text"))
         .where((F.col("name") != "") & ~(F.col("not_text") & F.col("name").isin("false", "0", "[]", "{}")))

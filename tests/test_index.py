@@ -4,14 +4,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from repoindex.operators.chunking import ChunkRule
-from repoindex.plans.indexing import IndexOptions, failed_namespaces, ingest, reindex, sync
+from repoindex.plans.indexing import (
+    IndexOptions, failed_namespaces, ingest, ingest_trees, reindex, reindex_trees, sync, tree_files,
+)
 from repoindex.plans.search import hybrid_store, hybrid_topk
 from repoindex.functions.embedding import embed
 from repoindex.schemas import CHUNK_SCHEMA, COMPARE_SCHEMA
 from repoindex.sources import store as S
 from repoindex.sources.readers import decode_text, read_compare, read_manifests
-from repoindex.sources.tree import list_repo, read_repo
-from repoindex.streaming.feed import stream_reindex
+from repoindex.sources.tree import list_repo, list_trees, read_contents, read_repo
+from repoindex.streaming.feed import _last_events, newer_changes, stream_reindex
 
 FILES = "namespace string, file_path string, text string"
 OPTIONS = IndexOptions(rules={"code": ChunkRule(20, 0), "docs": ChunkRule(20, 0)}, dim=8, config="simple", buckets=4)
@@ -147,8 +149,8 @@ def test_tree_scan(spark, tmp_path):
         target.write_bytes(body)
     root = str(tmp_path / "repo")
     os.symlink(root, f"{root}/loop")
-    for fan_out in (1, 2, 50):
-        found = {r.file_path: r["size"] for r in list_repo(spark, root, "my-repo", fan_out).collect()}
+    for per_task in (1, 2, 50):
+        found = {r.file_path: r["size"] for r in list_repo(spark, root, "my-repo", per_task).collect()}
         assert set(found) == {"__init__.py", ".github/w/r.yml", "a b.py", ".env", "node_modules/x/a.js",
                               "p/package.json", "p/q/r.ts"} and found[".env"] == 3
     files = decode_text(read_repo(spark, root, "my-repo"))
@@ -272,3 +274,141 @@ def test_a_late_event_does_not_win(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(feed_path)
         stream_reindex(stream, now, store, f"{store}/progress", options=OPTIONS).awaitTermination()
     assert [r[1::2] for r in state(spark, store)] == [("a.py", "new")]
+
+
+ROOTS = "namespace string, root string"
+CHANGES = "namespace string, file_path string, op string"
+
+
+def lay_out(root, files):
+    for path, body in files.items():
+        target = root / path
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(body)
+
+
+@pytest.fixture
+def trees(spark, tmp_path):
+    """Two trees, roots in a table with a repeated row, a row without a root, and an empty tree."""
+    lay_out(tmp_path / "one", {"p/package.json": '{"name": "outer"}', "p/q/package.json": '{"name": "inner"}',
+                               "p/a.py": "a", "p/q/b.py": "b", "p/q/r/c.md": "c", "d.py": "d", "p/blank.py": "  ",
+                               "node_modules/x/package.json": '{"name": "x"}', "node_modules/x/e.py": "e", "p/f.bin": "f"})
+    lay_out(tmp_path / "two", {"p/a.py": "two", "package.json": '{"name": "top"}'})
+    (tmp_path / "empty").mkdir()
+    rows = [("Repo-1", "one"), ("repo_1", "one"), ("repo-2", "two"), ("repo-3", "empty")]
+    return spark.createDataFrame([(n, str(tmp_path / d)) for n, d in rows] + [("none", None)], ROOTS)
+
+
+def test_many_trees_in_one_listing(spark, tmp_path, trees):
+    want = {("repo_1", "p/a.py", 1), ("repo_1", "d.py", 1), ("repo_2", "p/a.py", 3), ("repo_1", "node_modules/x/e.py", 1)}
+    for per_task in (1, 256):
+        listing = list_trees(trees, per_task)
+        found = [(r.namespace, r.file_path, r["size"]) for r in listing.collect()]
+        assert len(found) == len(set(found)) == 12 and want <= set(found)
+    assert list_trees(trees.where("false")).count() == 0
+    # Further columns are carried, a file that is gone is NULL.
+    os.remove(tmp_path / "one" / "d.py")
+    read = {(r.namespace, r.file_path): r for r in read_contents(listing.withColumn("mark", F.lit(7))).collect()}
+    assert read["repo_2", "p/a.py"].content == b"two" and read["repo_1", "d.py"].content is None
+    assert {r.mark for r in read.values()} == {7} and len(read) == 12
+    with pytest.raises(Exception, match="FileNotFoundError|No such file"):
+        list_trees(spark.createDataFrame([("n", str(tmp_path / "no"))], ROOTS)).count()
+
+
+def test_a_thousand_roots(spark, tmp_path):
+    for n in range(1000):
+        lay_out(tmp_path / f"r{n}", {"a.py": str(n)})
+    roots = spark.range(1000).select(F.concat(F.lit("n"), "id").alias("namespace"),
+                                     F.concat(F.lit(f"{tmp_path}/r"), "id").alias("root"))
+    assert {(r.namespace, r.file_path) for r in list_trees(roots).collect()} == {(f"n{n}", "a.py") for n in range(1000)}
+    assert {r.text for r in tree_files(roots).collect()} == {str(n) for n in range(1000)}
+
+
+def test_contents_are_read_once(spark, trees):
+    files = tree_files(trees)
+    want = {("repo_1", "p/a.py", "outer", "a"), ("repo_1", "p/q/b.py", "inner", "b"), ("repo_1", "p/q/r/c.md", "inner", "c"),
+            ("repo_1", "d.py", "", "d"), ("repo_1", "p/blank.py", "outer", "  "), ("repo_2", "p/a.py", "", "two")}
+    assert {(r.namespace, r.file_path, r.package, r.text) for r in files.collect()} == want
+    plan = files._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_listed_files_are_opened_without_a_walk(spark, tmp_path, trees, monkeypatch):
+    from repoindex.plans import indexing
+    monkeypatch.setattr(indexing, "list_trees", None)
+    (tmp_path / "secret.py").write_text("out")
+    listed = spark.createDataFrame(
+        [("REPO-1", "p/q/b.py"), ("repo-1", "p/q/b.py"), ("repo-1", "p/gone.py"), ("repo-1", "../secret.py"),
+         ("repo-1", str(tmp_path / "secret.py")), ("repo-1", "p/q"), ("repo-2", "p/a.py"), ("lost", "p/a.py"),
+         ("repo-1", None)], "namespace string, file_path string")
+    got = {(r.namespace, r.file_path, r.package, r.text) for r in tree_files(trees, listed).collect()}
+    assert got == {("repo_1", "p/q/b.py", "inner", "b"), ("repo_2", "p/a.py", "", "two")}
+
+
+def test_trees_into_a_store(spark, tmp_path, trees):
+    store = str(tmp_path / "s")
+    ingest(spark, store, files_of(spark, ("repo_3", "old.py", "old"), ("repo_1", "gone.py", "gone")), options=OPTIONS)
+    ingest_trees(spark, store, trees, "replace", OPTIONS)
+    want = [("repo_1", "d.py", 0, "d"), ("repo_1", "p/a.py", 0, "a"), ("repo_1", "p/q/b.py", 0, "b"),
+            ("repo_1", "p/q/r/c.md", 0, "c"), ("repo_2", "p/a.py", 0, "two")]
+    assert state(spark, store) == want
+    lay_out(tmp_path / "one", {"p/a.py": "new", "p/q/b.py": "unlisted"})
+    os.remove(tmp_path / "one" / "d.py")
+    listed = spark.createDataFrame([("Repo-1", "p/a.py", "changed"), ("Repo-1", "d.py", "changed"),
+                                    ("repo-2", "p/a.py", "deleted")], CHANGES)
+    reindex_trees(spark, store, trees, listed, OPTIONS)
+    assert state(spark, store) == [("repo_1", "p/a.py", 0, "new"), *want[2:4]]
+    packages = {r.file_path: r.package for r in S.read_chunks(spark, store).collect()}
+    assert packages == {"p/a.py": "outer", "p/q/b.py": "inner", "p/q/r/c.md": "inner"}
+
+
+def test_state_of_a_feed(spark, tmp_path):
+    """Batches of events in any order against the last event by brute force, nulls, ties and a hot path among them."""
+    import random
+    rng = random.Random(5)
+    schema = "namespace string, file_path string, op string, ts long, event_id long"
+    events = [("n", "hot.py" if rng.random() < 0.4 else f"{rng.randrange(12)}.py", rng.choice(["changed", "deleted"]),
+               rng.choice([None, *range(6)]), n) for n in range(300)]
+    events += [("N", "hot.py", "deleted", 5, 299), (None, "x.py", "changed", 1, 1), ("n", None, "changed", 1, 1),
+               ("n", "no.py", "changed", None, None)]
+    rng.shuffle(events)
+    path, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    for start in range(0, len(events), 102):
+        spark.createDataFrame(events[start:start + 102], schema).coalesce(2).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+    def keep(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+
+    newer_changes(stream).writeStream.foreachBatch(keep).outputMode("update").option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = {}
+    for row in sorted(spark.read.parquet(out).collect(), key=lambda r: r.batch):
+        got[row.file_path] = row.op
+    want, least = {}, -(1 << 63)
+    for space, name, op, ts, event in events:
+        if space and name:
+            key = (least if ts is None else ts, least if event is None else event)
+            if name not in want or key > want[name][0]:
+                want[name] = key, op
+    tied = {name for name, (key, _) in want.items()
+            if len({e[2] for e in events if e[1] == name and (e[3], e[4]) == key}) > 1}
+    assert got.keys() == want.keys() and all(got[n] == want[n][1] for n in want if n not in tied)
+
+
+def test_few_rows_of_a_hot_path_are_shuffled():
+    import pandas as pd
+    rows = pd.DataFrame({"namespace": "n", "file_path": ["a", "b"] * 500, "op": "changed", "at": range(1000), "event_id": 1})
+    assert [len(part) for part in _last_events(iter([rows, rows]))] == [2, 2]
+    assert sorted(next(_last_events(iter([rows])))["at"]) == [998, 999]
+
+
+def test_asked_health_rows(spark):
+    from repoindex.operators.browse import namespace_info
+    chunks = spark.createDataFrame([("n", "code", "a.py"), ("n", "docs", "b.md"), ("m", "code", "c.py")],
+                                   "namespace string, kind string, file_path string")
+    known = spark.createDataFrame([("r", "u", "s", None)], "namespace string, repo_url string, last_commit_sha string, "
+                                                           "last_indexed_at timestamp")
+    asked = spark.createDataFrame([("N",), ("n",), ("r",), ("Who-Knows",), (None,)], "namespace string")
+    got = {r.namespace: (r.repo_url, r.total_chunks) for r in namespace_info(chunks, known, asked).collect()}
+    assert got == {"n": (None, 2), "r": ("u", 0), "who_knows": (None, 0)}

@@ -8,7 +8,7 @@ from check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
 # Seconds each, as they write whole stores: check.py runs them, test_index.py tests the same functions.
-SLOW = {"scan_files", "ingest_store", "store_postings", "reindex_store", "reindex_raw_namespace", "stream_reindexed", "stream_late_events",
+SLOW = {"scan_files", "scan_trees", "ingest_trees", "reindex_trees", "ingest_store", "store_postings", "reindex_store", "reindex_raw_namespace", "stream_reindexed", "stream_late_events",
         "sync_apply", "sync_report", "sync_registry", "hybrid_over_store", "hybrid_over_indexes"}
 SQL = oracle_sql()
 
