@@ -87,6 +87,19 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def pu_slopes(g: np.ndarray, prior: float) -> np.ndarray:
+    """Slopes of the non-negative risk by each raw output, for scores of as many positives as unlabelled, in this order.
+
+    The loss of calling a text positive is 1 - g, of calling it negative g. The risk on negatives is estimated from the
+    unlabelled less the positives among them; where that is below zero it is raised, and the rest of the risk waits.
+    """
+    half = len(g) // 2
+    slope = g * (1 - g)
+    if g[half:].mean() - prior * g[:half].mean() >= 0:
+        return np.concatenate([-2 * prior * slope[:half], slope[half:]]) / half
+    return np.concatenate([prior * slope[:half], -slope[half:]]) / half
+
+
 def _train(x_p: np.ndarray, x_u: np.ndarray, prior: float | None) -> list[np.ndarray]:
     """Adam on the non-negative PU risk with the sigmoid loss, or without a prior on positives against unlabelled."""
     rng = np.random.default_rng(SEED)
@@ -97,18 +110,10 @@ def _train(x_p: np.ndarray, x_u: np.ndarray, prior: float | None) -> list[np.nda
         x = np.concatenate([x_p[rng.integers(0, len(x_p), BATCH)], x_u[rng.integers(0, len(x_u), BATCH)]])
         hidden = np.tanh(x @ layers[0] + layers[1])
         g = sigmoid(hidden @ layers[2] + layers[3])
-        slope = g * (1 - g)
-        out = np.empty(2 * BATCH)
         if prior is None:
-            out[:BATCH], out[BATCH:] = g[:BATCH] - 1, g[BATCH:]
+            out = np.concatenate([g[:BATCH] - 1, g[BATCH:]]) / BATCH
         else:
-            # Loss of calling a text positive is 1 - g, of calling it negative g.
-            negative_risk = g[BATCH:].mean() - prior * g[:BATCH].mean()
-            if negative_risk >= 0:
-                out[:BATCH], out[BATCH:] = -2 * prior * slope[:BATCH], slope[BATCH:]
-            else:
-                out[:BATCH], out[BATCH:] = prior * slope[:BATCH], -slope[BATCH:]
-        out /= BATCH
+            out = pu_slopes(g, prior)
         back = out[:, None] * layers[2] * (1 - hidden ** 2)
         grads = [x.T @ back, back.sum(axis=0), hidden.T @ out, out.sum(keepdims=True)]
         for n, grad in enumerate(grads):
@@ -141,12 +146,23 @@ def fit_pu(x_p: np.ndarray, x_u: np.ndarray) -> PuModel:
     return PuModel(mean, scale, _train(z_p, z_u, prior), prior)
 
 
+def sample_ids(ids: DataFrame, count: int) -> DataFrame:
+    """The distinct ``doc_id`` of smallest hashes, at most ``count``; null ids are left out.
+
+    Hashes are even over their range, so the smallest are found below a bound that about four times as many are under:
+    tasks send those to be ranked, not ``count`` rows each.
+    """
+    hashed = ids.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h")).distinct()
+    bound = min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 4 * count // max(hashed.count(), 1))
+    return hashed.where(F.col("h") <= F.lit(bound).cast("long")).orderBy("h", "doc_id").limit(count).select("doc_id")
+
+
 def _sample_features(docs: DataFrame, ids: DataFrame, limit: int) -> np.ndarray:
     """Features of the documents with these ids, at most ``limit`` rows, in a fixed order."""
     chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     packed = add_columns(chosen, ["text"], [T.StructField("x", T.BinaryType())], lambda columns: [
         pa.array([row.tobytes() for row in features(columns[0])], pa.binary())])
-    rows = packed.select("x", F.xxhash64("doc_id", "x").alias("h")).orderBy("h").limit(limit).collect()
+    rows = packed.select("x", F.xxhash64("doc_id", "x").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(limit).collect()
     return np.array([np.frombuffer(r["x"]) for r in rows]).reshape(len(rows), FEATURES)
 
 
@@ -154,16 +170,12 @@ def learn_quality(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES
                   unlabelled: int = UNLABELLED) -> PuModel:
     """Fit on the given documents; labels ``quality`` = 1 name the trusted ones, other labels are not looked at.
 
-    Unlabelled are any of the documents. Null ids and repeated labels add nothing.
+    Unlabelled are any of the documents. Null ids, repeated labels and repeated rows add nothing.
     """
     docs = docs.select("doc_id", "text")
-
-    def first(ids: DataFrame, count: int) -> DataFrame:
-        return ids.where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(count)
-
-    trusted = first(labels.where("quality = 1").select("doc_id"), positives)
+    trusted = sample_ids(labels.where("quality = 1").select("doc_id"), positives)
     x_p = _sample_features(docs, trusted, positives)
-    x_u = _sample_features(docs, first(docs.select("doc_id"), unlabelled), unlabelled)
+    x_u = _sample_features(docs, sample_ids(docs.select("doc_id"), unlabelled), unlabelled)
     return fit_pu(x_p, x_u)
 
 

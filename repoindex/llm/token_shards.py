@@ -8,7 +8,7 @@ a record is the little-endian ids of a sequence and one line feed, which the wri
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -84,22 +84,34 @@ def order_sequences(staged_sequences: DataFrame, key: int, per_shard: int = PER_
         "shard", F.floor(F.col("slot") / per_shard).cast("int")).drop("task", "first", "number", "total", "place")
 
 
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a writer left its success mark."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def turn_size(shards: int, turns: int) -> int:
+    return max(1, -(-shards // turns))
+
+
 def write_shards(ordered: DataFrame, path: str, shards: int, turns: int = TURNS) -> None:
     """Write ``path/turn=../shard=../part-*``: one file per shard, records by slot, a range of shards in each turn.
 
-    A turn that was finished earlier (its directory has the writer's success mark) need not be written again by a caller
-    that goes on with the same staged sequences.
+    A turn that was finished earlier (its directory has the writer's success mark) is not written again; one that was
+    broken off is.
     """
     spark = ordered.sparkSession
     before = spark.conf.get(CLEAN_SHUFFLES, "false")
     spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
-        size = max(1, -(-shards // turns))
+        size = turn_size(shards, turns)
         for first in range(0, shards, size):
+            if _finished(spark, f"{path}/turn={first}"):
+                continue
             part = ordered.where(F.col("shard").between(first, first + size - 1)).select("shard", "slot", "payload")
             part.repartitionById(size, F.col("shard") - first).sortWithinPartitions("shard", "slot").select(
-                "shard", F.col("payload").cast("string").alias("value")).write.partitionBy("shard").text(
-                f"{path}/turn={first}")
+                "shard", F.col("payload").cast("string").alias("value")).write.mode("overwrite").partitionBy(
+                    "shard").text(f"{path}/turn={first}")
     finally:
         spark.conf.set(CLEAN_SHUFFLES, before)
 
@@ -119,19 +131,29 @@ def materialise(docs: DataFrame, model: ByteBpe, key: int, end: int, path: str |
                 length: int = SEQUENCE, per_shard: int = PER_SHARD, turns: int = TURNS) -> DataFrame:
     """Write all shards below ``path`` (default: a new folder in the shared one) and return their manifest.
 
-    One row per sequence: slot (0 .. total - 1, each once), shard, offset in bytes, doc_id, sequence, n_tokens and the
-    CRC-32 of the ids. Sequences are encoded once and staged in the shared folder, their numbers are their places there;
+    One row per sequence: slot (0 .. total - 1, each once), shard, the folder of its one file below ``path``, offset in
+    bytes, doc_id, sequence, n_tokens and the CRC-32 of the ids. A call on the path of one that was broken off goes on with
+    what that staged and finished; one with other parameters is refused, and the documents are taken to be the same. Sequences are encoded once and staged in the shared folder, their numbers are their places there;
     the same files, split the same way, and key give the same slots. Repeated documents have sequences of their own,
     null ids stay null, an empty table writes nothing and returns no rows.
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-shards")
+    job = f"key={key} end={end} length={length} per_shard={per_shard} turns={turns} vocabulary={model.size}"
+    if not _finished(spark, f"{path}/job"):
+        spark.createDataFrame([(job,)], "job string").coalesce(1).write.mode("overwrite").text(f"{path}/job")
+    elif [r[0] for r in spark.read.text(f"{path}/job").collect()] != [job]:
+        raise ValueError(f"{path} holds the shards of another job")
     made = sequences(docs, model, end, length=length).withColumn("place", F.monotonically_increasing_id())
-    made.write.option("compression", "zstd").parquet(f"{path}/staged")
+    if not _finished(spark, f"{path}/staged"):
+        made.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/staged")
     made = spark.read.schema(made.schema).parquet(f"{path}/staged")
     total = made.count()
     ordered = order_sequences(made, key, per_shard)
-    write_shards(ordered, f"{path}/shards", -(-total // per_shard), turns)
+    shards = -(-total // per_shard)
+    write_shards(ordered, f"{path}/shards", shards, turns)
+    turn = F.col("shard") - F.pmod("shard", F.lit(turn_size(shards, turns)))
+    folder = F.format_string("shards/turn=%d/shard=%d", turn, F.col("shard"))
     offset = F.pmod("slot", F.lit(per_shard)) * stride(model, length)
-    return ordered.select("slot", "shard", offset.cast("long").alias("offset"), "doc_id", "sequence", "n_tokens",
+    return ordered.select("slot", "shard", folder.alias("folder"), offset.cast("long").alias("offset"), "doc_id", "sequence", "n_tokens",
                           F.crc32("payload").alias("ids_crc32"))

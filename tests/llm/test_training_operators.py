@@ -109,6 +109,32 @@ def test_token_shards_round_trip(spark, model, tmp_path):
         assert zlib.crc32(record.tobytes()) == r.ids_crc32
 
 
+def test_broken_shards_go_on(spark, model, tmp_path, odd):
+    """A broken write goes on without encoding or finished turns; odd rows, null ids and repeated rows are whole."""
+    import shutil
+
+    def run(**other):
+        return sorted(map(str, token_shards.materialise(odd, model, other.pop("key", 5), 50256, str(tmp_path / "s"), 16,
+                                                        per_shard=8, turns=3, **other).collect()))
+
+    def stamps():
+        return {str(f): f.stat().st_mtime_ns for f in (tmp_path / "s").glob("s*/**/part-*")}
+
+    first, before = run(), stamps()
+    row = token_shards.materialise(odd, model, 5, 50256, str(tmp_path / "s"), 16, per_shard=8, turns=3).first()
+    assert len(list((tmp_path / "s" / row.folder).glob("part-*"))) == 1
+    assert run() == first and stamps() == before
+    turns = sorted((tmp_path / "s" / "shards").glob("turn=*"), key=lambda p: int(p.name[5:]))
+    (turns[1] / "_SUCCESS").unlink()
+    shutil.rmtree(next(turns[1].glob("shard=*")))
+    assert run() == first
+    after = stamps()
+    assert {f for f in before if f"/{turns[1].name}/" not in f} == {f for f in before if after.get(f) == before[f]}
+    assert len(after) == len(before)
+    with pytest.raises(ValueError, match="another job"):
+        run(key=6)
+
+
 def test_token_shards_of_nothing(empty, model, tmp_path):
     assert token_shards.materialise(empty, model, 5, 50256, str(tmp_path)).count() == 0
 
@@ -438,6 +464,41 @@ def test_all_trusted_labels_count(spark):
     assert not hasattr(quality_llr, "TRUSTED")
 
 
+def test_ratios_and_threshold_by_brute_force(spark):
+    """Scores, threshold and verdicts of every text against sums over its words and pairs, copies counted once."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words[:30] if i % 3 else words[10:], k=rng.randrange(1, 140))) for i in range(150)]
+    texts += texts[:20] + ["", "one"]
+    trusted = {i for i in range(0, 150, 2)} | {151}
+    labels = spark.createDataFrame([(i, 1) for i in trusted] + [(1, 0)], "doc_id long, quality int")
+
+    def buckets(text):
+        return quality_llr.ngram_buckets(Block.of(pa.array([text], pa.string())))[0].tolist()
+
+    trusted_texts = {texts[i] for i in trusted}
+    raw, target = np.ones(quality_llr.BUCKETS), np.ones(quality_llr.BUCKETS)
+    for text in set(texts):
+        for bucket in buckets(text):
+            raw[bucket] += 1
+            target[bucket] += text in trusted_texts
+    # Buckets are of words and neighbouring pairs: as many as 2 n - 1.
+    assert all(len(buckets(t)) == max(2 * len(t.split()) - 1, 0) for t in texts)
+
+    def score(text):
+        terms = [np.log(target[b] / target.sum()) - np.log(raw[b] / raw.sum()) for b in buckets(text)]
+        return sum(terms) / len(terms) if terms else 0.0
+
+    rows = {r.doc_id: r for r in quality_llr.score_quality(docs_of(spark, texts), labels).collect()}
+    assert all(abs(rows[i].llr - score(t)) < 1e-8 for i, t in enumerate(texts))
+    steps = sorted(np.floor(rows[texts.index(t)].llr * quality_llr.STEPS) for t in trusted_texts
+                   if not rows[texts.index(t)].base_failed)
+    low, middle = steps[int(quality_llr.QUANTILE * len(steps))], steps[len(steps) // 2]
+    limit = (2 * low - middle) / quality_llr.STEPS
+    assert all(r.kept == (not r.base_failed and r.llr >= limit) for r in rows.values())
+    assert {r.kept for r in rows.values()} == {True, False}
+
+
 def test_positive_unlabelled(spark, odd, empty):
     rng = random.Random(9)
     words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(300)]
@@ -457,6 +518,46 @@ def test_positive_unlabelled(spark, odd, empty):
     assert {r.score for r in pu_quality.score_documents(docs, nothing).collect()} == {0.5}
 
 
+def test_risk_slopes_by_differences():
+    """The slopes against finite differences of the risk as it is defined, on either side of zero."""
+    rng = np.random.default_rng(3)
+
+    def risk(z, prior):
+        g = 1 / (1 + np.exp(-z))
+        on_negatives = g[40:].mean() - prior * g[:40].mean()
+        return prior * (1 - g[:40]).mean() + on_negatives if on_negatives >= 0 else -on_negatives
+
+    for shift, negative in ((0.0, False), (-3.0, True)):
+        z = rng.normal(0, 1, 80)
+        z[40:] += shift
+        got = pu_quality.pu_slopes(pu_quality.sigmoid(z), 0.6)
+        g = pu_quality.sigmoid(z)
+        assert (g[40:].mean() < 0.6 * g[:40].mean()) == negative
+        for place in range(80):
+            up, down = z.copy(), z.copy()
+            up[place] += 1e-5
+            down[place] -= 1e-5
+            assert abs(got[place] - (risk(up, 0.6) - risk(down, 0.6)) / 2e-5) < 1e-8
+
+
+def test_prior_by_brute_force():
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(1, 1, 3000), np.concatenate([rng.normal(1, 1, 1200), rng.normal(-2, 1, 2800)])
+    edges = [e for e in np.sort(p)[:int(0.7 * len(p))]]
+    least = min(sum(u >= e) / len(u) / (sum(p >= e) / len(p)) for e in edges[::20])
+    assert abs(pu_quality.estimate_prior(p, u) - least) < 0.02 and 0.28 < pu_quality.estimate_prior(p, u) < 0.35
+
+
+def test_sampled_ids(spark):
+    """The smallest hashes, whatever the layout; nulls and repeats add nothing, and few rows pass the bound."""
+    ids = spark.range(5000).select(F.col("id").alias("doc_id")).union(spark.sql("SELECT CAST(NULL AS BIGINT)")).union(
+        spark.sql("SELECT CAST(3 AS BIGINT) FROM range(4000)"))
+    hashes = sorted((r.h, r.id) for r in spark.range(5000).select("id", F.xxhash64("id").alias("h")).collect())
+    for layout in (ids, ids.repartition(7).orderBy(F.desc("doc_id"))):
+        assert [r.doc_id for r in pu_quality.sample_ids(layout, 60).collect()] == [i for _, i in hashes[:60]]
+    assert pu_quality.sample_ids(ids, 9000).count() == 5000 and pu_quality.sample_ids(ids.limit(0), 5).count() == 0
+
+
 # ---- languages ----
 
 def test_languages(spark, odd, empty):
