@@ -1,27 +1,30 @@
 """Training-order materialisation: token sequences in a keyed global order, as fixed-stride binary shards.
 
 Texts become sequences of a fixed number of token ids; every sequence gets a global slot by a Feistel permutation of its
-number. Shard ``slot // per_shard`` holds it at byte ``slot % per_shard * stride``, so a reader that knows the slot it
+number, which follows from the rows alone, not from their layout. Shard ``slot // per_shard`` holds it at byte ``slot % per_shard * stride``, so a reader that knows the slot it
 stopped at goes on from there by position, and a whole epoch is read front to back. Spark's own writer makes the files:
 a record is the little-endian ids of a sequence and one line feed, which the writer puts between records.
 """
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from repoindex.functions.sizing import small_side
 from repoindex.llm.batches import blocks, bound_batches
 from repoindex.llm.bpe import ByteBpe
-from repoindex.llm.sharding import permute
+from repoindex.llm.sharding import bucket_starts, permute
 from repoindex.session import scratch_path
 
 SEQUENCE = 256
 PER_SHARD = 1 << 16
 # Shards are written in so many turns: the shuffle of one turn is on disk at a time.
 TURNS = 6
+# Buckets of documents by content in which sequences are numbered; their counts are the only table that is broadcast.
+BUCKETS = 1 << 16
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -33,9 +36,31 @@ def stride(model: ByteBpe, length: int = SEQUENCE) -> int:
     return length * token_type(model).itemsize + 1
 
 
-def sequences(docs: DataFrame, model: ByteBpe, end: int, doc_id: str = "doc_id", text: str = "text",
-              length: int = SEQUENCE) -> DataFrame:
-    """(doc_id, sequence, n_tokens, payload): a text's ids and the end token, cut into sequences of ``length`` ids.
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The files of a shuffle go as soon as the query that made them has ended."""
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+
+
+def by_content(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(bucket, doc_id, text) in an order that follows from the rows: whole buckets one after the other in each task,
+    documents by id and text within.
+
+    A bucket is a hash of id and text, so copies of a text under ids of their own are spread over all of them.
+    """
+    rows = docs.select(F.pmod(F.xxhash64(doc_id, text), F.lit(BUCKETS)).cast("int").alias("bucket"),
+                       F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "text")
+
+
+def sequences(docs: DataFrame, model: ByteBpe, end: int, length: int = SEQUENCE) -> DataFrame:
+    """(bucket, doc_id, sequence, n_tokens, payload) of rows (bucket, doc_id, text): a text's ids and the end token, cut into
+    sequences of ``length`` ids.
 
     The last sequence of a text is filled up with the end token; n_tokens counts what is not filling. Whole texts are
     encoded; a null or empty text is one sequence of nothing but the end.
@@ -44,8 +69,8 @@ def sequences(docs: DataFrame, model: ByteBpe, end: int, doc_id: str = "doc_id",
 
     def run(batches):
         for whole in batches:
-            for batch in blocks(whole, 1):
-                ids, bounds = model.encode(batch.column(1))
+            for batch in blocks(whole, 2):
+                ids, bounds = model.encode(batch.column(2))
                 sizes = np.diff(bounds) + 1
                 counts = -(-sizes // length)
                 first = np.cumsum(counts) - counts
@@ -56,32 +81,31 @@ def sequences(docs: DataFrame, model: ByteBpe, end: int, doc_id: str = "doc_id",
                 width = length * kind.itemsize
                 payload = pa.FixedSizeBinaryArray.from_buffers(
                     pa.binary(width), len(owner), [None, pa.py_buffer(rows.view(np.uint8))]).cast(pa.binary())
+                whose = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(owner)), pa.array(place),
+                    [batch.column(0).take(whose), batch.column(1).take(whose), pa.array(place),
                      pa.array(np.minimum(sizes[owner] - place * length, length)), payload],
-                    ["doc_id", "sequence", "n_tokens", "payload"])
+                    ["bucket", "doc_id", "sequence", "n_tokens", "payload"])
 
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    return bound_batches(docs).select(doc_id, text).mapInArrow(
-        run, f"doc_id {id_type}, sequence long, n_tokens long, payload binary")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"bucket int, doc_id {id_type}, sequence long, n_tokens long, payload binary")
 
 
 def order_sequences(staged_sequences: DataFrame, key: int, per_shard: int = PER_SHARD) -> DataFrame:
-    """Add slot and shard to staged sequences; their numbers are the places in the staged table.
+    """Add slot and shard to staged sequences. Their number is that of their bucket's first sequence and their place in the
+    bucket.
 
-    ``place`` says in which task and at which row of it a sequence was written; the counts per task, the only thing that
-    is joined, are a row per task.
+    ``place`` says where a sequence was written: those of a bucket stand one after the other in one task. What is joined
+    are first number and first place of each bucket, ``BUCKETS`` rows at most.
     """
-    rows = staged_sequences.withColumn("task", F.shiftright("place", 33))
-    counts = rows.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
-    before = W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.orderBy("task").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    first = counts.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"),
-                          F.sum("n").over(everything).alias("total"))
-    numbered = rows.join(small_side(first), "task").withColumn(
-        "number", F.col("first") + F.col("place").bitwiseAND((1 << 33) - 1))
-    return permute(numbered, "number", "total", key, "slot").withColumn(
-        "shard", F.floor(F.col("slot") / per_shard).cast("int")).drop("task", "first", "number", "total", "place")
+    counts = staged_sequences.groupBy(F.col("bucket").alias("_bucket")).agg(
+        F.count(F.lit(1)).alias("_count"), F.min("place").alias("_place"))
+    starts = counts.select("_bucket", "_place").join(bucket_starts(counts), "_bucket")
+    numbered = staged_sequences.join(F.broadcast(starts), F.col("bucket") == F.col("_bucket")).withColumn(
+        "number", F.col("_first") + F.col("place") - F.col("_place"))
+    return permute(numbered, "number", "_total", key, "slot").withColumn(
+        "shard", F.floor(F.col("slot") / per_shard).cast("int")).drop(
+            "bucket", "_bucket", "_first", "_place", "_total", "number", "place")
 
 
 def _finished(spark: SparkSession, path: str) -> bool:
@@ -101,10 +125,8 @@ def write_shards(ordered: DataFrame, path: str, shards: int, turns: int = TURNS)
     broken off is.
     """
     spark = ordered.sparkSession
-    before = spark.conf.get(CLEAN_SHUFFLES, "false")
-    spark.conf.set(CLEAN_SHUFFLES, "true")
-    try:
-        size = turn_size(shards, turns)
+    size = turn_size(shards, turns)
+    with _shuffles_removed(spark):
         for first in range(0, shards, size):
             if _finished(spark, f"{path}/turn={first}"):
                 continue
@@ -112,8 +134,6 @@ def write_shards(ordered: DataFrame, path: str, shards: int, turns: int = TURNS)
             part.repartitionById(size, F.col("shard") - first).sortWithinPartitions("shard", "slot").select(
                 "shard", F.col("payload").cast("string").alias("value")).write.mode("overwrite").partitionBy(
                     "shard").text(f"{path}/turn={first}")
-    finally:
-        spark.conf.set(CLEAN_SHUFFLES, before)
 
 
 def place_of(slot: int, model: ByteBpe, per_shard: int = PER_SHARD, length: int = SEQUENCE) -> tuple[int, int]:
@@ -132,10 +152,11 @@ def materialise(docs: DataFrame, model: ByteBpe, key: int, end: int, path: str |
     """Write all shards below ``path`` (default: a new folder in the shared one) and return their manifest.
 
     One row per sequence: slot (0 .. total - 1, each once), shard, the folder of its one file below ``path``, offset in
-    bytes, doc_id, sequence, n_tokens and the CRC-32 of the ids. A call on the path of one that was broken off goes on with
-    what that staged and finished; one with other parameters is refused, and the documents are taken to be the same. Sequences are encoded once and staged in the shared folder, their numbers are their places there;
-    the same files, split the same way, and key give the same slots. Repeated documents have sequences of their own,
-    null ids stay null, an empty table writes nothing and returns no rows.
+    bytes, doc_id, sequence, n_tokens and the CRC-32 of the ids. The same rows and key give the same slots, however the rows
+    are laid out in files and partitions; sequences are encoded once and staged in the shared folder. A call on the path of
+    one that was broken off goes on with what that staged and finished; one with other parameters is refused, and the
+    documents are taken to be the same. Repeated documents have sequences of their own (rows alike in id and text are one
+    bucket), null ids stay null, an empty table writes nothing and returns no rows; other columns are not read.
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-shards")
@@ -144,9 +165,11 @@ def materialise(docs: DataFrame, model: ByteBpe, key: int, end: int, path: str |
         spark.createDataFrame([(job,)], "job string").coalesce(1).write.mode("overwrite").text(f"{path}/job")
     elif [r[0] for r in spark.read.text(f"{path}/job").collect()] != [job]:
         raise ValueError(f"{path} holds the shards of another job")
-    made = sequences(docs, model, end, length=length).withColumn("place", F.monotonically_increasing_id())
+    made = sequences(by_content(bound_batches(docs)), model, end, length).withColumn(
+        "place", F.monotonically_increasing_id())
     if not _finished(spark, f"{path}/staged"):
-        made.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/staged")
+        with _shuffles_removed(spark):
+            made.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/staged")
     made = spark.read.schema(made.schema).parquet(f"{path}/staged")
     total = made.count()
     ordered = order_sequences(made, key, per_shard)

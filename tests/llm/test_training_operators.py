@@ -109,6 +109,22 @@ def test_token_shards_round_trip(spark, model, tmp_path):
         assert zlib.crc32(record.tobytes()) == r.ids_crc32
 
 
+def test_token_slots_do_not_depend_on_the_layout(spark, model, odd, tmp_path):
+    """The same slots for rows in any order and partitioning, copies and null ids included, and others for another key."""
+    docs = docs_of(spark, [f"word {n} " * (n % 40) for n in range(300)]).select("doc_id", "text").unionByName(
+        odd.select("doc_id", "text"))
+
+    def slots(rows, key=5):
+        path = str(tmp_path / f"{len(list(tmp_path.iterdir()))}")
+        found = token_shards.materialise(rows, model, key, 50256, path, length=16, per_shard=64, turns=2)
+        return sorted(map(str, found.select("slot", "doc_id", "sequence", "ids_crc32").collect()))
+
+    first = slots(docs)
+    assert slots(docs.repartition(7).sortWithinPartitions(F.desc("doc_id"))) == first
+    assert slots(docs.coalesce(1).orderBy(F.rand(3))) == first
+    assert slots(docs, 6) != first
+
+
 def test_broken_shards_go_on(spark, model, tmp_path, odd):
     """A broken write goes on without encoding or finished turns; odd rows, null ids and repeated rows are whole."""
     import shutil
