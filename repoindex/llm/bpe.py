@@ -8,6 +8,7 @@ The ids are those of the ``tokenizers`` library for a byte-level model without n
 
 import json
 import unicodedata
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -164,13 +165,12 @@ class ByteBpe:
         spelled = words.to_pylist()
         if len(self.known) + len(spelled) > KNOWN_WORDS:
             self.known, self.known_ids, self.known_bounds = {}, np.zeros(0, np.int64), np.zeros(1, np.int64)
-        places = np.fromiter((self.known.get(w, -1) for w in spelled), np.int64, len(spelled))
+        places = np.fromiter(map(self.known.get, spelled, repeat(-1)), np.int64, len(spelled))
         fresh = np.flatnonzero(places < 0)
         if len(fresh):
             ids, bounds = self.merge_words(words.take(pa.array(fresh)))
             places[fresh] = len(self.known) + np.arange(len(fresh))
-            for at, place in zip(fresh.tolist(), places[fresh].tolist(), strict=True):
-                self.known[spelled[at]] = place
+            self.known.update(zip(map(spelled.__getitem__, fresh.tolist()), places[fresh].tolist(), strict=True))
             self.known_bounds = np.concatenate([self.known_bounds, self.known_bounds[-1] + bounds[1:]])
             self.known_ids = np.concatenate([self.known_ids, ids])
         return ragged_take(self.known_ids, self.known_bounds, places)
@@ -178,7 +178,8 @@ class ByteBpe:
     def merge_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each word, laid end to end, and where each word's begin."""
         count = len(words)
-        numbers = np.fromiter((self.specials.get(w, -1) for w in words.to_pylist()), np.int64, count)
+        special = pc.index_in(words, pa.array(list(self.specials), words.type))
+        numbers = np.array([*self.specials.values(), -1], np.int64)[special.fill_null(-1).to_numpy()]
         flat, offsets = _flat_binary(words)
         word = np.repeat(np.arange(count), np.diff(offsets))
         plain = numbers[word] < 0
