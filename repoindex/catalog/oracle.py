@@ -298,19 +298,13 @@ STEPS = {
                     WHEN d.files = 0 THEN 'noop_advance' WHEN d.files > 0 THEN 'incremental'
                     ELSE 'failed' END AS action
         FROM v_registry r LEFT JOIN v_heads h USING (namespace) LEFT JOIN c_diffs d USING (namespace)""",
-    # Files as single chunks: real text, and the same with a mark.
-    "w_files": rf"""
-        SELECT f.namespace,
-               CASE WHEN regexp_matches(f.file_path, '\.(md|txt|yml)$') THEN 'docs' ELSE 'code' END AS kind,
-               sha256(concat(f.namespace, ':', f.file_path, ':0')) AS id, f.file_path, p.package,
-               regexp_replace(f.text, '^[{WHITESPACE}]+|[{WHITESPACE}]+$', '', 'g') AS text,
-               regexp_replace(concat('old: ', f.text), '^[{WHITESPACE}]+|[{WHITESPACE}]+$', '', 'g') AS old_text
-        FROM v_files f JOIN f_packages p USING (namespace, file_path)
-        WHERE NOT regexp_matches(f.file_path, '\.(min\.js|json)$') AND regexp_matches(f.text, '[^{WHITESPACE}]')""",
-    "w_reindexed": """
-        SELECT w.namespace, w.kind, w.id, w.file_path, '' AS package, 0 AS chunk_index,
-               CASE c.op WHEN 'changed' THEN w.text ELSE w.old_text END AS text
-        FROM w_files w LEFT JOIN c_latest c USING (namespace, file_path) WHERE c.op IS DISTINCT FROM 'deleted'""",
+    # What a sync deletes by path, and the chunks it brings.
+    "c_listed": """
+        SELECT namespace, file_path, op FROM c_latest JOIN c_plan USING (namespace) WHERE action = 'incremental'""",
+    "c_incoming": """
+        SELECT s.* FROM s_chunks s
+        WHERE namespace IN (SELECT namespace FROM c_plan WHERE action LIKE 'full%')
+              OR (namespace, file_path) IN (SELECT (namespace, file_path) FROM c_listed WHERE op = 'changed')""",
 }
 
 # The same searches over English lexemes.
@@ -346,12 +340,18 @@ _STEMMED = [*_CHUNKS, "v_queries", "t_chunks", "t_any", "e_stems", "e_chunks"]
 _FUSED = [*_ANY, "any_hits", *_VECTOR, "fused"]
 _HYBRID = [*_FUSED, "hybrid"]
 _CHANGES = ["v_files", "v_changes"]
-_WHOLE = ["v_files", "v_manifests", "f_packages", "w_files"]
 _SPLIT = ["v_files", "v_manifests", "f_packages", "s_files", "s_pieces", "s_runs", "s_windows", "s_chunks"]
 _OLD = ["o_files", "o_pieces", "o_runs", "o_windows", "o_chunks"]
 _SEARCHED = [*_SPLIT, "v_queries", "x_chunks", "t_any", "x_shares", "x_ranked", "x_hits", "s_cells", "question_cells", "x_lists",
              "question_lists", "x_distances", "x_vector_hits", "x_fused", "x_hybrid"]
 _ROWS = "namespace, kind, id, file_path, package, chunk_index, text"
+_UNNAMED = _ROWS.replace("package", "'' AS package")
+_REINDEXED = ([*_SPLIT, *_OLD, "v_changes", "c_latest"], f"""
+    SELECT {_ROWS} FROM o_chunks
+    WHERE (namespace, file_path) NOT IN (SELECT (namespace, file_path) FROM c_latest)
+    UNION ALL SELECT {_UNNAMED} FROM s_chunks
+    WHERE (namespace, file_path) IN (SELECT (namespace, file_path) FROM c_latest WHERE op = 'changed')""")
+_SYNCED = [*_SPLIT, *_OLD, "v_changes", "c_latest", "v_registry", "v_heads", "c_diffs", "c_plan", "c_listed", "c_incoming"]
 
 # Query → steps it needs, and its final SELECT.
 CHECKS: dict[str, tuple[list[str], str]] = {
@@ -565,31 +565,28 @@ CHECKS: dict[str, tuple[list[str], str]] = {
         SELECT query_id, namespace, kind, place, id, score, file_path, package FROM x_hybrid"""),
     "hybrid_over_indexes": (_SEARCHED, """
         SELECT query_id, namespace, kind, place, id, score, file_path, package FROM x_hybrid"""),
-    "store_postings": (_WHOLE, f"""
+    "store_postings": ([*_SPLIT, *_OLD], f"""
         SELECT namespace, kind, id, lexeme, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions
         FROM (SELECT namespace, kind, id, unnest(range(1, len(w) + 1))::INT AS pos, unnest(w) AS lexeme
-              FROM (SELECT namespace, kind, id, {_tokens('text')} AS w FROM w_files)) GROUP BY ALL"""),
-    "reindex_store": ([*_SPLIT, *_OLD, "v_changes", "c_latest"], f"""
-        SELECT {_ROWS} FROM o_chunks
-        WHERE (namespace, file_path) NOT IN (SELECT (namespace, file_path) FROM c_latest)
-        UNION ALL SELECT {_ROWS.replace('package', "'' AS package")} FROM s_chunks
-        WHERE (namespace, file_path) IN (SELECT (namespace, file_path) FROM c_latest WHERE op = 'changed')"""),
-    "reindex_raw_namespace": ([*_WHOLE, "v_changes", "c_latest", "w_reindexed"], "SELECT * FROM w_reindexed"),
-    "stream_late_events": ([*_WHOLE, "v_changes", "c_latest", "w_reindexed"], "SELECT * FROM w_reindexed"),
-    "stream_reindexed": ([*_WHOLE, "v_changes", "c_latest", "w_reindexed"], "SELECT * FROM w_reindexed"),
-    "sync_apply": ([*_WHOLE, "v_changes", "c_latest", "v_registry", "v_heads", "c_diffs", "c_plan"], """
-        SELECT w.namespace, w.kind, w.id, w.file_path, '' AS package, 0 AS chunk_index,
-               CASE WHEN p.action LIKE 'full%' OR (p.action = 'incremental' AND c.op = 'changed')
-                    THEN w.text ELSE w.old_text END AS text
-        FROM w_files w JOIN c_plan p USING (namespace) LEFT JOIN c_latest c USING (namespace, file_path)
-        WHERE NOT (p.action = 'incremental' AND c.op IS NOT DISTINCT FROM 'deleted')"""),
-    "sync_report": ([*_WHOLE, "v_changes", "c_latest", "v_registry", "v_heads", "c_diffs", "c_plan"], """
+              FROM (SELECT namespace, kind, id, {_tokens('text')} AS w FROM s_chunks
+                    UNION ALL SELECT namespace, kind, id, {_tokens('text')} FROM o_chunks
+                    WHERE id NOT IN (SELECT id FROM s_chunks))) GROUP BY ALL"""),
+    "reindex_store": _REINDEXED,
+    "reindex_raw_namespace": _REINDEXED,
+    "stream_late_events": _REINDEXED,
+    "stream_reindexed": _REINDEXED,
+    "sync_apply": (_SYNCED, f"""
+        SELECT {_UNNAMED} FROM c_incoming
+        UNION ALL SELECT {_ROWS} FROM o_chunks
+        WHERE (namespace, file_path) NOT IN (SELECT (namespace, file_path) FROM c_listed)
+              AND id NOT IN (SELECT id FROM c_incoming)"""),
+    "sync_report": (_SYNCED, """
         SELECT p.namespace, p.action, p.short_head, CASE p.action WHEN 'failed' THEN 'failed' ELSE 'ok' END AS status,
-               count(*) FILTER (p.action = 'incremental' AND c.op IS NOT NULL AND w.id IS NOT NULL) AS deleted,
-               count(*) FILTER (w.id IS NOT NULL AND (p.action LIKE 'full%' OR (p.action = 'incremental'
-                                                                                AND c.op = 'changed'))) AS chunks
-        FROM c_plan p LEFT JOIN w_files w USING (namespace) LEFT JOIN c_latest c USING (namespace, file_path)
-        GROUP BY ALL"""),
+               coalesce(d.n, 0) AS deleted, coalesce(i.n, 0) AS chunks
+        FROM c_plan p
+        LEFT JOIN (SELECT namespace, count(*) AS n FROM o_chunks JOIN c_listed USING (namespace, file_path)
+                   GROUP BY ALL) d USING (namespace)
+        LEFT JOIN (SELECT namespace, count(*) AS n FROM c_incoming GROUP BY ALL) i USING (namespace)"""),
     "sync_registry": ([*_CHANGES, "v_registry", "v_heads", "c_diffs", "c_plan"], """
         SELECT namespace, repo_url,
                CASE WHEN action IN ('failed', 'up_to_date') THEN last_commit_sha ELSE head END AS last_commit_sha,

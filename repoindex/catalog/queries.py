@@ -10,7 +10,6 @@ from repoindex.functions import columns as C
 from repoindex.functions.embedding import embed, hash_embed
 from repoindex.functions.vectors import cosine_distance
 from repoindex.operators import browse, changes as ch, chunk_checks, registry as reg, upserts
-from repoindex.operators.chunking import ChunkRule
 from repoindex.operators.fulltext import fts_match, fts_rank, fts_topk, query_clauses
 from repoindex.operators.fusion import best_fused, context_string, prompt_rows, rrf_fuse
 from repoindex.operators.packages import nearest_package
@@ -32,9 +31,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 DIM = 64
-# One chunk per file: results that SQL can state in full.
-WHOLE_FILES = {"code": ChunkRule(1 << 30, 0), "docs": ChunkRule(1 << 30, 0)}
-WHOLE = IndexOptions(rules=WHOLE_FILES, dim=DIM, config="simple", buckets=4)
 # The ordinary chunk rules.
 CHUNKED = IndexOptions(dim=DIM, config="simple", buckets=4)
 CHUNK_KEYS = ["namespace", "kind", "id"]
@@ -161,7 +157,7 @@ def ingest_trees(spark, sf_dir):
 @query
 def reindex_trees(spark, sf_dir):
     """Changes applied from the trees: only the changed files are opened, and the manifests above them."""
-    store = _old_store(spark, sf_dir, "changed-trees", CHUNKED)
+    store = _old_store(spark, sf_dir, "changed-trees")
     indexing.reindex_trees(spark, store, _roots(spark, sf_dir), _latest_changes(spark, sf_dir), CHUNKED)
     return read_chunks(spark, store).select(*ROW_COLUMNS)
 
@@ -680,7 +676,7 @@ def ingest_chunks(spark, sf_dir):
 def ingest_store(spark, sf_dir):
     """The same through a store: longer old texts first, then the real ones over them. Chunks that only the old texts had
     stay, as an ingest by upsert leaves them."""
-    store = _old_store(spark, sf_dir, "store", CHUNKED)
+    store = _old_store(spark, sf_dir, "store")
     ingest(spark, store, _files(spark, sf_dir), _manifests(spark, sf_dir), options=CHUNKED)
     return read_chunks(spark, store).select(*ROW_COLUMNS)
 
@@ -709,39 +705,39 @@ def hybrid_over_indexes(spark, sf_dir):
 
 @query
 def store_postings(spark, sf_dir):
-    """The postings of a store after its files were indexed twice: those of the present texts, whole files each."""
+    """The postings of a store whose files were indexed twice: those of the present chunks, and of old ones beyond the last."""
     store = _old_store(spark, sf_dir, "postings")
-    ingest(spark, store, _files(spark, sf_dir), _manifests(spark, sf_dir), options=WHOLE)
+    ingest(spark, store, _files(spark, sf_dir), _manifests(spark, sf_dir), options=CHUNKED)
     rows = read_postings(spark, store).select(*CHUNK_KEYS, "lexeme", "positions")
     return rows.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
-def _old_store(spark, sf_dir, name, options=WHOLE):
-    """A store of every file with a mark, so that what a later run renews can be told. With real chunks the old text is
-    the file twice, so that files shrink."""
+def _old_store(spark, sf_dir, name):
+    """A store of every file with a mark, so that what a later run renews can be told; the old text is the file twice, so
+    that files shrink."""
     store = scratch_path(spark, name)
-    text = F.concat(F.lit("old: "), "text") if options is WHOLE else F.concat(F.lit("old: "), "text", F.lit("\n"), "text")
-    ingest(spark, store, _files(spark, sf_dir).withColumn("text", text), options=options)
+    text = F.concat(F.lit("old: "), "text", F.lit("\n"), "text")
+    ingest(spark, store, _files(spark, sf_dir).withColumn("text", text), options=CHUNKED)
     return store
 
 
 @query
 def reindex_store(spark, sf_dir):
     """Changed files shrink to their present chunks, deleted ones go, all others keep their old ones."""
-    store = _old_store(spark, sf_dir, "reindex", CHUNKED)
+    store = _old_store(spark, sf_dir, "reindex")
     reindex(spark, store, _files(spark, sf_dir), _latest_changes(spark, sf_dir), options=CHUNKED)
     return read_chunks(spark, store).select(*ROW_COLUMNS)
 
 
 @query
 def stream_reindexed(spark, sf_dir):
-    """A reindex of whole files from a streamed feed of the changes."""
+    """A reindex from a streamed feed of the changes."""
     store = _old_store(spark, sf_dir, "stream")
     feed_path = scratch_path(spark, "feed")
     feed = _feed(view(spark, sf_dir, "v_changes"))
     feed.write.parquet(feed_path)
     stream = spark.readStream.schema(feed.schema).parquet(feed_path)
-    stream_reindex(stream, _files(spark, sf_dir), store, f"{store}/progress", options=WHOLE).awaitTermination()
+    stream_reindex(stream, _files(spark, sf_dir), store, f"{store}/progress", options=CHUNKED).awaitTermination()
     return read_chunks(spark, store).select(*ROW_COLUMNS)
 
 
@@ -752,7 +748,7 @@ def reindex_raw_namespace(spark, sf_dir):
         return df.withColumn("namespace", F.upper(F.replace("namespace", F.lit("_"), F.lit("-"))))
 
     store = _old_store(spark, sf_dir, "reindex-raw")
-    reindex(spark, store, raw(_files(spark, sf_dir)), raw(_latest_changes(spark, sf_dir)), options=WHOLE)
+    reindex(spark, store, raw(_files(spark, sf_dir)), raw(_latest_changes(spark, sf_dir)), options=CHUNKED)
     return read_chunks(spark, store).select(*ROW_COLUMNS)
 
 
@@ -764,7 +760,7 @@ def stream_late_events(spark, sf_dir):
     feed = _feed(view(spark, sf_dir, "v_changes"))
     feed.repartition(3, F.xxhash64("event_id")).write.parquet(feed_path)
     stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(feed_path)
-    stream_reindex(stream, _files(spark, sf_dir), store, f"{store}/progress", options=WHOLE).awaitTermination()
+    stream_reindex(stream, _files(spark, sf_dir), store, f"{store}/progress", options=CHUNKED).awaitTermination()
     return read_chunks(spark, store).select(*ROW_COLUMNS)
 
 
@@ -773,7 +769,7 @@ def _synced(spark, sf_dir):
     commit(spark, store, registry=view(spark, sf_dir, "v_registry"), config="simple")
     report = sync(spark, store, view(spark, sf_dir, "v_heads"), _diffs(spark, sf_dir),
                   _latest_changes(spark, sf_dir).select(*CHANGE_SCHEMA.names), _files(spark, sf_dir),
-                  now=F.lit("2024-06-01 00:00:00").cast("timestamp"), options=WHOLE)
+                  now=F.lit("2024-06-01 00:00:00").cast("timestamp"), options=CHUNKED)
     return store, report
 
 
