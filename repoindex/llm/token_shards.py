@@ -12,17 +12,18 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from repoindex.llm.batches import blocks, bound_batches
+from repoindex.llm.batches import blocks, bound_batches, staged
 from repoindex.llm.bpe import ByteBpe
-from repoindex.llm.sharding import bucket_starts, permute
+from repoindex.llm.sharding import permute
 from repoindex.session import scratch_path
 
 SEQUENCE = 256
 PER_SHARD = 1 << 16
 # Shards are written in so many turns: the shuffle of one turn is on disk at a time.
-TURNS = 6
+TURNS = 3
 # Buckets of documents by content in which sequences are numbered; their counts are the only table that is broadcast.
 BUCKETS = 1 << 16
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -96,16 +97,20 @@ def order_sequences(staged_sequences: DataFrame, key: int, per_shard: int = PER_
     bucket.
 
     ``place`` says where a sequence was written: those of a bucket stand one after the other in one task. What is joined
-    are first number and first place of each bucket, ``BUCKETS`` rows at most.
+    is how far numbers and places of each bucket are apart, ``BUCKETS`` rows at most, staged once for all turns.
     """
     counts = staged_sequences.groupBy(F.col("bucket").alias("_bucket")).agg(
-        F.count(F.lit(1)).alias("_count"), F.min("place").alias("_place"))
-    starts = counts.select("_bucket", "_place").join(bucket_starts(counts), "_bucket")
-    numbered = staged_sequences.join(F.broadcast(starts), F.col("bucket") == F.col("_bucket")).withColumn(
-        "number", F.col("_first") + F.col("place") - F.col("_place"))
-    return permute(numbered, "number", "_total", key, "slot").withColumn(
+        F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    everything = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    shifts = staged(counts.select(
+        "_bucket", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("_shift"),
+        F.sum("n").over(everything).alias("_total")), "shard-buckets")
+    numbered = staged_sequences.join(F.broadcast(shifts), F.col("bucket") == F.col("_bucket")).withColumn(
+        "_number", F.col("place") + F.col("_shift"))
+    return permute(numbered, "_number", "_total", key, "slot").withColumn(
         "shard", F.floor(F.col("slot") / per_shard).cast("int")).drop(
-            "bucket", "_bucket", "_first", "_place", "_total", "number", "place")
+            "bucket", "_bucket", "_shift", "_total", "_number", "place")
 
 
 def _finished(spark: SparkSession, path: str) -> bool:
