@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from repoindex.operators import text_index as X
+from repoindex.operators import fulltext, text_index as X
 from repoindex.operators.fulltext import fts_match, fts_rank, fts_topk, query_clauses
 from repoindex.operators.postings import build_postings
 from repoindex.plans.search import text_hits
@@ -110,3 +111,36 @@ def test_counts(chunks, index):
     want = build_postings(chunks, "simple").groupBy("namespace", "kind", "lexeme").agg(
         F.count("*").alias("chunks"), F.max(F.size("positions")).alias("most"))
     assert sorted(map(str, index.counts.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("at_a_time", [1, 1 << 18])
+def test_postings_move_once_however_many_questions_ask(spark, chunks, monkeypatch, at_a_time):
+    monkeypatch.setattr(fulltext, "ENTRIES_AT_A_TIME", at_a_time)
+    asked, universe = clauses(spark, QUESTIONS * 2), chunks.select("namespace", "kind", "id")
+    matches = fts_match(build_postings(chunks, "simple"), asked, universe)
+    plan = matches._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id#" not in plan.split("Generate explode")[0].split("BroadcastExchange")[0]
+    assert plan.count("hashpartitioning(namespace#") == 1
+    got = sorted(map(str, fts_rank(matches).collect()))
+    monkeypatch.setattr(fulltext, "few_lexemes", lambda clauses: None)
+    assert got == sorted(map(str, fts_rank(fts_match(build_postings(chunks, "simple"), asked, universe)).collect()))
+
+
+@pytest.mark.parametrize("k", [20, 2])
+def test_seeds_of_very_many_chunks_move_postings_once(spark, chunks, index, monkeypatch, k):
+    monkeypatch.setattr(X, "LOOKED_UP", 0)
+    monkeypatch.setattr(X, "FIRST_ROWS", 10)
+    monkeypatch.setattr(X, "_touched", None)
+    asked = clauses(spark, QUESTIONS)
+    every = fts_topk(fts_rank(fts_match(build_postings(chunks, "simple"), asked, chunks.select("namespace", "kind", "id"))), k)
+    assert listed(X.text_topk(index, asked, k, chunks, "simple")) == listed(every)
+
+
+def test_index_files_hold_ids_in_half_their_length(spark, chunks, tmp_path):
+    """Ids are hashes: without an entropy coder every posting takes all 64 digits of its chunk's."""
+    hashed = chunks.withColumn("id", F.sha2("id", 256))
+    X.write_text_index(build_postings(hashed, "simple"), str(tmp_path / "i"), 4)
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "i" / "lexemes").rglob("*.parquet")]
+    groups = [m.row_group(g) for m in files for g in range(m.num_row_groups)]
+    ids = [g.column(c) for g in groups for c in range(g.num_columns) if g.column(c).path_in_schema == "id"]
+    assert sum(c.total_compressed_size for c in ids) < 0.7 * sum(c.total_uncompressed_size for c in ids)
