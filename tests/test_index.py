@@ -1,9 +1,11 @@
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from repoindex.operators.chunking import ChunkRule
+from repoindex.operators.postings import build_postings
 from repoindex.plans.indexing import (
     IndexOptions, failed_namespaces, ingest, ingest_trees, reindex, reindex_trees, sync, tree_files,
 )
@@ -412,3 +414,21 @@ def test_asked_health_rows(spark):
     asked = spark.createDataFrame([("N",), ("n",), ("r",), ("Who-Knows",), (None,)], "namespace string")
     got = {r.namespace: (r.repo_url, r.total_chunks) for r in namespace_info(chunks, known, asked).collect()}
     assert got == {"n": (None, 2), "r": ("u", 0), "who_knows": (None, 0)}
+
+
+def test_postings_are_made_where_texts_have_moved(spark, tmp_path, monkeypatch):
+    """Texts are shuffled, not their postings; a large bucket is cut into parts; files lie by lexeme."""
+    monkeypatch.setattr(S, "TEXT_PER_TASK", 4000)
+    rows = [(f"{n:064x}", [0.0] * 8, f"w{n % 5} x{n % 7} y " * 60, f"f{n % 9}.py", "", n, "n", "code" if n % 2 else "docs")
+            for n in range(90)]
+    S.write_chunks(spark.createDataFrame(rows, CHUNK_SCHEMA), str(tmp_path), "simple", buckets=2)
+    stored = S.read_chunks(spark, str(tmp_path))
+    texts = S._spread_by_text(stored)
+    assert texts.rdd.getNumPartitions() >= 8 and texts.count() == 90
+    columns = ["namespace", "kind", "id", "lexeme", "positions"]
+    want = sorted(map(str, build_postings(stored.drop("bucket"), "simple").select(columns).collect()))
+    assert sorted(map(str, S.read_postings(spark, str(tmp_path)).select(columns).collect())) == want
+    for file in (tmp_path / "postings").rglob("*.parquet"):
+        words = pq.read_table(str(file), columns=["lexeme"], partitioning=None)["lexeme"].to_pylist()
+        assert words == sorted(words)
+        assert pq.ParquetFile(file).metadata.row_group(0).column(0).compression == "ZSTD"
