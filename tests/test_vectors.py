@@ -52,6 +52,14 @@ def test_blocks_of_questions_give_the_same(data, monkeypatch):
     assert hits(V.vector_topk(vectors, queries, 5, block=3)) == brute_force(rows, asked, 5)
 
 
+def test_blocks_of_questions_share_one_sort(data):
+    vectors, queries, *_ = data
+    index = A.fit_cells(vectors, cells=5)
+    for found in (V.vector_topk(vectors, queries, 5, block=2), A.cell_topk(index, queries, 5, probes=5, block=2)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") > 3 and plan.count("RunningWindowFunction") + plan.count("Window [") <= 2
+
+
 def test_bound_keeps_tasks_from_sending_rows(spark):
     rng = np.random.default_rng(3)
     rows = [("n", "code", f"{n:05d}", [float(x) for x in rng.standard_normal(8)]) for n in range(4000)]
