@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from repoindex.functions import tokens
+from repoindex.functions.embedding import embed
 from repoindex.functions.stemmer import lexeme, stem
 from repoindex.operators.fulltext import fts_match, fts_rank, fts_topk, query_clauses
 from repoindex.operators.postings import build_postings, lexemes
@@ -106,3 +108,16 @@ def test_topk_ties_by_id(spark):
                                    "query_id long, namespace string, kind string, id string, rank double")
     rows = fts_topk(ranked, 2).orderBy("rn").collect()
     assert [(r.id, r.rn) for r in rows] == [("a", 1), ("b", 2)]
+
+
+@pytest.mark.parametrize("config", ["simple", "english"])
+def test_batches_are_worked_on_in_parts(spark, monkeypatch, config):
+    """Parts of a batch, one with a row of more tokens than a part has and empty rows between, give what the whole gives."""
+    rows = [("n", "docs", f"{n}", "" if n % 3 == 1 else f"the w{n % 4} cats w{n % 4} ran " * (n % 5 + 1)) for n in range(40)]
+    long = spark.createDataFrame(rows, "namespace string, kind string, id string, text string").coalesce(1)
+    whole = (sorted(map(str, build_postings(long, config).collect())), sorted(map(str, embed(long, "text", dim=8).collect())))
+    monkeypatch.setattr(tokens, "TOKENS_AT_A_TIME", 7)
+    parts = list(tokens.token_parts(np.array([0, 3, 0, 20, 2, 0])))
+    assert parts == [(slice(0, 4), slice(0, 23)), (slice(4, 6), slice(23, 25))]
+    assert whole == (sorted(map(str, build_postings(long, config).collect())),
+                     sorted(map(str, embed(long, "text", dim=8).collect())))
