@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoindex.functions import columns as C
-from repoindex.functions.sizing import small_side
+from repoindex.functions.sizing import having
 from repoindex.schemas import COMPARE_SCHEMA
 
 
@@ -17,7 +17,7 @@ def restrict_to(files: DataFrame, changes: DataFrame) -> DataFrame:
     """Files whose path is listed, under whatever spelling of the namespace; listed paths without a file are ignored."""
     keys = changes.select(C.sanitise(F.col("namespace")).alias("_namespace"), "file_path").distinct()
     named = files.withColumn("_namespace", C.sanitise(F.col("namespace")))
-    return named.join(small_side(keys), ["_namespace", "file_path"], "left_semi").select(*files.columns)
+    return having(named, keys, ["_namespace", "file_path"]).select(*files.columns)
 
 
 def read_manifests(files: DataFrame) -> DataFrame:

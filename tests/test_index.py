@@ -10,6 +10,7 @@ from repoindex.plans.indexing import (
     IndexOptions, failed_namespaces, ingest, ingest_trees, reindex, reindex_trees, sync, tree_files,
 )
 from repoindex.plans.search import hybrid_store, hybrid_topk
+from repoindex.functions import sizing
 from repoindex.functions.embedding import embed
 from repoindex.schemas import CHUNK_SCHEMA, COMPARE_SCHEMA
 from repoindex.sources import store as S
@@ -432,3 +433,88 @@ def test_postings_are_made_where_texts_have_moved(spark, tmp_path, monkeypatch):
         words = pq.read_table(str(file), columns=["lexeme"], partitioning=None)["lexeme"].to_pylist()
         assert words == sorted(words)
         assert pq.ParquetFile(file).metadata.row_group(0).column(0).compression == "ZSTD"
+
+
+def test_texts_move_once(spark, tmp_path):
+    """Chunk rows are written where they stay and nowhere else; files are cut so that postings are made as they are read."""
+    store = str(tmp_path / "s")
+    ingest(spark, store, files_of(spark, *[("n", f"{n}.py", f"t {n}") for n in range(20)]), options=OPTIONS)
+    reindex(spark, store, files_of(spark, ("n", "3.py", "new")),
+            spark.createDataFrame([("n", "3.py", "changed")], "namespace string, file_path string, op string"), options=OPTIONS)
+    staged = [pq.ParquetFile(f).schema_arrow.names for f in (tmp_path / "s" / "staging").rglob("*.parquet")]
+    assert staged and not any("text" in names for names in staged)
+    assert len(state(spark, store)) == 20 and words(spark, store) == fresh_words(spark, store)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_keys_leave_rows_in_place(spark, monkeypatch):
+    """More keys than are broadcast go as hashes; where a hash is not enough the keys themselves decide."""
+    monkeypatch.setattr(sizing, "is_small", lambda *a, **b: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = spark.createDataFrame([("n", f"{i}", "text") for i in range(20)] + [(None, "1", "text")],
+                                     "namespace string, id string, text string")
+        keys = rows.where("id < 5").select("namespace", "id").unionByName(
+            spark.createDataFrame([("n", None), ("n", "x")], "namespace string, id string"))
+        on = ["namespace", "id"]
+        without = sorted(map(str, rows.join(keys, on, "left_anti").collect()))
+        having = sorted(map(str, rows.join(keys, on, "left_semi").collect()))
+        side = sizing.keys_apart(rows, keys, on)
+        assert side.hashed and "Exchange hashpartitioning(namespace" not in _plan(side.without(rows))
+        assert sorted(map(str, side.without(rows).select(*rows.columns).collect())) == without
+        assert sorted(map(str, sizing.having(rows, keys, on).select(*rows.columns).collect())) == having
+        monkeypatch.setattr(sizing.F, "xxhash64", lambda *columns: F.lit(7).cast("long"))
+        side = sizing.keys_apart(rows, keys, on)
+        assert not side.hashed and not side.small
+        assert sorted(map(str, side.without(rows).select(*rows.columns).collect())) == without
+        assert sorted(map(str, sizing.having(rows, keys, on).select(*rows.columns).collect())) == having
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_reindex_of_many_paths(spark, tmp_path, monkeypatch):
+    """Lists too long to broadcast, as such or as hashes, give the same state."""
+    listed = spark.createDataFrame([("n", f"{n}.py", "deleted" if n % 2 else "changed") for n in range(10)],
+                                   "namespace string, file_path string, op string")
+    states = []
+    for n, most in enumerate((None, 1000, 3)):
+        if most is not None:
+            monkeypatch.setattr(sizing, "is_small", lambda *a, **b: False)
+            monkeypatch.setattr(sizing, "MAX_BROADCAST_HASHES", most)
+        store = str(tmp_path / f"s{n}")
+        ingest(spark, store, files_of(spark, *[("n", f"{n}.py", "an old and long text " * 3) for n in range(15)]), options=OPTIONS)
+        ingest(spark, store, files_of(spark, *[("n", f"{n}.py", "mid text") for n in range(12)]), options=OPTIONS)
+        reindex(spark, store, files_of(spark, *[("n", f"{n}.py", "new") for n in range(15)]), listed, options=OPTIONS)
+        states.append(state(spark, store))
+        assert words(spark, store) == fresh_words(spark, store)
+    assert states[0] == states[1] == states[2] and len({r[1] for r in states[0]}) == 10
+
+
+def test_short_files_are_merged(spark, tmp_path, monkeypatch):
+    """Kept rows are copied as they lie until a bucket has too many files."""
+    monkeypatch.setattr(S, "FILES_PER_BUCKET", 3)
+    most = 0
+    for n in range(7):
+        S.write_chunks(spark.createDataFrame(
+            [(f"{n:064x}", [0.0] * 8, f"word{n}", f"f{n}.py", "", 0, "n", "code")], CHUNK_SCHEMA), str(tmp_path), "simple", buckets=1)
+        run = S._run_of(spark, str(tmp_path), S.current_version(spark, str(tmp_path)))
+        most = max(most, S._space(spark, [f"{tmp_path}/chunks/run={run}"])[0])
+    assert most <= 6 and len(state(spark, str(tmp_path))) == 7
+
+
+@pytest.mark.parametrize("per_byte", [0, 1000])
+def test_postings_of_cut_files(spark, tmp_path, monkeypatch, per_byte):
+    """Postings are made from small splits of the chunk files, or after a shuffle where texts are very alike."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    monkeypatch.setattr(S, "TEXT_PER_TASK", 100)
+    monkeypatch.setattr(S, "ROW_GROUP", 2000)
+    monkeypatch.setattr(S, "TEXT_PER_BYTE", per_byte)
+    rows = [(f"{n:064x}", [float(n)] * 8, f"w{n} x{n % 7} y " * 9, f"f{n}.py", "", 0, "n", "code") for n in range(900)]
+    S.write_chunks(spark.createDataFrame(rows, CHUNK_SCHEMA), str(tmp_path), "simple", buckets=1)
+    assert words(spark, str(tmp_path)) == fresh_words(spark, str(tmp_path)) and len(words(spark, str(tmp_path))) == 2700
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    files = list((tmp_path / "chunks").rglob("*.parquet"))
+    assert max(pq.ParquetFile(f).num_row_groups for f in files) > 1
