@@ -505,6 +505,36 @@ def test_short_files_are_merged(spark, tmp_path, monkeypatch):
     assert most <= 6 and len(state(spark, str(tmp_path))) == 7
 
 
+def test_kept_rows_stay_where_they_are(spark, tmp_path):
+    """A commit writes new rows and the keys of those that go; a bucket most of whose rows are gone is written anew."""
+    store, texts = str(tmp_path), {f"{n}.py": f"old {n}" for n in range(6)}
+    options = IndexOptions(rules=OPTIONS.rules, dim=8, config="simple", buckets=1)
+    ingest(spark, store, files_of(spark, *[("n", p, t) for p, t in texts.items()], ("m", "a.py", "m")), options=options)
+    written, holders = [], []
+    for n in range(2):
+        changed, deleted = f"{2 * n}.py", f"{2 * n + 1}.py"
+        texts[changed] = f"new {n}"
+        del texts[deleted]
+        listed = spark.createDataFrame([("n", changed, "changed"), ("n", deleted, "deleted")], CHANGES)
+        version = reindex(spark, store, files_of(spark, ("n", changed, texts[changed])), listed, options=options)
+        run = S._run_of(spark, store, version)
+        written.append(spark.read.schema(CHUNK_SCHEMA).parquet(f"{store}/chunks/run={run}").count())
+        holders.append(S._live(spark, store, run).where("namespace = 'n' AND NOT gone").count())
+        assert state(spark, store) == [("m", "a.py", 0, "m"), *sorted(("n", p, 0, t) for p, t in texts.items())]
+        assert words(spark, store) == fresh_words(spark, store)
+    assert (written, holders) == ([1, 4], [2, 1])
+
+
+def test_rows_without_an_id_go_by_path(spark, tmp_path):
+    schema = "id string, embedding array<float>, text string, file_path string, package string, chunk_index int, namespace string, kind string"
+    for n in range(4):
+        rows = [(None if n < 2 else f"{n:064x}", [0.0] * 8, f"word{n}", f"f{n}.py", "", 0, "n", "code")]
+        S.write_chunks(spark.createDataFrame(rows, schema), str(tmp_path), "simple", buckets=1)
+    S.commit(spark, str(tmp_path), deletes=spark.createDataFrame([("N", "f0.py"), ("n", "f3.py")], "namespace string, file_path string"))
+    assert [r[1] for r in state(spark, str(tmp_path))] == ["f1.py", "f2.py"]
+    assert {r.lexeme for r in S.read_postings(spark, str(tmp_path)).collect()} == {"word1", "word2"}
+
+
 @pytest.mark.parametrize("per_byte", [0, 1000])
 def test_postings_of_cut_files(spark, tmp_path, monkeypatch, per_byte):
     """Postings are made from small splits of the chunk files, or after a shuffle where texts are very alike."""
