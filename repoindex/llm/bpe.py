@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from repoindex.llm.batches import add_columns, flat_text, ragged_take
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
+# Bytes of text encoded or of ids decoded at a time: the arrays of a block take some fifty times as much, and a worker keeps most of it.
+BLOCK_BYTES = 512 << 10
 # Words a task remembers; when full, it begins anew.
 KNOWN_WORDS = 150_000
 NO_RANK = np.iinfo(np.int64).max
@@ -270,7 +272,7 @@ def encode_texts(df: DataFrame, model: ByteBpe, text: str = "text") -> DataFrame
         ids, bounds = model.encode(columns[0])
         return [pa.array(np.diff(bounds)), _packed(ids, bounds)]
 
-    return add_columns(df, [text], fields, make)
+    return add_columns(df, [text], fields, make, BLOCK_BYTES)
 
 
 def decode_tokens(df: DataFrame, model: ByteBpe, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
@@ -280,7 +282,7 @@ def decode_tokens(df: DataFrame, model: ByteBpe, ids: str = "token_ids", into: s
         flat, bounds = _flat_binary(pc.fill_null(columns[0].cast(pa.large_binary()), b""))
         return [model.decode(np.ascontiguousarray(flat).view("<u4").astype(np.int64), bounds // 4)]
 
-    return add_columns(df, [ids], [T.StructField(into, T.StringType())], make)
+    return add_columns(df, [ids], [T.StructField(into, T.StringType())], make, BLOCK_BYTES)
 
 
 def encode_and_decode(df: DataFrame, model: ByteBpe, text: str = "text", into: str = "decoded") -> DataFrame:
@@ -295,4 +297,4 @@ def encode_and_decode(df: DataFrame, model: ByteBpe, text: str = "text", into: s
         return [pa.array(np.diff(bounds)), packed,
                 model.decode(np.ascontiguousarray(flat).view("<u4").astype(np.int64), places // 4)]
 
-    return add_columns(df, [text], fields, make)
+    return add_columns(df, [text], fields, make, BLOCK_BYTES)

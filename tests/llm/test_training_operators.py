@@ -76,6 +76,26 @@ def test_bpe_is_the_library(model):
     assert (again == ids).all()
 
 
+def test_bpe_blocks_are_small(spark, model):
+    """A worker keeps most of what the arrays of a block took, so texts go to the model half a megabyte at a time."""
+    class Sizes:
+        """Stands for a model: the one id of a text is the number of bytes in its block."""
+
+        def encode(self, texts):
+            size = sum(len(t) for t in texts.to_pylist())
+            return np.full(len(texts), size, np.int64), np.arange(len(texts) + 1)
+
+        def decode(self, ids, bounds):
+            return pa.array([str(len(ids))] * len(ids), pa.string())
+
+    docs = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    rows = bpe.encode_and_decode(docs, Sizes()).collect()
+    sizes = {int.from_bytes(r.token_ids, "little") for r in rows} | {int(r.decoded) * 10_000 for r in rows}
+    assert len(rows) == 300 and max(sizes) <= 512 << 10
+    sizes = {int.from_bytes(r.token_ids, "little") for r in bpe.encode_texts(docs, Sizes()).collect()}
+    assert max(sizes) <= 512 << 10
+
+
 def test_bpe_tables(odd, empty, model):
     rows = bpe.decode_tokens(bpe.encode_texts(odd, model), model).collect()
     assert len(rows) == odd.count() and all(r.decoded == (r.text or "") for r in rows)
