@@ -60,6 +60,30 @@ def test_blocks_of_questions_share_one_sort(data):
         assert plan.count("MapInArrow") > 3 and plan.count("RunningWindowFunction") + plan.count("Window [") <= 2
 
 
+def test_many_blocks_of_questions_are_dealt_out(spark, data, monkeypatch):
+    vectors, queries, rows, asked = data
+    many = asked + [(100 + n, row[3]) for n, row in enumerate(rows[:60])] + [(500, [0.0] * 16)]
+    table = spark.createDataFrame(many, queries.schema)
+    few = V.vector_topk(vectors, table, 5, block=len(many))
+    plan = (found := V.vector_topk(vectors, table, 5, block=2))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in few.collect()}
+    assert {h for h in hits(found) if h[0] != 500} == brute_force(rows, many[:-1], 5)
+    # Vectors in several parts, few cells and exact rows at a time, and more hits than vectors of a kind.
+    for name, value in (("MAX_BROADCAST_BYTES", 1 << 14), ("BLOCK_CELLS", 1), ("EXACT_ROWS", 7)):
+        monkeypatch.setattr(V, name, value)
+    parted = V.vector_topk(vectors, table, 5, block=2)
+    assert parted._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 5
+    assert {tuple(r) for r in parted.collect()} == {tuple(r) for r in few.collect()}
+    monkeypatch.setattr(V, "MAX_BROADCAST_BYTES", 64 << 20)
+    assert hits(V.vector_topk(vectors.where("id < '0012'"), table.where("query_id < 150"), 8, block=1)) == brute_force(
+        rows[:12], [q for q in many if q[0] < 150], 8)
+    twin = vectors.unionByName(vectors)
+    assert {tuple(r) for r in V.vector_topk(twin, table, 5, block=2).collect()} == {tuple(r) for r in few.collect()}
+    with pytest.raises(ValueError, match="dimension"):
+        V.vector_topk(vectors.withColumn("embedding", F.expr("slice(embedding, 1, 3 + int(id) % 2)")), table, block=2)
+
+
 def test_bound_keeps_tasks_from_sending_rows(spark):
     rng = np.random.default_rng(3)
     rows = [("n", "code", f"{n:05d}", [float(x) for x in rng.standard_normal(8)]) for n in range(4000)]
