@@ -548,3 +548,30 @@ def test_postings_of_cut_files(spark, tmp_path, monkeypatch, per_byte):
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
     files = list((tmp_path / "chunks").rglob("*.parquet"))
     assert max(pq.ParquetFile(f).num_row_groups for f in files) > 1
+
+
+@pytest.mark.parametrize("config", ["simple", "english"])
+def test_postings_come_sorted(spark, monkeypatch, config):
+    """The rows of build_postings, by keys and lexeme as they are made, without a sort of the rows or by folder."""
+    from repoindex.functions import tokens as tokens_module
+    from repoindex.operators.postings import sorted_postings
+
+    texts = ["The b É b a1", "", None, "  ", "and the", "zeta Alpha zeta b", "ΑΣ b İx"]
+    rows = [(f"{n:064x}" if n else None, text, "n" if n % 2 else None, ("code", "docs", None)[n % 3], n % 4)
+            for n, text in enumerate(texts * 3)]
+    chunks = spark.createDataFrame(rows, "id string, text string, namespace string, kind string, bucket int").coalesce(1)
+    keys = ["namespace", "kind", "bucket"]
+    want = sorted(map(str, build_postings(chunks, config).select(*keys, "id", "lexeme", "positions").collect()))
+    made = sorted_postings(chunks, config, keys)
+    assert "Sort" not in _plan(made)
+    found = made.collect()
+    assert sorted(map(str, found)) == want
+    groups = [tuple(r[c] for c in keys) for r in found]
+    assert len(set(groups)) == sum(a != b for a, b in zip([None, *groups], groups))
+    for group in set(groups):
+        words = [r.lexeme for r, g in zip(found, groups) if g == group]
+        assert words == sorted(words)
+    monkeypatch.setattr("repoindex.operators.postings.SORTED_TOKENS", 3)
+    monkeypatch.setattr(tokens_module, "POSTINGS_AT_A_TIME", 2)
+    assert sorted(map(str, sorted_postings(chunks, config, keys).collect())) == want
+    assert sorted_postings(chunks.limit(0), config, keys).count() == 0
