@@ -144,3 +144,25 @@ def test_index_files_hold_ids_in_half_their_length(spark, chunks, tmp_path):
     groups = [m.row_group(g) for m in files for g in range(m.num_row_groups)]
     ids = [g.column(c) for g in groups for c in range(g.num_columns) if g.column(c).path_in_schema == "id"]
     assert sum(c.total_compressed_size for c in ids) < 0.7 * sum(c.total_uncompressed_size for c in ids)
+
+
+def test_postings_stay_where_they_are_made(spark, tmp_path, monkeypatch):
+    """Writing an index moves no postings; a file holds each id once, and no more files of a slot than are allowed."""
+    monkeypatch.setattr(X, "FILES_PER_SLOT", 2)
+    chunks = spark.range(40_000).select(
+        F.lit("n").alias("namespace"), F.lit("code").alias("kind"), F.sha2(F.col("id").cast("string"), 256).alias("id"),
+        F.concat(F.lit("a b c "), F.col("id")).alias("text")).repartition(5)
+    postings = build_postings(chunks, "simple")
+    plan = X._by_slot(build_postings(chunks.coalesce(5), "simple"), 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning" not in plan
+    X.write_text_index(postings, str(tmp_path / "i"), 2)
+    files = list((tmp_path / "i" / "lexemes").rglob("*.parquet"))
+    assert len(files) == 4
+    for file in files:
+        words = pq.read_table(str(file), columns=["lexeme"], partitioning=None)["lexeme"].to_pylist()
+        assert words == sorted(words)
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        ids = next(group.column(c) for c in range(group.num_columns) if group.column(c).path_in_schema == "id")
+        assert "PLAIN" not in ids.encodings
+    stored = X.read_text_index(spark, str(tmp_path / "i")).postings.select(*postings.columns)
+    assert stored.exceptAll(postings).isEmpty() and stored.count() == 160_000
